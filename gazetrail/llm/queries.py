@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gazetrail.llm import storage, token_files
+from gazetrail.llm import simhash, storage, token_files
 from gazetrail.llm.tokens import default_tokenizer
 
 
@@ -21,8 +22,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, index)
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint over 3-word shingles and its group at 3 bits."""
+    found = simhash.groups(_docs(spark, sf_dir), shingle=3, budget=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files,)}
+    return {f.__name__: f for f in (op1_token_files, op5_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
