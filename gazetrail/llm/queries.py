@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetrail.llm import simhash, storage, token_files
+from gazetrail.llm import decontaminate, simhash, storage, token_files
 from gazetrail.llm.tokens import default_tokenizer
 
 
@@ -28,8 +28,13 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage in every document, within the edit budget."""
+    return decontaminate.matches(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op5_simhash_groups)}
+    return {f.__name__: f for f in (op1_token_files, op5_simhash_groups, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,12 @@ the pairs of nodes it can belong to, and each pair is joined on its own.
 A bucket gives a link to the smallest member for each value that has one, never all pairs;
 the links' components are found with joins (`components`).
 
+That is exact, and practical for the few bits of a fingerprint identity.  For looser groups
+(`similar_groups`) a budget of many bits has no selective block: there the buckets are
+minima of the shingles' hashes under `KEYS` fixed permutations, of which two texts with Jaccard similarity J
+share one with probability 1 - (1 - J)^KEYS (0.999997 at J = 0.8), and the trie join with the
+budget decides within each.
+
 Texts: A-Z are lower-cased, words are runs without ASCII white space, shingles of n words are joined by a
 space (repeats count; fewer words: the whole sequence).  A bit is 1 if it is set in over half of the
 shingles' XXH64 (seed 42).  No words, and a null text: fingerprint 0, which is linked like any other.
@@ -34,8 +40,13 @@ from gazetrail.llm.trie import link
 PIECE = 1 << 15  # shingles of a text that are counted together
 
 
-def fingerprint(text: bytes, n: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text in UTF-8."""
+KEYS = 8
+_ODD = np.random.default_rng(8).integers(0, 2**63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = np.random.default_rng(9).integers(0, 2**63, KEYS, dtype=np.uint64)
+
+
+def fingerprint(text: bytes, n: int = 3, seed: int = 42, low: np.ndarray | None = None) -> int:
+    """The SimHash of a text in UTF-8; `low` gets the minima of its permuted hashes."""
     words = text.lower().split()  # of bytes: A-Z, and ASCII white space
     if not words:
         return 0
@@ -46,22 +57,30 @@ def fingerprint(text: bytes, n: int = 3, seed: int = 42) -> int:
         m = min(PIECE, total - a)
         h = np.fromiter(hashes, "<u8", m)
         ones += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        if low is not None:
+            for k in range(KEYS):
+                x = h * _ODD[k] + _ADD[k]
+                low[k] = min(low[k], (x ^ (x >> np.uint64(32))).min())
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) with fp the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keys: bool = False) -> DataFrame:
+    """(doc_id, fp) with fp the fingerprint's 64 bits as a signed long; with `keys`, also low, an
+    array of the minima of the permuted shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, lows = [], np.full((b.num_rows, KEYS), 2**64 - 1, np.uint64)
             for _, _, data, off in blocks(b.column("text")):
                 raw, off = data.tobytes(), off.tolist()
-                out += [fingerprint(raw[x:y], shingle) for x, y in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
+                out += [fingerprint(raw[x:y], shingle, low=lows[len(out) + k] if keys else None) for k, (x, y) in enumerate(zip(off[:-1], off[1:]))]
+            cols = [b.column("doc_id"), pa.array(np.array(out, np.uint64).view(np.int64))]
+            if keys:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * KEYS), pa.array(lows.view(np.int64).ravel())))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "low"][: len(cols)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", low array<long>" * keys)
 
 
 def _link_cells(budget: int, block: int):
@@ -125,12 +144,44 @@ def _masks(df: DataFrame, budget: int, levels: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "levels int, mask long")
 
 
-def groups(docs: DataFrame, shingle: int = 5, budget: int = 3) -> DataFrame:
+def similar_links(rows: DataFrame, budget: int, most: int = 20_000) -> DataFrame:
+    """(fp, low) -> (u, v): links that connect fingerprints within `budget` bits that share a minimum.
+    A minimum with more than `most` values is refined by each of the other ones."""
+    keys = rows.select("fp", "low", F.posexplode("low").alias("k", "m")).withColumn("cell", F.xxhash64("k", "m"))
+    sizes = keys.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    large = storage.written(sizes.filter(F.col("n") > most).select("cell"), "large-buckets")
+    shared = keys.join(sizes.select("cell"), "cell", "left_semi") if large.first() is None else keys.join(sizes.filter(F.col("n") <= most).select("cell"), "cell", "left_semi")
+    cells = shared.select("fp", "cell")
+    if large.first() is not None:
+        hot = keys.join(large, "cell", "left_semi").select("fp", "k", "cell", F.posexplode("low").alias("k2", "m2"))
+        cells = cells.unionAll(hot.filter("k2 <> k").select("fp", F.xxhash64("cell", "k2", "m2").alias("cell")))
+    cells = cells.distinct().select("fp", F.col("fp").alias("key"), "cell", F.lit(0).alias("side"))
+    return cells.repartition("cell").mapInArrow(_link_cells(budget, 0), "u long, v long")
+
+
+def groups(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row of `docs` (doc_id, text): component_id is the
     smallest doc_id among the documents that chains of fingerprints within `budget` bits reach."""
     own = storage.written(fingerprints(docs, shingle), "fingerprints")
-    distinct = storage.written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    root = components(links(distinct.select("fp"), budget))
+    distinct = _distinct(own)
+    return _named(own, distinct, links(distinct.select("fp"), budget))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As `groups`, where two documents are linked if their fingerprints show a cosine of `similarity`
+    or more between the counts of their shingles (13 of 64 bits at 0.8)."""
+    budget = int(np.floor(64 * np.arccos(similarity) / np.pi))
+    own = storage.written(fingerprints(docs, shingle, keys=True), "fingerprints")
+    rows = own.select("fp", "low").distinct()
+    return _named(own.select("doc_id", "fp"), _distinct(own), similar_links(rows, budget))
+
+
+def _distinct(own: DataFrame) -> DataFrame:
+    return storage.written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+
+
+def _named(own: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    root = components(found)
     named = distinct.join(root, distinct.fp == root.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return own.join(named.join(ids, "root").select("fp", "component_id"), "fp")
