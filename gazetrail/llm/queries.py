@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetrail.llm import decontaminate, simhash, storage, token_files
+from gazetrail.llm import decontaminate, simhash, storage, token_files, toxicity
 from gazetrail.llm.tokens import default_tokenizer
 
 
@@ -22,6 +22,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, index)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a model that has not seen the held-out fifth."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.scores(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over 3-word shingles and its group at 3 bits."""
     found = simhash.groups(_docs(spark, sf_dir), shingle=3, budget=3)
@@ -34,7 +42,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op5_simhash_groups, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_token_files, op2_toxicity, op5_simhash_groups, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,3 +26,63 @@ def blocks(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.
         b = min(b, n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes in lower case: A-Z, and the Latin-1 capitals (À to Þ but for the multiplication sign)."""
+    out = _LOWER[data]
+    if len(data) > 1:
+        two = np.flatnonzero(data[:-1] == 0xC3) + 1
+        two = two[(data[two] >= 0x80) & (data[two] <= 0x9E) & (data[two] != 0x97)]
+        out[two] += 32
+    return out
+
+
+_WORD = np.zeros(256, bool)
+_WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
+
+
+def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each run of 0-9, a-z and bytes of other scripts in lower-cased texts."""
+    inside = _WORD[data]
+    before = np.zeros(len(data), bool)
+    before[1:] = inside[:-1]
+    before[off[:-1][off[:-1] < len(data)]] = False
+    start = np.flatnonzero(inside & ~before)
+    after = np.zeros(len(data), bool)
+    after[:-1] = inside[1:]
+    last = off[1:] - 1
+    after[last[last >= 0]] = False
+    end = np.flatnonzero(inside & ~after) + 1
+    return start, end, np.searchsorted(off, start, "right") - 1
+
+
+_P = 0x9E3779B97F4A7C15 | 1
+_PINV = pow(_P, -1, 1 << 64)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+
+
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each range of bytes, its length mixed in."""
+    n = 1 << max(1, len(data)).bit_length()
+    for base in (_P, _PINV):
+        if base not in _TABLES or len(_TABLES[base]) <= n:
+            _TABLES[base] = _powers(base, n)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _TABLES[_P][: len(data)])])
+        h = (total[end] - total[start]) * _TABLES[_PINV][start] + (end - start).astype(np.uint64) * _MIX
+        h ^= h >> np.uint64(29)
+        h *= _MIX
+        return h ^ (h >> np.uint64(32))
