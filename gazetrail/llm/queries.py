@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetrail.llm import decontaminate, simhash, storage, token_files, toxicity
+from gazetrail.llm import decontaminate, language, licenses, simhash, storage, token_files, toxicity
 from gazetrail.llm.tokens import default_tokenizer
 
 
@@ -30,6 +30,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence phrases and notices."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return licenses.scan(docs, licenses.idf(docs)).drop("text", "places")
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over 3-word shingles and its group at 3 bits."""
     found = simhash.groups(_docs(spark, sf_dir), shingle=3, budget=3)
@@ -41,8 +47,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by a model that has not seen the held-out fifth."""
+    docs = _docs(spark, sf_dir)
+    model = language.fit(docs.filter(F.col("doc_id").isNotNull() & ~toxicity.held_out(F.col("doc_id"))))
+    out = language.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_toxicity, op5_simhash_groups, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_licenses, op5_simhash_groups, op8_decontaminate, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
