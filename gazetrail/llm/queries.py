@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetrail.llm import decontaminate, language, licenses, simhash, storage, token_files, toxicity
+from gazetrail.llm import decontaminate, language, licenses, media, packing, sharding, simhash, storage, token_files, toxicity
 from gazetrail.llm.tokens import default_tokenizer
 
 
@@ -36,17 +36,36 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.idf(docs)).drop("text", "places")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an image in a tar shard, read back."""
+    index = media.write_shards(_docs(spark, sf_dir), storage.new_folder(spark, "media"))
+    return media.read_back(index)
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over 3-word shingles and its group at 3 bits."""
     found = simhash.groups(_docs(spark, sf_dir), shingle=3, budget=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and the sequences of 1024 tokens they are packed into."""
+    return packing.plan(_docs(spark, sf_dir), default_tokenizer(), room=1024, end_id=2)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage in every document, within the edit budget."""
     return decontaminate.matches(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+SHARDS = [f"shard-{k:02d}" for k in range(16)]
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's slot and shard."""
+    return sharding.place(_docs(spark, sf_dir), SHARDS, 2039).select("doc_id", "slot", "shard")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language by a model that has not seen the held-out fifth."""
     docs = _docs(spark, sf_dir)
@@ -56,7 +75,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_licenses, op5_simhash_groups, op8_decontaminate, op10_language)}
+    return {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_licenses, op4_media, op5_simhash_groups, op6_packing, op8_decontaminate, op9_sharding, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
