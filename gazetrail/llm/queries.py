@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetrail.llm import decontaminate, language, licenses, media, packing, sharding, simhash, storage, token_files, toxicity
+from gazetrail.llm import decontaminate, language, licenses, media, packing, secrets, sharding, simhash, storage, token_files, toxicity
 from gazetrail.llm.tokens import default_tokenizer
 
 
@@ -53,6 +53,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.plan(_docs(spark, sf_dir), default_tokenizer(), room=1024, end_id=2)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in every document, judged; values only as digests."""
+    found = secrets.scan(_docs(spark, sf_dir), secrets.train(secrets.sample_findings(spark)))
+    return found.select("doc_id", "rule", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage in every document, within the edit budget."""
     return decontaminate.matches(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -75,7 +81,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_licenses, op4_media, op5_simhash_groups, op6_packing, op8_decontaminate, op9_sharding, op10_language)}
+    return {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_licenses, op4_media, op5_simhash_groups, op6_packing, op7_secrets, op8_decontaminate, op9_sharding, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
