@@ -175,3 +175,20 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: in
         part = rows.mapInArrow(run, COLUMNS)
         out = part if out is None else out.unionAll(part)
     return spark.createDataFrame([], COLUMNS) if out is None else out
+
+
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of `docs` without any item within the budget, unchanged and not shuffled."""
+    for block in item_blocks(items, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            finder = Finder(sent.value, rate, min_chars)
+            for b in batches:
+                keep: list[bool] = []
+                for a in range(0, b.num_rows, 256):
+                    keep += [not finder.find(x or "") for x in b.column("text").slice(a, 256).to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -27,10 +27,10 @@ RULES = [
     ("slack_token", r"(xox[abprs]-[A-Za-z0-9-]{10,})"),
     ("google_key", r"(AIza[0-9A-Za-z_-]{35})"),
     ("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)"),
-    ("assigned", rf"(?i:{NAMES})[A-Za-z0-9_.-]*[\"']?[=:]+[\"']?([^\s\"'<>,;]{{6,}})"),
+    ("assigned", rf"(?i:{NAMES})[A-Za-z0-9_.-]*[\"']?[=:]+[\"']?([^\s\"'<>,;]{{6,}}?)(?=[\"'<>,;]|[^A-Za-z0-9]*$)"),
 ]
-AFTER_NAME = r"^[\"']?([^\s\"'<>,;]{6,})[\"']?[,;.]?$"
-GENERIC = r"^[\"'(]*((?=[^0-9]*[0-9][^0-9]*[0-9][^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2})[\"'),.;]*$"
+AFTER_NAME = r"^[\"'(]*([^\s\"'<>,;]{6,}?)(?:[\"'<>,;].*|[^A-Za-z0-9]*)$"
+GENERIC = r"^[\"'(]*((?=[^0-9]*[0-9][^0-9]*[0-9][^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2})[^A-Za-z0-9+/=_-]*$"
 #: A text without any of these has no candidate.
 HINT = rf"AKIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|(?i:{NAMES})|[A-Za-z0-9+/_-]{{20}}"
 KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
@@ -97,7 +97,7 @@ def numbers(rows: DataFrame) -> DataFrame:
 
 def sample_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     """Labelled findings made from hashes: random keys in their usual places, and what looks like them."""
-    r = spark.range(n).select("id", F.sha2(F.concat(F.lit("s"), F.col("id")), 512).alias("h"), F.md5(F.col("id").cast("string").cast("binary")).alias("m"))
+    r = spark.range(0, n, 1, 2).select("id", F.sha2(F.concat(F.lit("s"), F.col("id")), 512).alias("h"), F.md5(F.col("id").cast("string").cast("binary")).alias("m"))
     pick = lambda salt, *xs: F.get(F.array(*(F.lit(x) for x in xs)), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(xs))).cast("int"))
     size = lambda salt, a, b: (F.lit(a) + F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(b - a + 1))).cast("int")
     hexes = lambda a, b: F.substr(F.col("h"), F.lit(1), size("n", a, b))
@@ -124,18 +124,18 @@ def sample_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(noun, pick("n4", "Service", "Config", "Table"), noun, pick("n5", "Release2024", "Version123", "Build000")), word, word, 0),
         (hexes(16, 40), pick("x", "example", "sample", "dummy"), F.concat(name, pick("e", "=", ":")), 0),
     ]
-    n_kinds = len(kinds)
-    parts = [r.filter(F.col("id") % n_kinds == k).select(a.alias("value"), b.alias("before2"), c.alias("before"), word.alias("after"), F.when(F.lit(y == 1), F.lit("")).otherwise(pick("path", "", "", "docs/example.md", "tests/fixture.py")).alias("path"), F.lit(y).cast("double").alias("label")) for k, (a, b, c, y) in enumerate(kinds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    forms = F.array(*(F.struct(a.alias("value"), b.alias("before2"), c.alias("before"), F.lit(float(y)).alias("label")) for a, b, c, y in kinds))
+    path = F.when(F.col("f.label") == 1, F.lit("")).otherwise(pick("path", "", "", "docs/example.md", "tests/fixture.py"))
+    return r.select("*", F.get(forms, (F.col("id") % len(kinds)).cast("int")).alias("f")).select("f.value", "f.before2", "f.before", word.alias("after"), path.alias("path"), "f.label")
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel:
     """A forest from labelled findings (value, before2, before, after, path, label 0 or 1)."""
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(numbers(findings.filter("label in (0, 1) and value is not null")))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows.select("features", "label"))
+    rows = rows.select("features", "label").persist()
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
+    rows.unpersist()
+    return model
 
 
 def judged(found: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
@@ -149,3 +149,16 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
     cols = ["doc_id", "rule", "value", "start", "probability"]
     out = judged(candidates(docs), model).select(cols).unionByName(key_blocks(docs).select(cols))
     return out.withColumn("is_secret", F.col("probability") >= 0.5)
+
+
+def redact(docs: DataFrame, model: RandomForestClassificationModel, mark: str = "[SECRET]") -> DataFrame:
+    """`docs` with every secret of a text replaced by `mark`; n_chars, if there, follows.  Texts without one stay as they are."""
+    found = scan(docs, model).filter("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("values"))
+    longest = F.array_sort(F.transform("values", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
+    found = found.select(F.col("doc_id").alias("found_id"), longest.alias("found_values"))
+    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("found_id")) & F.col("found_values").isNotNull(), "left")
+    text = F.when(F.col("found_values").isNull(), F.col("text")).otherwise(F.aggregate(F.col("found_values"), F.col("text"), lambda t, x: F.replace(t, x.v, F.lit(mark))))
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("found_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(docs.columns)

@@ -185,3 +185,16 @@ def _named(own: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
     named = distinct.join(root, distinct.fp == root.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return own.join(named.join(ids, "root").select("fp", "component_id"), "fp")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of `similar_groups`, the one with the smallest doc_id, unchanged.  Repeated rows of an id and
+    text leave one."""
+    found = similar_groups(docs, shingle, similarity).select("doc_id", "component_id")
+    gone = found.filter("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null").select("doc_id").distinct()
+    rest = docs.join(gone.toDF("gone_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    many = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("many_id"))
+    if many.first() is None:
+        return rest
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("many_id"))
+    return rest.join(many, same, "left_anti").unionByName(rest.join(many, same, "left_semi").dropDuplicates(["doc_id", "text"]))
