@@ -1,0 +1 @@
+"""Word-level reading data on Spark: ingest, standardise, score, merge and model."""

@@ -1,0 +1 @@
+"""No streaming: the surveyed capabilities are batch only, so there is none here."""
