@@ -11,9 +11,9 @@ the links' components are found with joins (`components`).
 
 That is exact, and practical for the few bits of a fingerprint identity.  For looser groups
 (`similar_groups`) a budget of many bits has no selective block: there the buckets are
-minima of the shingles' hashes under `KEYS` fixed permutations, of which two texts with Jaccard similarity J
-share one with probability 1 - (1 - J)^KEYS (0.999997 at J = 0.8), and the trie join with the
-budget decides within each.
+pairs of minima of the shingles' hashes under `KEYS` fixed permutations.  Two texts with Jaccard
+similarity 0.8 share a pair with probability 0.9999, unrelated ones with a passage in common hardly ever, and
+the trie join with the budget decides within each bucket.
 
 Texts: A-Z are lower-cased, words are runs without ASCII white space, shingles of n words are joined by a
 space (repeats count; fewer words: the whole sequence).  A bit is 1 if it is set in over half of the
@@ -145,18 +145,21 @@ def _masks(df: DataFrame, budget: int, levels: int) -> DataFrame:
 
 
 def similar_links(rows: DataFrame, budget: int, most: int = 20_000) -> DataFrame:
-    """(fp, low) -> (u, v): links that connect fingerprints within `budget` bits that share a minimum.
-    A minimum with more than `most` values is refined by each of the other ones."""
-    keys = rows.select("fp", "low", F.posexplode("low").alias("k", "m")).withColumn("cell", F.xxhash64("k", "m"))
-    sizes = keys.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    large = storage.written(sizes.filter(F.col("n") > most).select("cell"), "large-buckets")
-    shared = keys.join(sizes.select("cell"), "cell", "left_semi") if large.first() is None else keys.join(sizes.filter(F.col("n") <= most).select("cell"), "cell", "left_semi")
-    cells = shared.select("fp", "cell")
+    """(fp, low) -> (u, v): links that connect fingerprints within `budget` bits that share two minima.
+    A pair of minima with more than `most` values is refined by each of the other ones."""
+    pairs = [(i, j) for i in range(KEYS) for j in range(i)]
+    low = F.col("low")
+    cells = F.array(*(F.xxhash64(F.lit(KEYS * i + j), low[i], low[j]) for i, j in pairs))
+    keys = rows.select("fp", "low", F.explode(F.array_distinct(cells)).alias("cell"))
+    sizes = keys.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = storage.written(sizes, "shared-minima")
+    large = sizes.filter(F.col("n") > most).select("cell")
+    out = keys.select("fp", "cell").join(sizes.filter(F.col("n") <= most).select("cell"), "cell", "left_semi")
     if large.first() is not None:
-        hot = keys.join(large, "cell", "left_semi").select("fp", "k", "cell", F.posexplode("low").alias("k2", "m2"))
-        cells = cells.unionAll(hot.filter("k2 <> k").select("fp", F.xxhash64("cell", "k2", "m2").alias("cell")))
-    cells = cells.distinct().select("fp", F.col("fp").alias("key"), "cell", F.lit(0).alias("side"))
-    return cells.repartition("cell").mapInArrow(_link_cells(budget, 0), "u long, v long")
+        hot = keys.join(large, "cell", "left_semi").select("fp", "cell", F.posexplode("low").alias("k", "m"))
+        out = out.unionAll(hot.select(F.xxhash64("cell", "k", "m").alias("cell"), "fp").select("fp", "cell"))
+    out = out.select("fp", "cell").distinct().select("fp", F.col("fp").alias("key"), "cell", F.lit(0).alias("side"))
+    return out.repartition("cell").mapInArrow(_link_cells(budget, 0), "u long, v long")
 
 
 def groups(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
@@ -167,10 +170,14 @@ def groups(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
     return _named(own, distinct, links(distinct.select("fp"), budget))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """As `groups`, where two documents are linked if their fingerprints show a cosine of `similarity`
-    or more between the counts of their shingles (13 of 64 bits at 0.8)."""
-    budget = int(np.floor(64 * np.arccos(similarity) / np.pi))
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int | None = None) -> DataFrame:
+    """As `groups`, for documents of Jaccard similarity `similarity` or more between their shingles.
+
+    Two such sets have a cosine of 2s / (1 + s), so each bit differs with p = acos(...) / pi at most; the budget
+    is the mean of 64 such bits and two standard deviations (15 at 0.8), unless it is given."""
+    if budget is None:
+        p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+        budget = int(64 * p + 2 * np.sqrt(64 * p * (1 - p)))
     own = storage.written(fingerprints(docs, shingle, keys=True), "fingerprints")
     rows = own.select("fp", "low").distinct()
     return _named(own.select("doc_id", "fp"), _distinct(own), similar_links(rows, budget))

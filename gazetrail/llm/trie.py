@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 SMALL = 64  # compare node pairs of so many value pairs at once
-CHUNK = 1 << 16  # node pairs that are walked together
+CHUNK = 1 << 14  # node pairs that are walked together
 
 
 class Links:
@@ -57,53 +57,55 @@ def link(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.nd
     most `budget` bits.  values: unsigned 64-bit, ascending in each range; a range paired with
     itself is joined with itself; `top`: the highest bit that may differ within a range."""
     links = Links(len(values))
-    stack = [(starts, ends, others, other_ends, np.zeros(len(starts), np.int64), np.full(len(starts), top, np.int64))]
+    small_int = np.int32 if len(values) < 2**31 else np.int64
+    first = tuple(np.asarray(x, small_int) for x in (starts, ends, others, other_ends))
+    # each entry: the bit to look at, four bounds and the bits spent so far; halves of a large one wait their turn
+    stack = [(top, *first, np.zeros(len(starts), np.int8))]
     while stack:
-        lo1, hi1, lo2, hi2, err, bit = stack.pop()
-        if len(lo1) > CHUNK:
-            half = len(lo1) // 2
-            stack += [tuple(x[half:] for x in (lo1, hi1, lo2, hi2, err, bit)), tuple(x[:half] for x in (lo1, hi1, lo2, hi2, err, bit))]
+        bit, *pairs = stack.pop()
+        if len(pairs[0]) > CHUNK:
+            stack += [(bit, *(x[CHUNK:] for x in pairs)), (bit, *(x[:CHUNK] for x in pairs))]
             continue
         if links.fresh > len(values) // 8 + 64:
             links.refresh()
+        lo1, hi1, lo2, hi2, err = pairs
         keep = (err <= budget) & (hi1 > lo1) & (hi2 > lo2) & ~((lo1 == lo2) & (hi1 - lo1 < 2))
-        lo1, hi1, lo2, hi2, err, bit = (x[keep] for x in (lo1, hi1, lo2, hi2, err, bit))
+        lo1, hi1, lo2, hi2, err = (x[keep] for x in pairs)
         keep = ~links.linked(lo1, hi1, lo2, hi2)
-        lo1, hi1, lo2, hi2, err, bit = (x[keep] for x in (lo1, hi1, lo2, hi2, err, bit))
+        lo1, hi1, lo2, hi2, err = (x[keep] for x in (lo1, hi1, lo2, hi2, err))
         if not len(lo1):
             continue
-        n1, n2 = hi1 - lo1, hi2 - lo2
+        n1, n2 = (hi1 - lo1).astype(np.int64), (hi2 - lo2).astype(np.int64)
         small = (n1 * n2 <= SMALL) | (bit < 0)
         if small.any():
             _compare(values, links, lo1[small], n1[small], lo2[small], n2[small], budget)
-        lo1, hi1, lo2, hi2, err, bit = (x[~small] for x in (lo1, hi1, lo2, hi2, err, bit))
+        lo1, hi1, lo2, hi2, err = (x[~small] for x in (lo1, hi1, lo2, hi2, err))
         if not len(lo1):
             continue
         m1, m2 = _split(values, lo1, hi1, bit), _split(values, lo2, hi2, bit)
-        same, nxt = lo1 == lo2, bit - 1
-        rest = ~same
+        rest, more = lo1 != lo2, err + np.int8(1)
         # left with left, right with right; then across, which costs one bit
-        new = [(lo1, m1, lo2, m2, err, nxt), (m1, hi1, m2, hi2, err, nxt), (lo1, m1, m2, hi2, err + 1, nxt)]
-        new.append(tuple(x[rest] for x in (m1, hi1, lo2, m2, err + 1, nxt)))
-        stack.append(tuple(np.concatenate(x) for x in zip(*new)))
+        new = [(lo1, m1, lo2, m2, err), (m1, hi1, m2, hi2, err), (lo1, m1, m2, hi2, more)]
+        new.append(tuple(x[rest] for x in (m1, hi1, lo2, m2, more)))
+        stack.append((bit - 1, *(np.concatenate(x) for x in zip(*new))))
     return links.label
 
 
-def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) -> np.ndarray:
+def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
     """First position in lo..hi whose `bit` is set; the bits above are the same in the whole range."""
-    a, b, shift = lo.copy(), hi.copy(), bit.astype(np.uint64)
+    a, b, shift = lo.copy(), hi.copy(), np.uint64(bit)
     while (open_ := a < b).any():
         mid = (a + b) // 2
         one = ((values[np.minimum(mid, len(values) - 1)] >> shift) & np.uint64(1)).astype(bool)
         b = np.where(open_ & one, mid, b)
-        a = np.where(open_ & ~one, mid + 1, a)
+        a = np.where(open_ & ~one, mid + 1, a).astype(lo.dtype)
     return a
 
 
 def _compare(values: np.ndarray, links: Links, lo1, n1, lo2, n2, budget: int) -> None:
     """Link by direct comparison, in pieces; a pair is a range of at most SMALL products or of equal values."""
     sizes = n1 * n2
-    cuts = np.append(np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 20))) + 1, len(sizes))
+    cuts = np.append(np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 18))) + 1, len(sizes))
     a = 0
     for b in cuts:
         if b > a:
