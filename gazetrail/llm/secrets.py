@@ -155,10 +155,13 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, mark: str =
     """`docs` with every secret of a text replaced by `mark`; n_chars, if there, follows.  Texts without one stay as they are."""
     found = scan(docs, model).filter("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("values"))
     longest = F.array_sort(F.transform("values", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
-    found = found.select(F.col("doc_id").alias("found_id"), longest.alias("found_values"))
-    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("found_id")) & F.col("found_values").isNotNull(), "left")
-    text = F.when(F.col("found_values").isNull(), F.col("text")).otherwise(F.aggregate(F.col("found_values"), F.col("text"), lambda t, x: F.replace(t, x.v, F.lit(mark))))
-    out = rows.withColumn("text", text)
+    found = found.select("doc_id", longest.alias("values"))
+    # whole rows as one column: no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    rows = rows.join(found, rows["id"].eqNullSafe(found["doc_id"]), "left").select("row", "values")
+    text = F.aggregate("values", F.col("row.text"), lambda t, x: F.replace(t, x.v, F.lit(mark)))
+    rows = rows.withColumn("new", F.when(F.col("values").isNotNull(), text).otherwise(F.col("row.text")))
+    own = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("found_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        own["n_chars"] = F.when(F.col("values").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*(own.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -88,9 +88,10 @@ def _link_cells(budget: int, block: int):
     sides 1 and 2 with each other; `block` bits at the top of the key are alike in a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches)) if (first := next(batches, None)) is None else pa.Table.from_batches([first, *batches])
-        if not got.num_rows:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
+        got = pa.Table.from_batches(parts)
         cell, side, key, fp = (got.column(c).to_numpy() for c in ("cell", "side", "key", "fp"))
         key = key.view(np.uint64)
         order = np.lexsort((key, side, cell))
@@ -199,9 +200,12 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     text leave one."""
     found = similar_groups(docs, shingle, similarity).select("doc_id", "component_id")
     gone = found.filter("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null").select("doc_id").distinct()
-    rest = docs.join(gone.toDF("gone_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
-    many = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("many_id"))
-    if many.first() is None:
-        return rest
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("many_id"))
-    return rest.join(many, same, "left_anti").unionByName(rest.join(many, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    # whole rows as one column: no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    rest = rows.join(gone, rows["id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    many = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    if many.first() is not None:
+        same = rest["id"].eqNullSafe(many["doc_id"])
+        once = rest.join(many, same, "left_semi").withColumn("text", F.col("row.text")).dropDuplicates(["id", "text"]).drop("text")
+        rest = rest.join(many, same, "left_anti").unionByName(once)
+    return rest.select("row.*")
