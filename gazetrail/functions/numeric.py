@@ -8,15 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as a number in a raw cell; Java would also take "1d" and "0x1p3".
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 FLOOR = 1e-12
 
 
 def to_num(c: Column) -> Column:
-    """A raw cell as a double; what is not a number, NaN among them, is null."""
-    text = c.cast("string")
-    value = F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    """A raw cell as a double; what is not a number, NaN among them, is null.
+
+    The cell is named once, so that projections that are folded into each other do not multiply it."""
+    return F.regexp_extract(c.cast("string"), NUMBER, 1).try_cast("double")
 
 
 def to_int(c: Column) -> Column:
@@ -27,8 +27,7 @@ def to_int(c: Column) -> Column:
 
 def safe_log(c: Column) -> Column:
     """Natural logarithm of a number above 0, else null."""
-    n = to_num(c)
-    return F.when(n > 0, F.ln(n))
+    return F.ln(to_num(c))  # which is null from 0 down
 
 
 def surprisal_bits(p: Column) -> Column:

@@ -35,9 +35,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores is dealt out before its rows multiply; others stay as they are."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few else df
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, line_no, sent_id, word_pos, word)."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     ws = F.filter(F.split("line", "[ \\r\\t]+"), lambda x: x != "")
     rows = docs.select("doc_id", "lang", F.col("line_no") + 1, F.posexplode(ws).alias("word_pos", "word")).toDF("doc_id", "lang", "line_no", "word_pos", "word")
     return rows.select("doc_id", "lang", "line_no", F.concat_ws("-", "doc_id", "line_no").alias("sent_id"), (F.col("word_pos") + 1).alias("word_pos"), "word")
