@@ -60,7 +60,7 @@ def main(argv: list[str] | None = None, scorers: dict | None = None) -> None:
         corpus.write_trials(corpus.trials(ordered(read(a.input)), zipf), a.out_dir)
     elif a.step == "ngram":
         train = tables.text_lines(spark, a.train_text) if a.train_text else None
-        tables.write(corpus.ngram_table(ordered(read(a.input)), train, a.order, a.alpha, a.min_count), a.output)
+        tables.write(corpus.ngram_table(ordered(read(a.input)), train, a.order, a.min_count, a.alpha), a.output)
     elif a.step in ("surprisal-ar", "surprisal-mlm"):
         mode = {"mode": "causal"} if a.step == "surprisal-ar" else {"mode": "masked", "max_length": a.max_length}
         factory = (scorers or {}).get(a.model) or (lambda: scoring.HashScorer(**mode))

@@ -53,7 +53,7 @@ def known_words(sentences: DataFrame, vocab: DataFrame, key: str, words: str = "
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x.w).alias(words))
 
 
-def fit(sentences: DataFrame, order: int = 5, alpha: float = 0.1, min_count: int = 1, key: str = "sentence_id", words: str = "words") -> Model:
+def fit(sentences: DataFrame, order: int = 5, alpha: float = 0.1, *, min_count: int = 1, key: str = "sentence_id", words: str = "words") -> Model:
     """Count once; the histories are sums over the counts and not a second look at the text."""
     vocab = vocabulary(sentences, min_count, words).select("word")
     if min_count > 1:

@@ -3,6 +3,7 @@ import zipfile
 import pytest
 
 from gazetrail import cli
+from gazetrail.schema import REQUIRED
 from gazetrail.sources import tables, xlsx
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -61,7 +62,7 @@ def test_text_lines_and_headers(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     d = str(tmp_path)
     rows = [(p, s, str(i), w, "100", "120", "130", "140") for p in ("p1", "p2") for s, t in (("s1", "the cat sat"), ("s2", "a dog")) for i, w in enumerate(t.split())]
-    names = ["participant_id", "sentence_id", "word_id", "word", "first_fixation_duration", "gaze_duration", "go_past_time", "total_reading_time"]
+    names = REQUIRED
     spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{d}/raw.parquet")
     (tmp_path / "c.yaml").write_text("column_map: {" + ", ".join(f"{n}: {n}" for n in names) + "}\n")
     cli.main(["prepare-corpus", "--config", f"{d}/c.yaml", "--input", f"{d}/raw.parquet", "--output", f"{d}/std.parquet"])
