@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from gazetrail.llm import storage
 
+FILE_EDGES = 200_000
+
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
     """edges u > v; large stars if `both`, small ones otherwise."""
@@ -38,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = storage.written(edges, "edges")
     sign = _sign(edges)
     while sign[0]:
-        edges = storage.written(_stars(_stars(edges, True), False), "edges")
+        # files in proportion to the edges, which only become fewer, whatever the number of shuffle partitions
+        edges = storage.written(_stars(_stars(edges, True), False).coalesce(1 + sign[0] // FILE_EDGES), "edges")
         if (now := _sign(edges)) == sign:
             break
         sign = now

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazetrail.llm.textblocks import lean
+
 RATE, MIN_CHARS, BLOCK_CHARS = 0.05, 24, 2_000_000
 COLUMNS = "doc_id long, item_id long, edits long, start long, stop long"
 
@@ -172,7 +174,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: in
                 cols = list(zip(*got)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "edits", "start", "stop"])
 
-        part = rows.mapInArrow(run, COLUMNS)
+        part = rows.mapInArrow(lean(run), COLUMNS)
         out = part if out is None else out.unionAll(part)
     return spark.createDataFrame([], COLUMNS) if out is None else out
 
@@ -190,5 +192,5 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int
                     keep += [not finder.find(x or "") for x in b.column("text").slice(a, 256).to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazetrail.llm.textblocks import blocks, lower
+from gazetrail.llm.textblocks import blocks, lean, lower
 
 BITS = 18
 #: Space and signs 0, a-z 1 to 26, other bytes of UTF-8 27 to 63.
@@ -80,7 +80,7 @@ def _counter(langs: list[str]):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             lang = np.array([where[x] for x in b.column("lang").to_pylist()])
-            for x, y, data, off in blocks(b.column("text"), 1 << 22):
+            for x, y, data, off in blocks(b.column("text")):
                 code, row = trigrams(data, off)
                 of = lang[x:y][row]
                 for k in np.unique(of):
@@ -99,7 +99,7 @@ def fit(rows: DataFrame, most_langs: int = 128, smooth: float = 0.5) -> Model |
     langs = sorted(sizes)
     if not langs:
         return None
-    counts = rows.filter(F.col("lang").isin(langs)).mapInArrow(_counter(langs), "k long, code long, n long")
+    counts = rows.filter(F.col("lang").isin(langs)).mapInArrow(lean(_counter(langs)), "k long, code long, n long")
     got = counts.groupBy("k", "code").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((len(langs), 1 << BITS))
     n[got.column("k").to_numpy(), got.column("code").to_numpy()] = got.column("n").to_numpy()
@@ -134,7 +134,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         m = sent.value
         for b in batches:
             margins = np.zeros((b.num_rows, m.codes.shape[1]))
-            for x, y, data, off in blocks(b.column("text"), 1 << 20):
+            for x, y, data, off in blocks(b.column("text")):
                 code, row = trigrams(data, off)
                 n = np.bincount(row, minlength=y - x)
                 full = np.flatnonzero(n)
@@ -147,6 +147,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, names, pa.array(score), pa.array(unsure)], [*b.schema.names, "lang_pred", "score", "ambiguous"])
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    out = docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *fields]))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return out.withColumns({"lang_pred": F.when(letters, F.col("lang_pred")).otherwise("und"), "score": F.when(letters, F.col("score")).otherwise(0.0), "ambiguous": F.col("ambiguous") | ~letters})

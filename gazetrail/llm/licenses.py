@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazetrail.llm.textblocks import _LOWER, blocks, hashes, words
+from gazetrail.llm.textblocks import _LOWER, blocks, hashes, lean, words
 from gazetrail.llm.toxicity import Lookup
 
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -150,7 +150,7 @@ def idf(docs: DataFrame) -> dict[str, float]:
                 df += np.bincount(np.unique(row[hit] * size + ids[:-1][hit]) % size, minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, size)), pa.array(np.append(docs_n, df))], ["k", "n"])
 
-    got = {r.k: r.n for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    got = {r.k: r.n for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     total = got.get(-1, 0)
     return {w: float(np.log((total + 1) / (got.get(k, 0) + 1))) for k, w in enumerate(index.words)}
 
@@ -181,4 +181,4 @@ def scan(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
             kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string()), ("share", pa.float64())]))]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, kinds))], [*b.schema.names, *(f.name for f in FIELDS)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *FIELDS]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *FIELDS]))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazetrail.llm import storage
-from gazetrail.llm.textblocks import blocks
+from gazetrail.llm.textblocks import blocks, lean
 
 WIDTH = 64
 SIGN = b"\x89PNG\r\n\x1a\n"
@@ -99,7 +99,7 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array([name] * len(rows), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
             out.write(bytes(1024))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(shard, INDEX)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(shard), INDEX)
     rows.write.parquet(f"{folder}/index.parquet")
     return docs.sparkSession.read.schema(rows.schema).parquet(f"{folder}/index.parquet")
 
@@ -130,7 +130,7 @@ def metadata(index: DataFrame) -> DataFrame:
             names = [x[:100].rstrip(b"\0").decode() for x in heads]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in (w, h, bits)), pa.array(names, pa.string())], [*b.schema.names, "width", "height", "bits", "stored_name"])
 
-    return _by_shard(index).mapInArrow(run, INDEX + ", width long, height long, bits long, stored_name string")
+    return _by_shard(index).mapInArrow(lean(run), INDEX + ", width long, height long, bits long, stored_name string")
 
 
 def feature(payload: bytes) -> str:
@@ -163,4 +163,4 @@ def read_back(index: DataFrame) -> DataFrame:
             values = zip(*out) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(v, k) for v, k in zip(values, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return _by_shard(index).mapInArrow(run, cols)
+    return _by_shard(index).mapInArrow(lean(run), cols)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from gazetrail.llm import storage
 from gazetrail.llm.tokens import encoder
+from gazetrail.llm.textblocks import lean
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = PIECES + ", sequence_id long, offset long"
@@ -57,7 +58,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, w
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(lean(run), PIECES + ", ids array<int>" * with_ids)
 
 
 def best_fit(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, int]:

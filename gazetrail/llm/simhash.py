@@ -34,7 +34,7 @@ from xxhash import xxh64_intdigest
 
 from gazetrail.llm import storage
 from gazetrail.llm.components import components
-from gazetrail.llm.textblocks import blocks
+from gazetrail.llm.textblocks import blocks, lean
 from gazetrail.llm.trie import link
 
 PIECE = 1 << 15  # shingles of a text that are counted together
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keys: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "low"][: len(cols)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", low array<long>" * keys)
+    return rows.mapInArrow(lean(run), "doc_id long, fp long" + ", low array<long>" * keys)
 
 
 def _link_cells(budget: int, block: int):
@@ -129,7 +129,7 @@ def links(fps: DataFrame, budget: int = 3, most: int = 20_000) -> DataFrame:
         cells = cells.filter("q is null").select("fp", "key", _cell("t", "b"), F.lit(0).alias("side")).unionAll(hot)
     else:
         cells = cells.select("fp", "key", _cell("t", "b"), F.lit(0).alias("side"))
-    return cells.repartition("cell").mapInArrow(_link_cells(budget, width), "u long, v long")
+    return cells.repartition("cell").mapInArrow(lean(_link_cells(budget, width)), "u long, v long")
 
 
 def _cell(t: str, b: str, low: str = "0", high: str = "0"):
@@ -160,7 +160,7 @@ def similar_links(rows: DataFrame, budget: int, most: int = 20_000) -> DataFrame
         hot = keys.join(large, "cell", "left_semi").select("fp", "cell", F.posexplode("low").alias("k", "m"))
         out = out.unionAll(hot.select(F.xxhash64("cell", "k", "m").alias("cell"), "fp").select("fp", "cell"))
     out = out.select("fp", "cell").distinct().select("fp", F.col("fp").alias("key"), "cell", F.lit(0).alias("side"))
-    return out.repartition("cell").mapInArrow(_link_cells(budget, 0), "u long, v long")
+    return out.repartition("cell").mapInArrow(lean(_link_cells(budget, 0)), "u long, v long")
 
 
 def groups(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from gazetrail.llm import storage
 from gazetrail.llm.tokens import encoder
+from gazetrail.llm.textblocks import lean
 
 NO_ID = -(2**63)
 STEP = 64  # documents encoded at a time
@@ -70,7 +71,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 docs_n += b.num_rows
         yield pa.RecordBatch.from_pylist([{"shard": name, "n_docs": docs_n, "n_ids": at, "bits": 8 * np.dtype(kind).itemsize}])
 
-    made = _ranged(docs).mapInArrow(shard, "shard string, n_docs long, n_ids long, bits long").collect()
+    made = _ranged(docs).mapInArrow(lean(shard), "shard string, n_docs long, n_ids long, bits long").collect()
     index, tokens, before = [], 0, 0
     for r in sorted(made, key=lambda r: r.shard):
         index.append(r.asDict() | {"ids_before": tokens, "docs_before": before})
@@ -112,7 +113,7 @@ def read_token_files(spark: SparkSession, folder: str, index: list[dict] | None
             )
 
     shards = spark.createDataFrame([tuple(r[k] for k in ("shard", "n_docs", "n_ids", "bits", "ids_before", "docs_before")) for r in index], "shard string, n_docs long, n_ids long, bits long, ids_before long, docs_before long")
-    return shards.repartition(max(1, len(index))).mapInArrow(read, cols)
+    return shards.repartition(max(1, len(index))).mapInArrow(lean(read), cols)
 
 
 def read_ids(folder: str, entry: dict, k: int) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazetrail.llm.textblocks import blocks, hashes, lower, words
+from gazetrail.llm.textblocks import blocks, hashes, lean, lower, words
 
 PREFIXES = (4, 5, 6)
 SLOTS = 1 << 22
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
     n_docs = rows.select("doc_id").count()
     # `chosen` has about most_positive rows, so it may be broadcast
     sample = rows.join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("p", F.lit(False)).alias("p"), share("u", most_unlabelled, n_docs).alias("u")).filter("p or u")
-    counts = sample.mapInArrow(_count, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = sample.mapInArrow(lean(_count), "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     got = sample.agg(F.sum(F.col("p").cast("int")), F.sum(F.col("u").cast("int"))).first()
     n_p, n_u = (max(1, int(x or 0)) for x in got)
     a, b = F.col("p") / n_p, (F.col("u") + 0.5) / (n_u + 1)
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
     lift = (a - rest) / F.sqrt(rest / n_p)
     best = counts.filter((F.col("p") >= 3) & (a >= 3 * rest)).select("h", lift.alias("z")).filter("z > 4").orderBy(F.desc("z"), "h").limit(most_features)
     hashes_ = np.sort(np.array([r.h for r in best.collect()], np.int64).view(np.uint64))
-    seen = sample.mapInArrow(_pick(hashes_), "p boolean, u boolean, at array<long>").collect()
+    seen = sample.mapInArrow(lean(_pick(hashes_)), "p boolean, u boolean, at array<long>").collect()
     at = [np.array(r["at"], np.int64) for r in seen]
     rows_ = np.repeat(np.arange(len(seen)), [len(x) for x in at])
     cols = np.concatenate(at) if at else np.zeros(0, np.int64)
@@ -177,5 +177,5 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None)
                 f[x:y] += np.bincount(both // (len(known) + 1), w[both % (len(known) + 1)], y - x) if len(both) else 0
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(f, -50, 50))))], [*b.schema.names, "score"])
 
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    out = docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
