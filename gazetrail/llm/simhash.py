@@ -9,11 +9,13 @@ the pairs of nodes it can belong to, and each pair is joined on its own.
 A bucket gives a link to the smallest member for each value that has one, never all pairs;
 the links' components are found with joins (`components`).
 
-That is exact, and practical for the few bits of a fingerprint identity.  For looser groups
-(`similar_groups`) a budget of many bits has no selective block: there the buckets are
-pairs of minima of the shingles' hashes under `KEYS` fixed permutations.  Two texts with Jaccard
-similarity 0.8 share a pair with probability 0.9999, unrelated ones with a passage in common hardly ever, and
-the trie join with the budget decides within each bucket.
+That is exact, and practical for the few bits of a fingerprint identity.  For similar texts
+(`similar_groups`: Jaccard similarity of the sets of shingles) a budget of many bits has no selective block.  There, buckets are
+16 pairs of 16 minima of the shingles' hashes under fixed permutations: texts of similarity 0.8 share one with
+probability 0.99998.  The trie join with a budget of bits (and 7 equal minima) makes rough groups of
+the buckets; then each rough group gets the sets of its texts, each once, and the trie join is run again, nearest
+fingerprints first, with the similarity itself computed for every pair that it finds and that is not yet linked.
+A rough group of more than `room` bytes of sets is dealt to its buckets instead.
 
 Texts: A-Z are lower-cased, words are runs without ASCII white space, shingles of n words are joined by a
 space (repeats count; fewer words: the whole sequence).  A bit is 1 if it is set in over half of the
@@ -40,13 +42,13 @@ from gazetrail.llm.trie import link
 PIECE = 1 << 15  # shingles of a text that are counted together
 
 
-KEYS = 8
+KEYS, EQUAL = 16, 7
 _ODD = np.random.default_rng(8).integers(0, 2**63, KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(9).integers(0, 2**63, KEYS, dtype=np.uint64)
 
 
-def fingerprint(text: bytes, n: int = 3, seed: int = 42, low: np.ndarray | None = None) -> int:
-    """The SimHash of a text in UTF-8; `low` gets the minima of its permuted hashes."""
+def fingerprint(text: bytes, n: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text in UTF-8."""
     words = text.lower().split()  # of bytes: A-Z, and ASCII white space
     if not words:
         return 0
@@ -57,30 +59,76 @@ def fingerprint(text: bytes, n: int = 3, seed: int = 42, low: np.ndarray | None
         m = min(PIECE, total - a)
         h = np.fromiter(hashes, "<u8", m)
         ones += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        if low is not None:
-            for k in range(KEYS):
-                x = h * _ODD[k] + _ADD[k]
-                low[k] = min(low[k], (x ^ (x >> np.uint64(32))).min())
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, keys: bool = False) -> DataFrame:
-    """(doc_id, fp) with fp the fingerprint's 64 bits as a signed long; with `keys`, also low, an
-    array of the minima of the permuted shingle hashes."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp) with fp the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, lows = [], np.full((b.num_rows, KEYS), 2**64 - 1, np.uint64)
-            for _, _, data, off in blocks(b.column("text")):
-                raw, off = data.tobytes(), off.tolist()
-                out += [fingerprint(raw[x:y], shingle, low=lows[len(out) + k] if keys else None) for k, (x, y) in enumerate(zip(off[:-1], off[1:]))]
-            cols = [b.column("doc_id"), pa.array(np.array(out, np.uint64).view(np.int64))]
-            if keys:
-                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * KEYS), pa.array(lows.view(np.int64).ravel())))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "low"][: len(cols)])
+            out = [fingerprint(x, shingle) for x in _texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, fp long" + ", low array<long>" * keys)
+    return _rows(docs).mapInArrow(lean(run), "doc_id long, fp long")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _texts(b: pa.RecordBatch) -> Iterator[bytes]:
+    for _, _, data, off in blocks(b.column("text")):
+        raw, off = data.tobytes(), off.tolist()
+        yield from (raw[x:y] for x, y in zip(off[:-1], off[1:]))
+
+
+def shingle_set(text: bytes, n: int, seed: int = 42) -> tuple[int, np.ndarray]:
+    """(hash of the sequence of words, sorted distinct hashes of the shingles)."""
+    words = text.lower().split()
+    joined = xxh64_intdigest(b" ".join(words), seed)
+    if len(words) < n:
+        return joined, np.array([joined] if words else [], np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(n))))
+    return joined, np.unique(np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(words) - n + 1))
+
+
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, node, fp, sketch, cells): a hash of the text's words, the fingerprint of its distinct shingles,
+    16 bits of each minimum, and the buckets of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, fps, low = [], [], np.full((b.num_rows, KEYS), 2**64 - 1, np.uint64)
+            for r, text in enumerate(_texts(b)):
+                node, h = shingle_set(text, shingle)
+                ones = np.zeros(64, np.int64)
+                for a in range(0, len(h), PIECE):
+                    part = h[a : a + PIECE]
+                    ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                    for k in range(KEYS):
+                        x = part * _ODD[k] + _ADD[k]
+                        low[r, k] = min(low[r, k], (x ^ (x >> np.uint64(32))).min())
+                nodes.append(node)
+                fps.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
+            cells = (low ^ (np.roll(low, -1, axis=1) * _ODD)) * _ODD[0] + np.arange(KEYS, dtype=np.uint64)
+            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * KEYS), b.num_rows, [None, pa.py_buffer((low >> np.uint64(24)).astype("<u2").tobytes())])
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * KEYS), pa.array(cells.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)), sketch.cast(pa.binary()), cells], ["doc_id", "node", "fp", "sketch", "cells"])
+
+    return _rows(docs).mapInArrow(lean(run), "doc_id long, node long, fp long, sketch binary, cells array<long>")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, bag): the distinct shingles of each distinct text, as sorted unsigned 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shingle_set(x, shingle) for x in _texts(b)]
+            bags = [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for _, h in got]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([x for x, _ in got], np.uint64).view(np.int64)), pa.array(bags, pa.binary())], ["node", "bag"])
+
+    return _rows(docs).mapInArrow(lean(run), "node long, bag binary").groupBy("node").agg(F.first("bag").alias("bag"))
 
 
 def _link_cells(budget: int, block: int):
@@ -100,7 +148,7 @@ def _link_cells(budget: int, block: int):
         end = np.append(start[1:], len(cell))
         own = side[start] == 0
         pair = np.flatnonzero((side[start[:-1]] == 1) & (side[start[1:]] == 2) & (cell[start[:-1]] == cell[start[1:]]))
-        label = link(key, np.append(start[own], start[pair]), np.append(end[own], end[pair]), np.append(start[own], start[pair + 1]), np.append(end[own], end[pair + 1]), 63 - block, budget)
+        label = link(key, np.append(start[own], start[pair]), np.append(end[own], end[pair]), np.append(start[own], start[pair + 1]), np.append(end[own], end[pair + 1]), 63 - block, budget).label
         far = np.flatnonzero(label != np.arange(len(label)))
         yield pa.RecordBatch.from_arrays([pa.array(fp[far]), pa.array(fp[label[far]])], ["u", "v"])
 
@@ -145,22 +193,63 @@ def _masks(df: DataFrame, budget: int, levels: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "levels int, mask long")
 
 
-def similar_links(rows: DataFrame, budget: int, most: int = 20_000) -> DataFrame:
-    """(fp, low) -> (u, v): links that connect fingerprints within `budget` bits that share two minima.
-    A pair of minima with more than `most` values is refined by each of the other ones."""
-    pairs = [(i, j) for i in range(KEYS) for j in range(i)]
-    low = F.col("low")
-    cells = F.array(*(F.xxhash64(F.lit(KEYS * i + j), low[i], low[j]) for i, j in pairs))
-    keys = rows.select("fp", "low", F.explode(F.array_distinct(cells)).alias("cell"))
-    sizes = keys.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = storage.written(sizes, "shared-minima")
+def _link_similar(budget: int, similarity: float | None = None):
+    """Links within the cells of a task: rows (cell, node, fp, sketch) and, with `similarity`, bag."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        got = pa.Table.from_batches(parts)
+        cell, node, fp = (got.column(c).to_numpy() for c in ("cell", "node", "fp"))
+        fp = fp.view(np.uint64)
+        order = np.lexsort((fp, cell))
+        cell, node, fp = cell[order], node[order], fp[order]
+        sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), "<u2").reshape(-1, KEYS)[order]
+        start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        end = np.append(start[1:], len(cell))
+        alike = lambda i, j: (sketch[i] == sketch[j]).sum(axis=1) >= EQUAL
+        check, steps = alike, [budget]
+        if similarity is not None:
+            bags = got.column("bag").combine_chunks().take(pa.array(order))
+            size = np.array([len(x) // 4 for x in bags.to_pylist()], np.int64)
+            first = np.cumsum(size) - size
+            # ascending as a whole: by position, then by hash
+            all_ = np.frombuffer(b"".join(bags.to_pylist()), "<u4").astype(np.uint64) | np.repeat(np.arange(len(size), dtype=np.uint64) << np.uint64(32), size)
+
+            def check(i, j):
+                small, large = np.where(size[i] < size[j], i, j), np.where(size[i] < size[j], j, i)
+                ok = (size[small] >= similarity * size[large]) & alike(i, j)
+                for k in np.flatnonzero(ok):
+                    x, y = small[k], large[k]
+                    want = (all_[first[x] : first[x] + size[x]] & np.uint64(0xFFFFFFFF)) | np.uint64(int(y) << 32)
+                    at = first[y] + np.searchsorted(all_[first[y] : first[y] + size[y]], want)
+                    both = int((all_[np.minimum(at, len(all_) - 1)] == want).sum()) if len(all_) else 0
+                    ok[k] = both >= similarity * (int(size[x] + size[y]) - both)
+                return ok
+
+            steps = [b for b in (4, 10) if b < budget] + [budget]
+        links, over = None, -1
+        for b in steps:
+            links = link(fp, start, end, start, end, 63, b, check, over, links)
+            over = b
+        far = np.flatnonzero(links.label != np.arange(len(cell)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[links.label[far]])], ["u", "v"])
+
+    return run
+
+
+def _refined(rows: DataFrame, most: int) -> DataFrame:
+    """`rows` (cell, sketch, ...) in the cells that have others; a cell of more than `most` rows is refined by
+    each of the minima."""
+    sizes = storage.written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-minima")
     large = sizes.filter(F.col("n") > most).select("cell")
-    out = keys.select("fp", "cell").join(sizes.filter(F.col("n") <= most).select("cell"), "cell", "left_semi")
+    out = rows.join(sizes.filter(F.col("n") <= most).select("cell"), "cell", "left_semi")
     if large.first() is not None:
-        hot = keys.join(large, "cell", "left_semi").select("fp", "cell", F.posexplode("low").alias("k", "m"))
-        out = out.unionAll(hot.select(F.xxhash64("cell", "k", "m").alias("cell"), "fp").select("fp", "cell"))
-    out = out.select("fp", "cell").distinct().select("fp", F.col("fp").alias("key"), "cell", F.lit(0).alias("side"))
-    return out.repartition("cell").mapInArrow(lean(_link_cells(budget, 0)), "u long, v long")
+        hot = rows.join(large, "cell", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(KEYS - 1))))
+        hot = hot.withColumn("cell", F.xxhash64("cell", "k", F.expr("substring(sketch, 2 * k + 1, 2)"))).drop("k")
+        out = out.unionByName(hot)
+    return out
 
 
 def groups(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
@@ -171,17 +260,31 @@ def groups(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
     return _named(own, distinct, links(distinct.select("fp"), budget))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int | None = None) -> DataFrame:
-    """As `groups`, for documents of Jaccard similarity `similarity` or more between their shingles.
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int | None = None, most: int = 20_000, room: int = 64 << 20) -> DataFrame:
+    """(doc_id, component_id) for each row of `docs`: chains of texts of Jaccard similarity `similarity` or more
+    between their sets of shingles (texts without words are alike).
 
     Two such sets have a cosine of 2s / (1 + s), so each bit differs with p = acos(...) / pi at most; the budget
-    is the mean of 64 such bits and two standard deviations (15 at 0.8), unless it is given."""
+    is the mean of 64 such bits and four standard deviations (21 at 0.8), unless it is given."""
     if budget is None:
         p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-        budget = int(64 * p + 2 * np.sqrt(64 * p * (1 - p)))
-    own = storage.written(fingerprints(docs, shingle, keys=True), "fingerprints")
-    rows = own.select("fp", "low").distinct()
-    return _named(own.select("doc_id", "fp"), _distinct(own), similar_links(rows, budget))
+        budget = int(64 * p + 4 * np.sqrt(64 * p * (1 - p)))
+    own = storage.written(signatures(docs, shingle), "signatures")
+    nodes = storage.written(own.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("fp", "sketch", "cells"))), "distinct-texts")
+    cells = _refined(nodes.select("node", "fp", "sketch", F.explode(F.array_distinct("cells")).alias("cell")), most)
+    rough = storage.written(components(cells.repartition("cell").mapInArrow(lean(_link_similar(budget)), "u long, v long")), "rough-groups")
+    rows = rough.join(nodes, "node").join(shingle_sets(docs, shingle), "node").select("root", "node", "fp", "sketch", "cells", "bag")
+    rows = storage.written(rows, "rough-sets")
+    large = storage.written(rows.groupBy("root").agg(F.sum(F.length("bag") + 64).alias("n")).filter(F.col("n") > room).select("root"), "large-groups")
+    cells = rows.withColumn("cell", F.col("root"))
+    if large.first() is not None:
+        hot = rows.join(large, "root", "left_semi").withColumn("cell", F.explode(F.array_distinct("cells"))).withColumn("cell", F.xxhash64("root", "cell"))
+        cells = cells.join(large, "root", "left_anti").unionByName(_refined(hot, most))
+    found = cells.select("cell", "node", "fp", "sketch", "bag").repartition("cell").mapInArrow(lean(_link_similar(budget, similarity)), "u long, v long")
+    root = components(found)
+    named = nodes.select("node", "first_id").join(root, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return own.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def _distinct(own: DataFrame) -> DataFrame:

@@ -11,10 +11,13 @@ group costs its size and not its square.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 SMALL = 64  # compare node pairs of so many value pairs at once
 CHUNK = 1 << 14  # node pairs that are walked together
+CHECKED = 1 << 10  # pairs that are checked together; the next ones profit from what these link
 
 
 class Links:
@@ -52,11 +55,11 @@ class Links:
         return (self.label[lo1] == self.label[lo2]) & (self.run_end[lo1] >= hi1) & (self.run_end[lo2] >= hi2)
 
 
-def link(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray, top: int, budget: int) -> np.ndarray:
-    """Labels of the positions of `values` after linking, in each pair of ranges, what differs in at
-    most `budget` bits.  values: unsigned 64-bit, ascending in each range; a range paired with
-    itself is joined with itself; `top`: the highest bit that may differ within a range."""
-    links = Links(len(values))
+def link(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray, top: int, budget: int, check: Callable | None = None, over: int = -1, links: Links | None = None) -> Links:
+    """Links, in each pair of ranges, what differs in more than `over` and at most `budget` bits and, where
+    `check` is given, passes check(positions, positions).  values: unsigned 64-bit, ascending in each range; a range
+    paired with itself is joined with itself; `top`: the highest bit that may differ within a range."""
+    links = links or Links(len(values))
     small_int = np.int32 if len(values) < 2**31 else np.int64
     first = tuple(np.asarray(x, small_int) for x in (starts, ends, others, other_ends))
     # each entry: the bit to look at, four bounds and the bits spent so far; halves of a large one wait their turn
@@ -78,7 +81,7 @@ def link(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.nd
         n1, n2 = (hi1 - lo1).astype(np.int64), (hi2 - lo2).astype(np.int64)
         small = (n1 * n2 <= SMALL) | (bit < 0)
         if small.any():
-            _compare(values, links, lo1[small], n1[small], lo2[small], n2[small], budget)
+            _compare(values, links, lo1[small], n1[small], lo2[small], n2[small], budget, check, over)
         lo1, hi1, lo2, hi2, err = (x[~small] for x in (lo1, hi1, lo2, hi2, err))
         if not len(lo1):
             continue
@@ -88,7 +91,7 @@ def link(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.nd
         new = [(lo1, m1, lo2, m2, err), (m1, hi1, m2, hi2, err), (lo1, m1, m2, hi2, more)]
         new.append(tuple(x[rest] for x in (m1, hi1, lo2, m2, more)))
         stack.append((bit - 1, *(np.concatenate(x) for x in zip(*new))))
-    return links.label
+    return links
 
 
 def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
@@ -102,7 +105,7 @@ def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.n
     return a
 
 
-def _compare(values: np.ndarray, links: Links, lo1, n1, lo2, n2, budget: int) -> None:
+def _compare(values: np.ndarray, links: Links, lo1, n1, lo2, n2, budget: int, check: Callable | None, over: int) -> None:
     """Link by direct comparison, in pieces; a pair is a range of at most SMALL products or of equal values."""
     sizes = n1 * n2
     cuts = np.append(np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 18))) + 1, len(sizes))
@@ -112,6 +115,15 @@ def _compare(values: np.ndarray, links: Links, lo1, n1, lo2, n2, budget: int) ->
             which = np.repeat(np.arange(a, b), sizes[a:b])
             k = np.arange(len(which)) - np.repeat(np.cumsum(sizes[a:b]) - sizes[a:b], sizes[a:b])
             i, j = lo1[which] + k // n2[which], lo2[which] + k % n2[which]
-            near = (np.bitwise_count(values[i] ^ values[j]) <= budget) & (i != j)
-            links.join(i[near], j[near])
+            bits = np.bitwise_count(values[i] ^ values[j]).astype(np.int8)
+            near = (bits <= budget) & (bits > over) & (i != j)
+            i, j = i[near], j[near]
+            if check is None:
+                links.join(i, j)
+            while check and len(i):
+                apart = links.label[i] != links.label[j]
+                i, j = i[apart], j[apart]
+                some = check(i[:CHECKED], j[:CHECKED])
+                links.join(i[:CHECKED][some], j[:CHECKED][some])
+                i, j = i[CHECKED:], j[CHECKED:]
         a = b
