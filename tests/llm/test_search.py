@@ -38,7 +38,7 @@ def test_trie_links_what_brute_force_does(seed):
     v = np.unique(v)
     lo, hi = np.array([0]), np.array([len(v)])
     for k in (0, 1, 3, 9):
-        assert link(v, lo, hi, lo, hi, 63, k).tolist() == near(v, k)
+        assert link(v, lo, hi, lo, hi, 63, k).label.tolist() == near(v, k)
 
 
 def test_fingerprint_by_hand():
