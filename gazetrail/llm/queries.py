@@ -80,9 +80,29 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+#: The table is filled by recursion, one claim a step.  SQL cannot express the other operators of this list.
+SHARDING_SQL = """
+WITH RECURSIVE number AS (
+    SELECT k, ('0x' || substr(md5('offset shard-' || lpad(k::VARCHAR, 2, '0')), 1, 12))::BIGINT % 2039 AS first,
+           ('0x' || substr(md5('step shard-' || lpad(k::VARCHAR, 2, '0')), 1, 12))::BIGINT % 2038 + 1 AS step
+    FROM range(16) r(k)
+), turns AS (
+    SELECT 0::BIGINT AS n, -1::BIGINT AS slot, list_transform(range(2039), lambda x: false) AS taken
+    UNION ALL
+    SELECT n, slot, list_transform(taken, lambda x, i: x OR i = slot + 1)
+    FROM (SELECT n + 1 AS n, taken, list_filter(list_transform(range(2039), lambda j: (first + j * step) % 2039), lambda s: NOT taken[s + 1])[1] AS slot
+          FROM turns JOIN number ON k = n % 16 WHERE n < 2039)
+), lookup AS (
+    SELECT slot, 'shard-' || lpad(((n - 1) % 16)::VARCHAR, 2, '0') AS shard FROM turns WHERE n > 0
+)
+SELECT doc_id, slot, shard
+FROM (SELECT doc_id, coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT % 2039, 0) AS slot FROM documents) JOIN lookup USING (slot)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_licenses, op4_media, op5_simhash_groups, op6_packing, op7_secrets, op8_decontaminate, op9_sharding, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_sharding": SHARDING_SQL}

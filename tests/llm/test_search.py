@@ -101,6 +101,42 @@ def test_deduplicated(docs):
     assert simhash.deduplicated(docs([])).count() == 0
 
 
+def similar(texts, n=5, at_least=0.8):
+    """Groups by the similarity of all pairs."""
+    bags = []
+    for t in texts:
+        ws = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+        bags.append({" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)} or ({" ".join(ws)} if ws else set()))
+    alike = lambda a, b: len(a & b) >= at_least * len(a | b)
+    return groups_of(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(bags[i], bags[j])])
+
+
+@pytest.mark.parametrize("limits", [{}, {"room": 1}, {"room": 1, "most": 2}])
+def test_similar_groups_against_all_pairs(docs, limits):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(300)]
+    shared = " ".join(rng.choices(words, k=60))  # a passage that many unrelated texts have
+    texts = [None, "", " \n", "one", "One", "two words", "two words"]
+    for k in range(24):
+        base = rng.choices(words, k=rng.randint(80, 300))
+        texts.append(" ".join(base) + " " + shared)
+        for _ in range(rng.randint(0, 5)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 30))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy).upper() + " \n" + shared)
+        if k % 3 == 0:  # a repeated line weighs no more than one
+            texts.append(" ".join(base) + " " + shared + (" " + shared) * 20)
+    got = simhash.similar_groups(docs([(i, t, "en", "a") for i, t in enumerate(texts)], extra=True), **limits)
+    assert [r.component_id for r in got.orderBy("doc_id").collect()] == similar(texts)
+
+
+def test_similar_groups_edges(docs):
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.similar_groups(docs()).collect())
+    assert got == [(-1, -1), (1, 1), (1, 1), (2, 2), (3, 2), (4, 2), (5, 1), (6, 6), (7, 7)]
+    assert simhash.similar_groups(docs([])).count() == 0
+
+
 def distance(pattern, text):
     """Fewest edits between the pattern and any part of the text."""
     row = [0] * (len(text) + 1)
