@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, scorers: dict | None = None) -> None:
-    """`scorers` maps a model's name to a factory of a scorer; without one the deterministic stand-in scores."""
+    """`scorers` maps a model's name to a factory of a scorer; the deterministic stand-in scores only under its own name."""
     a = parser().parse_args(argv)
     spark = session.local()
     read = lambda path: tables.read(spark, path)
@@ -63,7 +63,10 @@ def main(argv: list[str] | None = None, scorers: dict | None = None) -> None:
         tables.write(corpus.ngram_table(ordered(read(a.input)), train, a.order, a.min_count, a.alpha), a.output)
     elif a.step in ("surprisal-ar", "surprisal-mlm"):
         mode = {"mode": "causal"} if a.step == "surprisal-ar" else {"mode": "masked", "max_length": a.max_length}
-        factory = (scorers or {}).get(a.model) or (lambda: scoring.HashScorer(**mode))
+        known = {"stand-in": lambda: scoring.HashScorer(**mode)} | (scorers or {})
+        if a.model not in known:
+            raise SystemExit(f"no scorer for the model {a.model}; pass one to main(scorers=...), or --model stand-in for made-up scores")
+        factory = known[a.model]
         suffix = "surprisal" if a.step == "surprisal-ar" else "pseudo_surprisal"
         tables.write(scoring.model_surprisal(ordered(read(a.input)), factory, a.model, suffix, a.max_sentences), a.output)
     elif a.step == "merge":

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetrail.functions import numeric, text
-from gazetrail.operators import filters, joins, ngram, projections, regression, sentence
+from gazetrail.operators import filters, joins, ngram, projections, regression, scoring, sentence
 from gazetrail.plans import analysis, corpus
 from gazetrail.schema import TIMES
 from gazetrail.sources import tables
@@ -535,6 +535,72 @@ def best_incremental(spark, sf_dir):
     return analysis.best_models(_results(spark, sf_dir))
 
 
+@query(f"WITH r AS ({RESULTS}) SELECT target, model, round(r2 - max(CASE WHEN model = 'F' THEN r2 END) OVER (PARTITION BY target), 9) AS value FROM r")
+def chart_delta_r2(spark, sf_dir):
+    rows = _results(spark, sf_dir)
+    first = rows.filter("model = 'F'").select("target", F.col("r2").alias("lexical"))
+    return analysis.chart(rows.join(first, "target", "left").withColumn("delta_r2_vs_lexical", F.round(F.col("r2") - F.col("lexical"), 9)), "delta_r2_vs_lexical")
+
+
+# --- units, marks and scorers
+
+
+@query("SELECT event_id, round(value / ln(2), 6) AS bits FROM events")
+def nats_to_bits(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.round(numeric.nats_to_bits(F.col("value")), 6).alias("bits"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+m AS (SELECT vec_id, x, list_max(x) AS top FROM e), t AS (SELECT *, ln(list_sum(list_transform(x, lambda v: exp(v - top)))) AS s FROM m)
+SELECT vec_id, round(-s, 5) AS highest, round(list_sum(x) - len(x) * (top + s), 3) AS total FROM t""")
+def log_softmax(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", numeric.log_softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("p"))
+    return rows.select("vec_id", F.round(F.array_max("p"), 5).alias("highest"), F.round(F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x), 3).alias("total"))
+
+
+@query(r"SELECT conv_id, turn, array_to_string(list_concat(list_concat(['<s>', '<s>'], list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')), ['</s>']), ' ') AS marked FROM conversations")
+def pad_sentence(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.padded(text.tokens(F.col("text")), 3), " ").alias("marked"))
+
+
+@query(f"WITH {_grams(3)} SELECT CAST(sum(c) AS BIGINT) AS total, (SELECT count(DISTINCT lower(word)) + 3 FROM words) AS vocabulary FROM counts WHERE n = 1")
+def unigram_total(spark, sf_dir):
+    m = ngram.fit(_sentences(spark, sf_dir), 3)
+    return spark.createDataFrame([(m.total, m.size)], "total long, vocabulary long")
+
+
+@query(f"WITH {W}, v AS (SELECT lower(word) AS v FROM words GROUP BY 1 HAVING count(*) >= 3) SELECT sent_id, count(*) AS n_words, count(*) - count(v) AS n_unknown FROM words LEFT JOIN v ON lower(word) = v GROUP BY sent_id")
+def oov_map(spark, sf_dir):
+    rows = _sentences(spark, sf_dir)
+    known = ngram.known_words(rows, ngram.vocabulary(rows, 3), "sentence_id")
+    unknown = F.filter("words", lambda w: w == text.UNK)
+    return known.select(F.col("sentence_id").alias("sent_id"), F.size("words").cast("long").alias("n_words"), F.size(unknown).cast("long").alias("n_unknown"))
+
+
+@query(f"WITH {R} SELECT reader AS participant_id, count(*) AS n, CAST(sum(CASE WHEN word_pos <= 5 THEN length(word) END) AS BIGINT) AS score FROM readings GROUP BY reader")
+def expand_item_feature(spark, sf_dir):
+    rows = readings(spark, sf_dir).select(F.col("reader").alias("participant_id"), F.col("sent_id").alias("sentence_id"), F.col("word_pos").alias("word_id"))
+    scores = words(spark, sf_dir).filter("word_pos <= 5").select(F.col("sent_id").alias("sentence_id"), F.col("word_pos").alias("word_id"), F.length("word").alias("score"))
+    return joins.expand_items(rows, scores).groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
+
+
+def _stand_in(spark, sf_dir, **options) -> DataFrame:
+    """Words of all conversations under the stand-in scorer: it shows what tokens, words and sums do, not a model."""
+    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("sentence_id"), F.posexplode(text.tokens(F.col("text"))).alias("i", "word"))
+    rows = turns.select(F.lit("pp0").alias("participant_id"), "sentence_id", F.col("i").alias("word_id"), (F.col("i") + 1).alias("position_in_sentence"), "word", F.col("i").alias("_row_ord"))
+    return scoring.model_surprisal(rows, lambda: scoring.HashScorer(**options), "stand-in")
+
+
+@query()
+def ar_surprisal(spark, sf_dir):
+    return _stand_in(spark, sf_dir, mode="causal")
+
+
+@query()
+def mlm_surprisal(spark, sf_dir):
+    return _stand_in(spark, sf_dir, mode="masked")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -67,11 +67,13 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "c.yaml").write_text("column_map: {" + ", ".join(f"{n}: {n}" for n in names) + "}\n")
     cli.main(["prepare-corpus", "--config", f"{d}/c.yaml", "--input", f"{d}/raw.parquet", "--output", f"{d}/std.parquet"])
     cli.main(["ngram", "--input", f"{d}/std.parquet", "--output", f"{d}/n.parquet", "--order", "2"])
-    cli.main(["surprisal-ar", "--input", f"{d}/std.parquet", "--output", f"{d}/ar.parquet"])
-    cli.main(["surprisal-mlm", "--input", f"{d}/std.parquet", "--output", f"{d}/mlm.parquet", "--max-sentences", "1"])
+    with pytest.raises(SystemExit, match="no scorer"):  # never made-up scores under a model's name
+        cli.main(["surprisal-ar", "--input", f"{d}/std.parquet", "--output", f"{d}/ar.parquet"])
+    cli.main(["surprisal-ar", "--input", f"{d}/std.parquet", "--output", f"{d}/ar.parquet", "--model", "stand-in"])
+    cli.main(["surprisal-mlm", "--input", f"{d}/std.parquet", "--output", f"{d}/mlm.parquet", "--model", "stand-in", "--max-sentences", "1"])
     cli.main(["merge", "--base", f"{d}/std.parquet", "--feature", f"{d}/n.parquet", "--feature", f"{d}/ar.parquet", "--feature", f"{d}/mlm.parquet", "--output", f"{d}/all.parquet"])
     out = spark.read.parquet(f"{d}/all.parquet")
-    assert out.count() == 10 and {"ngram2_surprisal", "distilgpt2_surprisal", "roberta_base_pseudo_surprisal"} <= set(out.columns)
-    assert out.filter("roberta_base_pseudo_surprisal is null").count() == 4
+    assert out.count() == 10 and {"ngram2_surprisal", "stand_in_surprisal", "stand_in_pseudo_surprisal"} <= set(out.columns)
+    assert out.filter("stand_in_pseudo_surprisal is null").count() == 4
     cli.main(["inspect", "--input", f"{d}/all.parquet", "--rows", "1"])
     assert "0 " in capsys.readouterr().out
