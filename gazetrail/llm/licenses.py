@@ -1,11 +1,11 @@
 """Licence notices by a positional index of rare words.
 
-Templates are sequences of words with the phrases that a notice must hold.  An index keeps, for each word of the
-templates, the templates and positions it stands at.  A file's licence words are ordered by
-inverse document frequency, counted over all documents; the `rarest` ones are looked up, and each
-(template, place in the file - place in the template) they agree on is a candidate.  A candidate that has
-enough of its rare words at the right distance is read in full: every mandatory phrase must
-stand there word for word, and the share of the template's words in place is its score.
+Templates are sequences of words with the phrases that a notice must hold.  An index keeps the rarest places of
+each template, by inverse document frequency counted over all documents: one more than a notice may have
+wrong, so every notice has one of them right.  Each (template, place in the file - place in the template) that
+a file's words point at is a candidate and is read in full: every mandatory phrase must
+stand there word for word, and the share of the template's words in place is its score.  That misses no notice, whatever
+else a file holds.
 
 Besides, the base phrases are looked for at every word.  Words are runs of 0-9, a-z (A-Z are lower-cased) and
 non-ASCII characters.  Null and empty texts have no words, no places and score 0.
@@ -60,24 +60,23 @@ def _hash(word: str) -> int:
 class Index:
     """Postings of the templates' words; idf: word -> weight (missing: the highest)."""
 
-    def __init__(self, idf: dict[str, float] | None = None, templates=None, base=None, rarest: int = 12, share: float = 0.7):
+    def __init__(self, idf: dict[str, float] | None = None, templates=None, base=None, share: float = 0.7):
         self.templates = [(a, b.split(), [p.split() for p in c]) for a, b, c in (TEMPLATES if templates is None else templates)]
         self.base = {tuple(k.split()): v for k, v in (BASE if base is None else base).items()}
-        self.rarest, self.share = rarest, share
+        self.share = share
         every = {w for _, t, m in self.templates for x in (t, *m) for w in x} | {w for k in self.base for w in k}
         self.words = sorted(every, key=_hash)
         self.at = {w: k for k, w in enumerate(self.words)}
         self.lookup = Lookup(np.array([_hash(w) for w in self.words], np.uint64))
         top = max((idf or {}).values(), default=1.0)
         self.idf = np.array([(idf or {}).get(w, top) for w in self.words])
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, text, _) in enumerate(self.templates):
-            for p, w in enumerate(text):
-                self.postings.setdefault(self.at[w], []).append((t, p))
-        self.need = []  # the two rarest words of each template (one, if it has no more)
-        for _, text, _ in self.templates:
-            own = sorted({self.at[w] for w in text}, key=lambda k: (-self.idf[k], k))
-            self.need.append(set(own[:3]))
+        self.texts = [np.array([self.at[w] for w in text]) for _, text, _ in self.templates]
+        self.must = [[[self.at[w] for w in m] for m in must] for *_, must in self.templates]
+        self.needs = [{w for m in must for w in m} for must in self.must]
+        self.postings = []  # for each template, its rarest places
+        for text in self.texts:
+            wrong = sum(k / len(text) >= share for k in range(1, len(text) + 1)) - 1
+            self.postings.append(sorted(range(len(text)), key=lambda p: (-self.idf[text[p]], text[p], p))[: wrong + 1])
 
     def known(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(words in each row, licence word at each word or -1, first word of each row) of a block."""
@@ -108,26 +107,21 @@ class Index:
         where = np.flatnonzero(ids >= 0)
         if not len(where):
             return []
-        present = np.unique(ids[where])
-        rare = present[np.lexsort((present, -self.idf[present]))][: self.rarest]
-        votes: dict[tuple[int, int], set[int]] = {}
-        for w in rare.tolist():
-            if w in self.postings:
-                for i in where[ids[where] == w].tolist():
-                    for t, p in self.postings[w]:
-                        votes.setdefault((t, i - p), set()).add(w)
+        present = set(np.unique(ids[where]).tolist())
         out = []
-        for (t, at), got in votes.items():
-            label, text, must = self.templates[t]
-            if len(got & self.need[t]) < min(2, len(self.need[t])):
-                continue
-            a, b = max(0, at), min(len(ids), at + len(text))
-            here = ids[a:b].tolist()
-            if not all(_holds(here, [self.at[w] for w in m]) for m in must):
+        for (label, *_), text, must, needs, posting in zip(self.templates, self.texts, self.must, self.needs, self.postings):
+            if not needs <= present:
                 continue
-            share = sum(x == self.at[w] for x, w in zip(here, text[a - at :])) / len(text)
-            if share >= self.share:
-                out.append((a, label, share))
+            at = np.unique(np.concatenate([where[ids[where] == text[p]] - p for p in posting]))
+            right = np.zeros(len(at), np.int64)
+            for p, w in enumerate(text):
+                i = at + p
+                right += (i >= 0) & (i < len(ids)) & (ids[np.clip(i, 0, len(ids) - 1)] == w)
+            for k in np.flatnonzero(right / len(text) >= self.share).tolist():
+                a, b = max(0, int(at[k])), min(len(ids), int(at[k]) + len(text))
+                here = ids[a:b].tolist()
+                if all(_holds(here, m) for m in must):
+                    out.append((a, label, int(right[k]) / len(text)))
         return sorted(out)
 
 

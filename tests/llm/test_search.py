@@ -219,3 +219,20 @@ def test_licence_places_keep_their_distance():
     assert index.notices(ids("zz alpha beta gamma delta")) == [(1, "x", 1.0)]
     assert index.notices(ids("alpha beta gamma zz")) == [(0, "x", 0.75)]
     assert index.notices(ids("gamma beta alpha delta")) == [] and index.notices(ids("zz")) == []
+
+
+def test_no_licence_notice_is_lost_among_others(docs):
+    filler = " ".join(w for _, t, _ in licenses.TEMPLATES for w in sorted(t.split()))
+    bsd = "Copyright (c) 2020. All rights reserved. " + licenses.TEMPLATES[8][1]
+    # the three rarest words of the template are altered, over 0.7 of it stands
+    altered = "redistribution and use in source and binary forms with or without modification are permitted provided that the xx xx are xx"
+    every = f" {filler} ".join(t for _, t, _ in licenses.TEMPLATES)
+    df = docs([(1, every, "en", "a"), (2, bsd, "en", "a"), (3, altered, "en", "a"), (4, filler + " all rights reserved", "en", "a")])
+    weights = licenses.idf(df) | {"following": 9.0, "conditions": 9.0, "met": 9.0}
+    out = {r.doc_id: r for r in licenses.scan(df, weights).collect()}
+    ws = every.split()
+    found = {(p.word, p.label) for p in out[1].places if p.share == 1}
+    for label, text, _ in licenses.TEMPLATES:
+        n = len(text.split())
+        assert {(i, label) for i in range(len(ws)) if ws[i : i + n] == text.split()} <= found
+    assert (out[2].labels, out[3].labels, out[3].score) == ("bsd,proprietary", "bsd", 18 / 21) and "proprietary" in out[4].labels
