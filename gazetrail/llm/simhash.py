@@ -20,7 +20,8 @@ A rough group of more than `room` bytes of sets is dealt to its buckets instead.
 Texts: A-Z are lower-cased, words are runs without ASCII white space, shingles of n words are joined by a
 space (repeats count; fewer words: the whole sequence).  A bit is 1 if it is set in over half of the
 shingles' XXH64 (seed 42).  No words, and a null text: fingerprint 0, which is linked like any other.
-Null doc_ids are kept; a group's id is the smallest doc_id that is not null.
+Null doc_ids are kept; a group's id is the smallest doc_id that is not null.  A row's key is its doc_id with a
+hash of its text as it is: ids may be null or stand for several texts.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -77,6 +78,10 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _raw(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def _texts(b: pa.RecordBatch) -> Iterator[bytes]:
     for _, _, data, off in blocks(b.column("text")):
         raw, off = data.tobytes(), off.tolist()
@@ -94,7 +99,7 @@ def shingle_set(text: bytes, n: int, seed: int = 42) -> tuple[int, np.ndarray]:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, fp, sketch, cells): a hash of the text's words, the fingerprint of its distinct shingles,
+    """(doc_id, raw, node, fp, sketch, cells): a hash of the text as it is, one of its words, the fingerprint of its distinct shingles,
     16 bits of each minimum, and the buckets of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +119,9 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             cells = (low ^ (np.roll(low, -1, axis=1) * _ODD)) * _ODD[0] + np.arange(KEYS, dtype=np.uint64)
             sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * KEYS), b.num_rows, [None, pa.py_buffer((low >> np.uint64(24)).astype("<u2").tobytes())])
             cells = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * KEYS), pa.array(cells.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)), sketch.cast(pa.binary()), cells], ["doc_id", "node", "fp", "sketch", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("raw"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)), sketch.cast(pa.binary()), cells], ["doc_id", "raw", "node", "fp", "sketch", "cells"])
 
-    return _rows(docs).mapInArrow(lean(run), "doc_id long, node long, fp long, sketch binary, cells array<long>")
+    return _rows(docs).withColumn("raw", _raw("text")).mapInArrow(lean(run), "doc_id long, raw long, node long, fp long, sketch binary, cells array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -266,11 +271,17 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, b
 
     Two such sets have a cosine of 2s / (1 + s), so each bit differs with p = acos(...) / pi at most; the budget
     is the mean of 64 such bits and four standard deviations (21 at 0.8), unless it is given."""
+    return _similar(docs, shingle, similarity, budget, most, room).select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def _similar(docs: DataFrame, shingle: int, similarity: float, budget: int | None = None, most: int = 20_000, room: int = 64 << 20) -> DataFrame:
+    """(doc_id, raw, first) for each row of `docs`: first is the key of its group's first row, by doc_id with nulls last,
+    then by the hash of the text."""
     if budget is None:
         p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
         budget = int(64 * p + 4 * np.sqrt(64 * p * (1 - p)))
     own = storage.written(signatures(docs, shingle), "signatures")
-    nodes = storage.written(own.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("fp", "sketch", "cells"))), "distinct-texts")
+    nodes = storage.written(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("first"), *(F.first(c).alias(c) for c in ("fp", "sketch", "cells"))), "distinct-texts")
     cells = _refined(nodes.select("node", "fp", "sketch", F.explode(F.array_distinct("cells")).alias("cell")), most)
     rough = storage.written(components(cells.repartition("cell").mapInArrow(lean(_link_similar(budget)), "u long, v long")), "rough-groups")
     rows = rough.join(nodes, "node").join(shingle_sets(docs, shingle), "node").select("root", "node", "fp", "sketch", "cells", "bag")
@@ -282,9 +293,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, b
         cells = cells.join(large, "root", "left_anti").unionByName(_refined(hot, most))
     found = cells.select("cell", "node", "fp", "sketch", "bag").repartition("cell").mapInArrow(lean(_link_similar(budget, similarity)), "u long, v long")
     root = components(found)
-    named = nodes.select("node", "first_id").join(root, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return own.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    named = nodes.select("node", "first").join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    ids = named.groupBy("root").agg(F.min("first").alias("first"))
+    return own.select("doc_id", "raw", "node").join(named.select("node", "root").join(ids, "root").select("node", "first"), "node").select("doc_id", "raw", "first")
 
 
 def _distinct(own: DataFrame) -> DataFrame:
@@ -299,16 +310,17 @@ def _named(own: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of `similar_groups`, the one with the smallest doc_id, unchanged.  Repeated rows of an id and
-    text leave one."""
-    found = similar_groups(docs, shingle, similarity).select("doc_id", "component_id")
-    gone = found.filter("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null").select("doc_id").distinct()
+    """One row of each group of `similar_groups`, the one with the smallest doc_id (nulls last), unchanged.  Repeated rows
+    of an id and text leave one."""
+    found = _similar(docs, shingle, similarity)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("raw") == F.col("first.raw"))
+    gone = found.filter(~stays).select("doc_id", "raw").distinct()
     # whole rows as one column: no name of theirs can clash
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    rest = rows.join(gone, rows["id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    many = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), _raw("text").alias("key"))
+    same = lambda df: rows["id"].eqNullSafe(df["doc_id"]) & (rows["key"] == df["raw"])
+    rest = rows.join(gone, same(gone), "left_anti")
+    many = found.filter(stays).groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "raw")
     if many.first() is not None:
-        same = rest["id"].eqNullSafe(many["doc_id"])
-        once = rest.join(many, same, "left_semi").withColumn("text", F.col("row.text")).dropDuplicates(["id", "text"]).drop("text")
-        rest = rest.join(many, same, "left_anti").unionByName(once)
+        once = rest.join(many, same(many), "left_semi").dropDuplicates(["id", "key"])
+        rest = rest.join(many, same(many), "left_anti").unionByName(once)
     return rest.select("row.*")

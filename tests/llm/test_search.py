@@ -101,6 +101,29 @@ def test_deduplicated(docs):
     assert simhash.deduplicated(docs([])).count() == 0
 
 
+def test_deduplicated_goes_by_row(docs):
+    rng = random.Random(6)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(200))
+    near = lambda t: t + " " + "".join(rng.choices("klmn", k=6))
+    a, b, c, d, e, f, g = (prose() for _ in range(7))
+    alone = [(None, prose()) for _ in range(5)]
+    rows = [
+        *((1, a), (None, near(a)), (None, near(a))),  # null ids near one that is not
+        *alone,
+        *((2, b), (3, near(b)), (3, c)),  # an id of a near copy and of a text of its own
+        *((None, d), (None, near(d)), (None, near(d))),  # null ids only
+        *((4, e), (4, near(e))),  # one id, near copies
+        *((5, f), (5, f), (5, g), (5, g.upper())),  # repeated rows, and the same words
+        *((None, alone[0][1]), (6, alone[1][1])),
+    ]
+    for order in (rows, rows[::-1]):
+        kept = [(r.doc_id, r.text) for r in simhash.deduplicated(docs([(i, t, "en", "a") for i, t in order], extra=True)).collect()]
+        assert len(kept) == len(set(kept)) and set(kept) <= set(rows)
+        assert {(1, a), (2, b), (3, c), (5, f), (6, alone[1][1]), alone[0], *alone[2:]} <= set(kept)
+        rest = set(kept) - {(1, a), (2, b), (3, c), (5, f), (6, alone[1][1]), alone[0], *alone[2:]}
+        assert sorted((i or 0, t[:50].lower()) for i, t in rest) == sorted([(0, d[:50]), (4, e[:50]), (5, g[:50])])
+
+
 def similar(texts, n=5, at_least=0.8):
     """Groups by the similarity of all pairs."""
     bags = []
