@@ -2,14 +2,15 @@
 
 All of it is DataFrame expressions and Spark ML, inside the JVM.  A text is cut at ASCII white space; a word is a
 candidate if it has a provider's form, follows an assignment to a telling name, or is a long
-mixture of letters and digits.  Each candidate becomes numbers: length, shares of character
+mixture of letters and digits.  A word has a candidate for every place where a rule matches, matches within others too; the
+same value at the same place counts once, under the first rule.  Each candidate becomes numbers: length, shares of character
 classes, transitions between them, distinct characters, cover by dictionary words, what the
 path says and what the neighbouring words say.  A random forest trained from labelled findings
 gives the probability that it is a secret.  Private-key blocks need no forest.
 
 Labelled findings are a table (value, before2, before, after, path, label); `sample_findings` makes one
 from hashes of numbers where there is none.  Null and empty texts have no candidates; a null path is
-empty; repeated rows have each their own findings; start is the first place of the value in its text.
+empty; repeated rows have each their own findings; start is the finding's own place in its text.
 """
 
 from __future__ import annotations
@@ -29,8 +30,13 @@ RULES = [
     ("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)"),
     ("assigned", rf"(?i:{NAMES})[A-Za-z0-9_.-]*[\"']?[=:]+[\"']?([^\s\"'<>,;]{{6,}}?)(?=[\"'<>,;]|[^A-Za-z0-9]*$)"),
 ]
-AFTER_NAME = r"^[\"'(]*([^\s\"'<>,;]{6,}?)(?:[\"'<>,;].*|[^A-Za-z0-9]*)$"
-GENERIC = r"^[\"'(]*((?=[^0-9]*[0-9][^0-9]*[0-9][^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2})[^A-Za-z0-9+/=_-]*$"
+#: A value within a query string; it may also end at the whole word's end.
+PARAMETER = rf"(?i:{NAMES})[A-Za-z0-9_.-]*=([^\s\"'<>,;&]{{6,}})(?=&[A-Za-z0-9_.-]+=)"
+#: group 1 is what stands before the value, group 2 the value
+AFTER_NAME = r"^([\"'(]*)([^\s\"'<>,;]{6,}?)(?:[\"'<>,;].*|[^A-Za-z0-9]*)$"
+GENERIC = r"^([\"'(]*)((?=[^0-9]*[0-9][^0-9]*[0-9][^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2})[^A-Za-z0-9+/=_-]*$"
+SPACE = r"[\x20\x09-\x0D]+"
+PLACES = "array<struct<off: int, value: string, rule: string, within: boolean>>"
 #: A text without any of these has no candidate.
 HINT = rf"AKIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|(?i:{NAMES})|[A-Za-z0-9+/_-]{{20}}"
 KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
@@ -44,7 +50,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, path, rule, value, start, word, before2, before, after) for each candidate in `docs` (doc_id, text[, source])."""
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
-    rows = rows.filter(F.col("text").rlike(HINT)).withColumn("w", F.split("text", r"[\x20\x09-\x0D]+"))
+    rows = rows.filter(F.col("text").rlike(HINT)).withColumn("w", F.split("text", SPACE))
     named = rf"(?i)(?:{NAMES})[A-Za-z0-9_.-]*[\"']?$"
 
     def follows(w: Column, i: Column) -> Column:
@@ -54,14 +60,48 @@ def candidates(docs: DataFrame) -> DataFrame:
     every = F.transform("w", lambda w, i: F.struct(i.alias("i"), w.alias("w")))
     marked = "|".join(f"(?:{p})" for _, p in RULES)
     hits = F.filter(every, lambda x: (F.length(x.w) >= 6) & (x.w.rlike(marked) | x.w.rlike(GENERIC) | follows(x.w, x.i)))
-    found = F.transform(hits, lambda x: F.struct(x.i.alias("word"), x.w.alias("w"), F.coalesce(F.get(F.col("w"), x.i - 2), F.lit("")).alias("before2"), F.coalesce(F.get(F.col("w"), x.i - 1), F.lit("")).alias("before"), F.coalesce(F.get(F.col("w"), x.i + 1), F.lit("")).alias("after"), follows(x.w, x.i).alias("follows")))
-    out = rows.select("doc_id", "path", "text", F.explode(found).alias("c")).select("doc_id", "path", "text", "c.*")
-    rule = F.coalesce(*(F.when(F.col("w").rlike(p), F.lit(n)) for n, p in RULES), F.when(F.col("follows"), F.lit("assigned")), F.lit("generic"))
-    value = F.coalesce(*(F.when(F.col("rule") == n, F.nullif(F.regexp_extract("w", p, 1), F.lit(""))) for n, p in RULES), F.when(F.col("follows"), F.nullif(F.regexp_extract("w", AFTER_NAME, 1), F.lit(""))), F.nullif(F.regexp_extract("w", GENERIC, 1), F.lit("")), F.col("w"))
-    out = out.withColumn("rule", rule).withColumn("value", value)
+    # arrays of one row are exploded: the optimizer would else repeat their expressions for each word
+    rows = rows.select("doc_id", "path", F.explode(F.array(F.struct("text", "w", hits.alias("hits")))).alias("c")).filter(F.size("c.hits") > 0)
+    sizes = F.zip_with("c.w", F.regexp_extract_all("c.text", F.lit(SPACE), F.lit(0)), lambda x, y: F.length(x) + F.coalesce(F.length(y), F.lit(0)))
+    rows = rows.select("doc_id", "path", F.explode(F.array(F.struct("c.w", "c.hits", sizes.alias("sizes")))).alias("c")).select("doc_id", "path", "c.*")
+    # the first character of each hit, carried from hit to hit
+    none = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+
+    def step(state: Column, x: Column) -> Column:
+        at = F.aggregate(F.slice("sizes", state.i + 1, x.i - state.i), state.at, lambda n, k: n + k)
+        return F.struct(x.i.alias("i"), at.alias("at"), F.array_append(state.all, at).alias("all"))
+
+    found = F.zip_with("hits", F.aggregate("hits", none, step)["all"], lambda x, at: F.struct(x.i.alias("word"), x.w.alias("w"), at.alias("at"), F.coalesce(F.get(F.col("w"), x.i - 2), F.lit("")).alias("before2"), F.coalesce(F.get(F.col("w"), x.i - 1), F.lit("")).alias("before"), F.coalesce(F.get(F.col("w"), x.i + 1), F.lit("")).alias("after"), follows(x.w, x.i).alias("follows")))
+    out = rows.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "path", "c.*")
+    every = F.concat(*(_places("w", n, p) for n, p in [*RULES, ("assigned", PARAMETER)]), _whole("w", "assigned", AFTER_NAME, F.col("follows")), _whole("w", "generic", GENERIC, F.lit(True)))
+    out = out.select("*", F.explode(F.array(F.struct(every.alias("every")))).alias("e")).select("*", "e.every")
+    once = F.filter("every", lambda x, k: ~F.exists(F.slice("every", F.lit(1), k), lambda y: (y.off == x.off) & (y.value == x.value)))
+    out = out.withColumn("f", F.explode(once)).select("*", "f.*")
     # a name within the candidate's own word is its neighbour
-    out = out.withColumn("before", F.when((F.col("rule") == "assigned") & ~F.col("follows"), F.regexp_extract("w", r"^(.*?[=:])", 1)).otherwise(F.col("before")))
-    return out.select("doc_id", "path", "rule", "value", F.expr("cast(instr(text, value) - 1 as bigint)").alias("start"), F.col("word").cast("long").alias("word"), "before2", "before", "after")
+    own = F.regexp_extract(F.expr("substring(w, 1, off)"), r"([^,;&?<>{}()]*[=:])[^=:]*$", 1)
+    out = out.withColumn("before", F.when((F.col("rule") == "assigned") & F.col("within"), own).otherwise(F.col("before")))
+    return out.select("doc_id", "path", "rule", "value", (F.col("at") + F.col("off")).cast("long").alias("start"), F.col("word").cast("long").alias("word"), "before2", "before", "after")
+
+
+def _places(w: str, rule: str, pattern: str) -> Column:
+    """(off, value, rule, within) of every match of `pattern`, whose one group ends it; matches may overlap."""
+    ahead, text = f"(?=({pattern}))", F.concat(F.lit(" "), w)  # no match is at the start, so each ends a piece
+    full, value = (F.regexp_extract_all(text, F.lit(ahead), F.lit(k)) for k in (1, 2))
+    matches = F.zip_with(F.zip_with(full, value, lambda x, v: F.struct(x.alias("x"), v.alias("v"))), F.split(text, ahead, -1), lambda m, piece: F.struct(m.x.alias("x"), m.v.alias("v"), piece.alias("piece")))
+
+    def step(state: Column, m: Column) -> Column:
+        at = state.at + F.length(m.piece)
+        one = F.struct((at + F.length(m.x) - F.length(m.v)).alias("off"), m.v.alias("value"), F.lit(rule).alias("rule"), F.lit(True).alias("within"))
+        return F.struct(at.alias("at"), F.when(m.v.isNull(), state.all).otherwise(F.array_append(state.all, one)).alias("all"))
+
+    every = F.aggregate(matches, F.struct(F.lit(-1).alias("at"), F.array().cast(PLACES).alias("all")), step)["all"]
+    return F.when(F.col(w).rlike(pattern), every).otherwise(F.array().cast(PLACES))
+
+
+def _whole(w: str, rule: str, pattern: str, where: Column) -> Column:
+    """The same for a pattern of the whole word."""
+    one = F.struct(F.length(F.regexp_extract(w, pattern, 1)).alias("off"), F.regexp_extract(w, pattern, 2).alias("value"), F.lit(rule).alias("rule"), F.lit(False).alias("within"))
+    return F.when(where & F.col(w).rlike(pattern), F.array(one)).otherwise(F.array().cast(PLACES))
 
 
 def key_blocks(docs: DataFrame) -> DataFrame:

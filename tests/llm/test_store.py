@@ -88,6 +88,30 @@ def test_candidates(docs):
     assert [x[:2] for x in got[2]] == [("assigned", "hunter22x"), ("assigned", "s3cretvalue")] and got[7][0][:2] == ("generic", "9f8e7d6c5b4a39281706abcd")
 
 
+def test_every_secret_of_a_word(docs, forest):
+    one, two, word = "AKIA" + "Q2W3E4R5T6Y7U8I9", "AKIA" + "Z9X8C7V6B5N4M3L2", "b7db7aa4a5fcc78305"
+    rows = [
+        (1, f'é {{"key":"{one}","password":"{word}"}} x'),
+        (2, f"a\t \n{one},{two} {two}"),
+        (3, f"https://x.y/?token={word}&password=ce0cc631f6559e745b"),
+        (4, f"PWD={word};SECRET={word};n=1"),
+        (5, f"x password = ghp_{one}{two}/9f8e7d6c5b4a39281706abcd"),
+    ]
+    df = docs([(i, t, None, "src/a.py") for i, t in rows], extra=True)
+    got = {}
+    for r in secrets.candidates(df).collect():
+        got.setdefault(r.doc_id, []).append((r.rule, r.value, r.start))
+        assert dict(rows)[r.doc_id][r.start :].startswith(r.value)
+    at = lambda i, v, n=0: dict(rows)[i].index(v, n)
+    assert sorted(got[1]) == [("assigned", word, at(1, word)), ("aws_key", one, at(1, one))]
+    assert sorted(got[2], key=lambda x: x[2]) == [("aws_key", one, 4), ("aws_key", two, 25), ("aws_key", two, 46)]
+    assert {v for _, v, _ in got[3]} == {f"{word}&password=ce0cc631f6559e745b", word, "ce0cc631f6559e745b"}
+    assert sorted(x[2] for x in got[4]) == [4, 30] and {x[1] for x in got[4]} == {word}
+    assert {x[0] for x in got[5]} >= {"github_token", "assigned"} and len(got[5]) == len(set(got[5]))
+    texts = [r.text for r in secrets.redact(df, forest).collect()]
+    assert not any(x in t for t in texts for x in (one, two, word, "ce0cc631f6559e745b"))
+
+
 def test_forest_on_findings_it_has_not_seen(spark):
     every = secrets.sample_findings(spark, 3000).withColumn("k", F.pmod(F.xxhash64("value", "before", "after"), F.lit(4)))
     model = secrets.train(every.filter("k > 0"))
