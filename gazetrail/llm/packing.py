@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gazetrail.llm import storage
 from gazetrail.llm.tokens import encoder
-from gazetrail.llm.textblocks import lean
+from gazetrail.llm.textblocks import blocks, lean
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = PIECES + ", sequence_id long, offset long"
@@ -36,25 +36,32 @@ def cuts(n: int, room: int) -> list[tuple[int, int]]:
     return [(0, first), *((a, a + room) for a in range(first, n, room))]
 
 
+def _cut(n: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of n tokens each, as `cuts` has them."""
+    many = -(-n // room)
+    row = np.repeat(np.arange(len(n)), many)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    head = n - (many - 1) * room
+    start = np.where(piece > 0, head[row] + (piece - 1) * room, 0)
+    return row, piece, start, np.where(piece > 0, room, head[row])
+
+
 def pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """The pieces of `docs` (doc_id, text): doc_id, piece, start, length, ids_crc32 (and ids, on demand)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        code = encoder(tokenizer)
         for b in batches:
-            for a in range(0, b.num_rows, 64):
-                texts = b.column("text").slice(a, 64).fill_null("").to_pylist()
-                rows, ids = [], []
-                for doc_id, raw in zip(b.column("doc_id").slice(a, 64).to_pylist(), code.encode(texts)):
-                    raw += end
-                    for k, (x, y) in enumerate(cuts(len(raw) // 4, room)):
-                        own = raw[4 * x : 4 * y]
-                        rows.append((doc_id, k, x, y - x, zlib.crc32(own)))
-                        if with_ids:
-                            ids.append(np.frombuffer(own, "<i4"))
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            for x, y, data, off in blocks(b.column("text")):
+                flat, at = code.encode_block(data, off, end_id)
+                row, piece, start, length = _cut(np.diff(at), room)
+                first = at[row] + start
+                raw = memoryview(flat.astype("<u4", copy=False).tobytes())
+                crc = [zlib.crc32(raw[4 * p : 4 * q]) for p, q in zip(first.tolist(), (first + length).tolist())]
+                cols = [b.column("doc_id").take(pa.array(x + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 if with_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int32())))
+                    ends = np.append(0, np.cumsum(length)).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

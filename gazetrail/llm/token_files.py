@@ -30,10 +30,9 @@ from pyspark.sql import functions as F
 
 from gazetrail.llm import storage
 from gazetrail.llm.tokens import encoder
-from gazetrail.llm.textblocks import lean
+from gazetrail.llm.textblocks import blocks, lean
 
 NO_ID = -(2**63)
-STEP = 64  # documents encoded at a time
 
 
 def _ranged(docs: DataFrame) -> DataFrame:
@@ -52,7 +51,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
         kind = "<u2" if max(code.size, end_id + 1) <= 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -62,12 +60,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             off.write(np.zeros(1, "<u8").tobytes())
             for b in (b for part in ([first], batches) for b in part):
                 doc.write(b.column("d").to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                for a in range(0, b.num_rows, STEP):
-                    raw = [x + end for x in code.encode(b.column("t").slice(a, STEP).to_pylist())]
-                    ids.write(np.frombuffer(b"".join(raw), "<u4").astype(kind).tobytes())
-                    places = at + np.cumsum([len(x) // 4 for x in raw])
-                    off.write(places.astype("<u8").tobytes())
-                    at = int(places[-1])
+                for _, _, data, ends in blocks(b.column("t")):
+                    own, places = code.encode_block(data, ends, end_id)
+                    ids.write(own.astype(kind).tobytes())
+                    off.write((at + places[1:]).astype("<u8").tobytes())
+                    at += len(own)
                 docs_n += b.num_rows
         yield pa.RecordBatch.from_pylist([{"shard": name, "n_docs": docs_n, "n_ids": at, "bits": 8 * np.dtype(kind).itemsize}])
 
@@ -89,7 +86,8 @@ def read_token_files(spark: SparkSession, folder: str, index: list[dict] | None
     """One row for each document, from the files alone: doc_id, start, n_tokens, ids_crc32 (of the
     ids as 32-bit integers), shard, doc_index (documents before it)."""
     if index is None:
-        index = json.loads(storage.Input(f"{folder}/index.json").read(0, 1 << 40))
+        whole = storage.Input(f"{folder}/index.json")
+        index = json.loads(whole.read(0, whole.size))
     cols = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, doc_index long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,20 +14,34 @@ def whole(tokenizer, texts):
     return [list(e.ids) for e in Tokenizer.from_file(tokenizer).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-def ids(raw):
-    return np.frombuffer(raw, "<u4").tolist()
-
-
-@pytest.mark.parametrize("limit", [800_000, 40])
+@pytest.mark.parametrize("limit", [800_000, 300, 40])
 def test_units_are_the_whole_text(tokenizer, limit):
     rng = random.Random(1)
-    bits = [" ", "  ", "\n", " \n", "\t", "a", "B", "é", "'s", "'ll", "1", "23", ".", "!!", "ß", "中", "　", "\xa0", " ", "😀", "<|endoftext|>", "\0", "́", "\x1c", "\x85", "don't", " the"]
+    bits = [" ", "  ", "\n", " \n", "\t", "\r", "\x0b", "'", "_", "²", "٣", "<|", "longerthanfifteenbytes", "a", "B", "é", "'s", "'ll", "1", "23", ".", "!!", "ß", "中", "　", "\xa0", " ", "😀", "<|endoftext|>", "\0", "́", "\x1c", "\x85", "don't", " the"]
     texts = ["", " ", "  ", "a  b", *("".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(3000))]
     code = UnitEncoder(tokenizer, limit)
-    got = [ids(x) for a in range(0, len(texts), 100) for x in code.encode(texts[a : a + 100])]
+    got = [x.tolist() for a in range(0, len(texts), 100) for x in code.encode(texts[a : a + 100])]
     assert got == whole(tokenizer, texts)
 
 
+def test_blocks_of_units(tokenizer):
+    code = UnitEncoder(tokenizer)
+    ids, at = code.encode_block(np.frombuffer("a b".encode(), np.uint8), np.array([0, 0, 1, 3, 3]), 7)
+    parts = whole(tokenizer, ["", "a", " b", ""])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [[*x, 7] for x in parts]
+    none, at = code.encode_block(np.zeros(0, np.uint8), np.array([0, 0]))
+    assert len(none) == 0 and at.tolist() == [0, 0]
+    # one unit each where the file is of another kind
+    code.cuts = False
+    assert [x.tolist() for x in code.encode(["It's a\nb", "", "x y"])] == whole(tokenizer, ["It's a\nb", "", "x y"])
+
+
+def test_cut_of_many_documents():
+    n = np.array([1, 9, 10, 11, 25, 30])
+    got = list(zip(*(x.tolist() for x in packing._cut(n, 10))))
+    assert got == [(r, k, a, b - a) for r, m in enumerate(n.tolist()) for k, (a, b) in enumerate(packing.cuts(m, 10))]
+
+
 def test_token_files_round_trip(spark, docs, tokenizer, tmp_path):
     df = docs(extra=True)
     folder = f"file://{tmp_path}/t"
