@@ -51,6 +51,12 @@ def lengths(df: DataFrame, key: str = "sentence_id", name: str = "sentence_lengt
     return df.withColumn(name, _known([key], F.count(F.lit(1)).over(Window.partitionBy(key))))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, position: str, length: str) -> DataFrame:
+    """1-based position of each row within `keys`, and how many rows there are; one shuffle for both."""
+    known = lambda c: _known(keys, c)
+    return df.withColumns({position: known(F.row_number().over(_within(keys, *order))), length: known(F.count(F.lit(1)).over(Window.partitionBy(*keys)))})
+
+
 def joined(df: DataFrame, key: str, order: list[str], word: str = "word") -> DataFrame:
     """(key, sentence_text): the words of each sentence in order, joined by spaces."""
     rows = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(word), F.lit("None")).alias("_w"))))
