@@ -10,9 +10,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazetrail.sources import interim
+
 FOLDS = 5
 
 
@@ -133,47 +135,62 @@ def ridge(m: Moments, alpha: float = 1.0) -> np.ndarray:
     return np.append(m.mean[k] - w @ m.mean[:k], w)
 
 
+def turns(loads: list[int], n: int, m: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
+    """How m groups of n rows go to folds of these loads, each to the lightest (the lowest number of equals).
+
+    Fold f takes a group whenever its load is loads[f] + k * n for the next k, so the order is that of all such numbers,
+    and of equals that of the folds.  Cut into levels of n rows, a level has one number of each
+    fold that is not above it, always in the same order: hence a few stretches, each with a fixed cycle of folds.
+    Returns [(first rank, cycle)] and the new loads."""
+    start = [load // n for load in loads]
+    order = sorted(range(len(loads)), key=lambda f: (loads[f] % n, f))
+    levels, loads = sorted(set(start)), list(loads)
+    out, at = [], 0
+    for level, above in zip(levels, [*levels[1:], None]):
+        cycle = [f for f in order if start[f] <= level]
+        many = m - at if above is None else min(m - at, (above - level) * len(cycle))
+        if many <= 0:
+            break
+        out.append((at, cycle))
+        for k, f in enumerate(cycle):
+            loads[f] += n * (many // len(cycle) + (k < many % len(cycle)))
+        at += many
+    return out, loads
+
+
+FEW = 100_000  # sizes of groups whose table is broadcast
+
+
 def group_folds(sizes: DataFrame, folds: int = FOLDS) -> DataFrame:
     """(g, n) -> (g, n, fold): the largest group first, each into the lightest fold (the lowest number of equals);
     of equal groups the greater key comes first.
 
-    Groups of one size differ only by rank, so the folds they go to follow from how many there are of
-    each size.  The loads level out within a few groups and then the folds take turns, hence each size needs a
-    short prefix and a cycle.  Ranks come from a range-partitioned sort and the counts of its
-    partitions, not from a window over all groups of a size."""
+    Groups of one size differ only by rank, and `turns` says which ranks go where; the driver sees one
+    row for each size, of which there are at most the root of twice the number of rows.  Ranks come
+    from a range-partitioned sort that is written once, and the counts of its partitions."""
     spark = sizes.sparkSession
-    classes = {r["n"]: r["m"] for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}  # distinct sizes
+    schema = "n long, before long, at array<long>, cycles array<array<int>>"
     loads, rows, before = [0] * folds, [], 0
-    for n in sorted(classes, reverse=True):
-        m, prefix = classes[n], []
-        while len(prefix) < m and max(loads) - min(loads) > n:
-            f = loads.index(min(loads))
-            prefix.append(f)
-            loads[f] += n
-        rest = m - len(prefix)
-        cycle = sorted(range(folds), key=lambda f: (loads[f], f))
-        seen = []
-        while len(seen) < min(rest, 2 * folds):  # loads within one group's size of each other: a fixed turn follows
-            f = loads.index(min(loads))
-            seen.append(f)
-            loads[f] += n
-        more = rest - len(seen)
-        cycle = seen[folds:] if len(seen) == 2 * folds else cycle
-        for k in range(folds):
-            loads[cycle[k]] += n * (more // folds + (1 if k < more % folds else 0))
-        rows.append((n, before, prefix + seen[:folds], cycle))
-        before += m
-    table = spark.createDataFrame(rows, "n long, before long, prefix array<int>, cycle array<int>") if rows else spark.createDataFrame([], "n long, before long, prefix array<int>, cycle array<int>")
-    placed = sizes.select("g", F.col("n").cast("long").alias("n")).repartitionByRange(F.desc("n"), F.desc("g")).sortWithinPartitions(F.desc("n"), F.desc("g")).withColumn("_i", F.monotonically_increasing_id()).persist()
-    counts = {r["p"]: r["c"] for r in placed.groupBy(F.shiftrightunsigned("_i", 33).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    starts, at = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        starts.append(at)
-        at += counts.get(p, 0)
-    rank = F.get(F.array(*(F.lit(x).cast("long") for x in starts or [0])), F.shiftrightunsigned("_i", 33).cast("int")) + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
-    rows_ = placed.withColumn("_rank", rank).join(F.broadcast(table), "n").withColumn("_rank", F.col("_rank") - F.col("before"))
-    fold = F.when(F.col("_rank") < F.size("prefix"), F.get("prefix", F.col("_rank").cast("int"))).otherwise(F.get("cycle", ((F.col("_rank") - F.size("prefix")) % folds).cast("int")))
-    return rows_.select("g", "n", fold.alias("fold"))
+    for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect():
+        stretches, loads = turns(loads, r["n"], r["m"])
+        rows.append((r["n"], before, [at for at, _ in stretches], [cycle for _, cycle in stretches]))
+        before += r["m"]
+    table = spark.createDataFrame(rows, schema)
+    table = F.broadcast(table) if len(rows) <= FEW else table
+    placed = sizes.select("g", F.col("n").cast("long").alias("n")).repartitionByRange(F.desc("n"), F.desc("g")).sortWithinPartitions(F.desc("n"), F.desc("g"))
+    placed = interim.written(placed.withColumn("_i", F.monotonically_increasing_id()), "group-ranks")
+    part, own = F.shiftrightunsigned("_i", 33), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["p"]: r["c"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    starts = [0]
+    for p in range(max(counts, default=0)):
+        starts.append(starts[-1] + counts.get(p, 0))
+    rank = F.get(F.array(*(F.lit(x).cast("long") for x in starts)), part.cast("int")) + own
+    ranked = placed.withColumn("_rank", rank).join(table, "n").withColumn("_rank", F.col("_rank") - F.col("before"))
+    # the last stretch that begins at or before the rank
+    k = F.size(F.filter("at", lambda x: x <= F.col("_rank"))) - 1
+    cycle = F.get("cycles", k)
+    fold = F.get(cycle, ((F.col("_rank") - F.get("at", k)) % F.size(cycle)).cast("int"))
+    return ranked.select("g", "n", fold.alias("fold"))
 
 
 @dataclass
@@ -183,25 +200,133 @@ class CrossValidation:
     pooled: dict  # cv_rmse, cv_mae
 
 
+NONE = {"cv_rmse": float("nan"), "cv_mae": float("nan")}
+
+
+class Fits:
+    """Several predictor lists for one target, from three readings of the table whatever their number:
+    means, sums and cross products by group, and the errors of the folds' models.
+
+    A list is fitted on the rows that have all its columns.  Lists that miss no row which others have share the sums of
+    all columns; the others get sums of their own in the same pass.  Rows without a group count for
+    least squares and not for cross-validation."""
+
+    def __init__(self, df: DataFrame, target: str, specs: dict[str, list[str]], group: str, folds: int = FOLDS, alpha: float = 1.0):
+        self.target, self.specs, self.n_folds, self.alpha = target, specs, folds, alpha
+        self.columns = list(dict.fromkeys([*(c for v in specs.values() for c in v), target]))
+        at = {c: i for i, c in enumerate(self.columns)}
+        self.where = {name: [at[c] for c in [*v, target]] for name, v in specs.items()}
+        self.rows = df.select(F.col(group).cast("string").alias("g"), *(F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"x{i}") for i, c in enumerate(self.columns)))
+        every = list(range(len(self.columns)))
+        kinds = list({tuple(v): None for v in self.where.values()})
+        got = self.rows.agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in every), *(F.count(F.when(self._whole(v), 1)).alias(f"n{k}") for k, v in enumerate([every, *kinds]))).first()
+        self.about = np.array([got[f"m{i}"] or 0.0 for i in every])
+        alone = [v for k, v in enumerate(kinds) if got[f"n{k + 1}"] != got["n0"]]
+        self.bases = ([every] if len(alone) < len(kinds) else []) + [list(v) for v in alone]
+        self.of = {name: self.bases.index(list(v)) if tuple(v) in set(alone) else 0 for name, v in self.where.items()}
+        sums = [x for b, v in enumerate(self.bases) for x in self._sums(b, v)]
+        self.by_group = interim.written(self.rows.groupBy("g").agg(*sums), "group-sums")
+        self.sums = [c for c in self.by_group.columns if c != "g"]
+        self.total = self.by_group.agg(*(F.sum(c).alias(c) for c in self.sums)).first()
+
+    def _whole(self, v) -> Column:
+        cond = F.lit(True)
+        for i in v:
+            cond = cond & F.col(f"x{i}").isNotNull()
+        return cond
+
+    def _sums(self, b: int, v: list[int]) -> list[Column]:
+        ok = self._whole(v)
+        c = [F.when(ok, F.col(f"x{i}") - F.lit(float(self.about[i]))) for i in v]
+        out = [F.count(F.when(ok, 1)).alias(f"b{b}_n")] + [F.sum(x).alias(f"b{b}_s{i}") for i, x in enumerate(c)]
+        return out + [F.sum(c[i] * c[j]).alias(f"b{b}_p{i}_{j}") for i in range(len(c)) for j in range(i + 1)]
+
+    def _moments(self, row, b: int) -> Moments:
+        v = self.bases[b]
+        names = ["n", *(f"s{i}" for i in range(len(v))), *(f"p{i}_{j}" for i in range(len(v)) for j in range(i + 1))]
+        return _moments({k: row[f"b{b}_{k}"] or 0.0 for k in names}, len(v), self.about[v])
+
+    def _own(self, m: Moments, name: str) -> Moments:
+        v = self.bases[self.of[name]]
+        at = [v.index(i) for i in self.where[name]]
+        return Moments(m.n, m.mean[at], m.cross[np.ix_(at, at)])
+
+    def ols(self, name: str, least: int = 100) -> dict:
+        """Ordinary least squares on the complete rows; fewer than `least` are an error."""
+        m = self._own(self._moments(self.total, self.of[name]), name)
+        if m.n < least:
+            raise ValueError(f"{self.target} on {self.specs[name]}: only {int(m.n)} complete rows")
+        return ols(m, self.specs[name])
+
+    def _fold_models(self) -> dict[str, list[list[float]] | None]:
+        """Intercept and weights of each fold's model, for each list; None where there are fewer groups than folds.
+        Folds of each basis are columns f0, f1, ... of `self.fold_of`."""
+        known = self.by_group.filter("g is not null")
+        counts = known.agg(*(F.count(F.when(F.col(f"b{b}_n") > 0, 1)).alias(f"b{b}") for b in range(len(self.bases)))).first()
+        self.fold_of, tables = None, {}
+        for b in range(len(self.bases)):
+            if counts[f"b{b}"] < self.n_folds:
+                continue
+            own = known.filter(F.col(f"b{b}_n") > 0).select("g", F.col(f"b{b}_n").alias("n"))
+            fold = group_folds(own, self.n_folds).select("g", F.col("fold").alias(f"f{b}"))
+            self.fold_of = fold if self.fold_of is None else self.fold_of.join(fold, "g", "full")
+        if self.fold_of is not None:
+            self.fold_of = interim.written(self.fold_of, "folds")
+            sums = known.join(self.fold_of, "g")
+        for b in range(len(self.bases)):
+            if counts[f"b{b}"] < self.n_folds:
+                continue
+            mine = [c for c in self.sums if c.startswith(f"b{b}_")]
+            parts = {r[f"f{b}"]: self._moments(r, b) for r in sums.filter(F.col(f"f{b}").isNotNull()).groupBy(f"f{b}").agg(*(F.sum(c).alias(c) for c in mine)).collect()}
+            # rows without a group are in no fold
+            k = len(self.bases[b])
+            whole = self._moments(known.agg(*(F.sum(c).alias(c) for c in mine)).first(), b)
+            none = Moments(0, np.zeros(k), np.zeros((k, k)))
+            for name in (x for x, of in self.of.items() if of == b):
+                tables[name] = [[float(x) for x in ridge(self._own(whole - parts.get(f, none), name), self.alpha)] for f in range(self.n_folds)]
+        return {name: tables.get(name) for name in self.specs}
+
+    def predictions(self) -> tuple[DataFrame | None, dict[str, Column]]:
+        """Rows with their folds, and each list's prediction (null for rows that the list is not fitted on)."""
+        models = self._fold_models()
+        if self.fold_of is None:
+            return None, {}
+        rows = self.rows.join(self.fold_of, "g")
+        out = {}
+        for name, table in models.items():
+            if table is None:
+                continue
+            fold = F.col(f"f{self.of[name]}")
+            at = lambda i: F.get(F.array(*(F.lit(t[i]) for t in table)), fold.cast("int"))  # noqa: B023, E731
+            value = at(0)
+            for i, c in enumerate(self.where[name][:-1]):
+                value = value + at(i + 1) * F.col(f"x{c}")
+            out[name] = F.when(self._whole(self.where[name]) & fold.isNotNull(), value)
+        return rows, out
+
+    def cross_validated(self) -> dict[str, dict]:
+        """Pooled RMSE and MAE of each list."""
+        rows, predicted = self.predictions()
+        out = {name: dict(NONE) for name in self.specs}
+        if rows is None:
+            return out
+        y = F.col(f"x{self.columns.index(self.target)}")
+        sums = []
+        for k, value in enumerate(predicted.values()):
+            sums += [F.sqrt(F.avg((y - value) * (y - value))).alias(f"rmse{k}"), F.avg(F.abs(y - value)).alias(f"mae{k}")]
+        got = rows.agg(*sums).first()
+        for k, name in enumerate(predicted):
+            out[name] = {"cv_rmse": got[f"rmse{k}"], "cv_mae": got[f"mae{k}"]}
+        return out
+
+
 def cross_validate(df: DataFrame, target: str, names: list[str], group: str = "sentence_id", folds: int = FOLDS, alpha: float = 1.0) -> CrossValidation:
     """Ridge in `folds` grouped folds, pooled and by fold; fewer groups than folds give NaN."""
-    columns = [*names, target]
-    rows = df.select(F.col(group).cast("string").alias("g"), *(F.col(c).cast("double").alias(c) for c in columns)).dropna("any")
-    about = _center(rows, columns)
-    by_group = rows.groupBy("g").agg(*_sums(columns, about)).persist()
-    if by_group.limit(folds).count() < folds:
-        return CrossValidation(None, None, {"cv_rmse": float("nan"), "cv_mae": float("nan")})
-    fold_of = group_folds(by_group.select("g", "n"), folds).select("g", "fold").persist()
-    total_cols = [c for c in by_group.columns if c != "g"]
-    own = {r["fold"]: _moments(r, len(columns), about) for r in by_group.join(fold_of, "g").groupBy("fold").agg(*(F.sum(c).alias(c) for c in total_cols)).collect()}
-    whole = _moments(by_group.agg(*(F.sum(c).alias(c) for c in total_cols)).first(), len(columns), about)
-    none = Moments(0, np.zeros(len(columns)), np.zeros((len(columns),) * 2))
-    table = [[float(x) for x in ridge(whole - own.get(f, none), alpha)] for f in range(folds)]
-    at = lambda i: F.get(F.array(*(F.lit(t[i]) for t in table)), F.col("fold").cast("int"))
-    prediction = at(0)
-    for i, c in enumerate(names):
-        prediction = prediction + at(i + 1) * F.col(c)
-    out = rows.join(fold_of, "g").select("g", "fold", F.col(target).alias("y"), prediction.alias("prediction"))
+    fits = Fits(df, target, {"": names}, group, folds, alpha)
+    rows, predicted = fits.predictions()
+    if rows is None:
+        return CrossValidation(None, None, dict(NONE))
+    out = rows.select("g", F.col("f0").alias("fold"), F.col(f"x{fits.columns.index(target)}").alias("y"), predicted[""].alias("prediction")).dropna("any")
     return CrossValidation(out, fold_metrics(out), pooled_metrics(out))
 
 

@@ -147,6 +147,29 @@ def greedy(sizes, k=5):
     return out
 
 
+def test_turns_are_the_greedy_rule():
+    rng = np.random.default_rng(7)
+    for _ in range(1000):
+        top = int(rng.choice([3, 10, 60, 1000]))
+        many = Counter(rng.integers(1, top, rng.integers(1, 60)).tolist())
+        if rng.random() < 0.2:
+            many[int(rng.integers(500, 3000))] += 1  # a giant
+        k, slow, fast = int(rng.integers(2, 7)), None, None
+        slow = fast = [0] * k
+        for n in sorted(many, reverse=True):
+            want = []
+            slow = list(slow)
+            for _ in range(many[n]):
+                f = slow.index(min(slow))
+                want.append(f)
+                slow[f] += n
+            stretches, fast = regression.turns(fast, n, many[n])
+            got = [c[(r - a) % len(c)] for (a, c), b in zip(stretches, [*(a for a, _ in stretches[1:]), many[n]]) for r in range(a, b)]
+            assert got == want and fast == slow
+    stretches, loads = regression.turns([10**12, 0, 0, 0, 0], 1, 10**13)  # no list as long as the groups
+    assert len(stretches) == 2 and sum(loads) == 11 * 10**12
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_group_folds(spark, seed):
     rng = np.random.default_rng(seed)
@@ -174,6 +197,30 @@ def test_cross_validation_against_numpy(data):
         assert by[f].r2 == pytest.approx(1 - (e**2).sum() / ((y[folds == f] - y[folds == f].mean()) ** 2).sum(), rel=1e-8)
 
 
+def test_a_giant_group_and_a_table_of_few_sizes(spark):
+    for sizes in ({"g": 2000, **{f"k{i:03d}": 1 for i in range(300)}}, {f"a{i:02d}": n for i, n in enumerate([9] * 4 + [8] * 2 + [7] * 6)}):
+        got = regression.group_folds(spark.createDataFrame(list(sizes.items()), "g string, n long"))
+        assert {r.g: r.fold for r in got.collect()} == greedy(sizes)
+    assert regression.group_folds(spark.createDataFrame([], "g string, n long")).count() == 0
+
+
+def test_lists_on_rows_of_their_own(data):
+    """Each list on its own complete rows, in one pass, as if each were alone."""
+    gap = F.when(F.hash("a", "b") % 5 != 0, F.col("c"))
+    df = data[0].withColumn("c", gap).withColumn("b", F.when(F.hash("y") % 7 == 0, float("nan")).otherwise(F.col("b")))
+    df = df.withColumn("sentence_id", F.when(F.hash("a") % 11 != 0, F.col("sentence_id")))
+    specs = {"one": ["a"], "two": ["a", "b"], "three": ["a", "b", "c"], "same": ["b", "a"]}
+    fits = regression.Fits(df, "y", specs, "sentence_id")
+    errors = fits.cross_validated()
+    for name, columns in specs.items():
+        alone = regression.fit_ols(df, "y", columns)
+        assert fits.ols(name)["n"] == alone["n"] and list(fits.ols(name)["params"].values()) == pytest.approx(list(alone["params"].values()), rel=1e-9)
+        cv = regression.cross_validate(df, "y", columns)
+        assert errors[name] == pytest.approx(cv.pooled, rel=1e-9)
+    full = regression.Fits(data[0], "y", specs, "sentence_id")
+    assert len(full.bases) == 1 and full.cross_validated()["three"] == pytest.approx(regression.cross_validate(data[0], "y", ["a", "b", "c"]).pooled, rel=1e-9)
+
+
 def test_few_groups_give_nan(data):
     cv = regression.cross_validate(data[0].filter("sentence_id in ('g1', 'g2', 'g3', 'g4')"), "y", ["a"])
     assert math.isnan(cv.pooled["cv_rmse"])
@@ -195,3 +242,7 @@ def test_analysis_and_reports(spark, data, tmp_path):
         analysis.pivot(tables["log_gaze_duration"].unionAll(tables["log_gaze_duration"]))
     stats = analysis.run_stats(df.withColumnRenamed("log_gaze_duration", "log_gd"), controls=["word_length"], group="sentence_id").first()
     assert stats.target == "log_gd" and stats.r2_mean < stats.r2
+    with pytest.raises(KeyError, match="zipf_freq"):
+        analysis.run_stats(df, controls=["word_length", "zipf_freq"], group="sentence_id")
+    few = df.withColumnRenamed("log_gaze_duration", "log_gd").withColumn("sentence_id", F.lit("s"))
+    assert analysis.run_stats(few, controls=["word_length"], group="sentence_id").first().r2_mean is None
