@@ -23,9 +23,9 @@ def clean_word(w: Column) -> Column:
 
 
 def punctuation_only(w: Column) -> Column:
-    """Whether what is left after stripping white space is signs alone; false for nothing."""
-    bare = F.regexp_replace(w.cast("string"), f"^{SPACE}+|{SPACE}+$", "")
-    return F.coalesce(bare.rlike(f"^{SIGN}+$"), F.lit(False))
+    """Whether there are signs besides white space and nothing else; false for nothing."""
+    w = w.cast("string")  # most words have a letter at once, which settles it
+    return F.coalesce(~w.rlike(LETTER) & w.rlike(f"[^{SPACE[1:]}"), F.lit(False))
 
 
 def has_alnum(w: Column) -> Column:

@@ -9,23 +9,32 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazetrail.functions.numeric import surprisal_bits
 from gazetrail.functions.text import BOS, EOS, UNK, padded
-from gazetrail.operators.sentence import preceding
+from gazetrail.operators.sentence import preceding, within
+from gazetrail.sources import interim
 
 
 @dataclass
 class Model:
     order: int
     alpha: float
-    vocab: DataFrame  # word
+    unigrams: DataFrame  # word, c, h; the marks included, some with 0
     size: int  # of the vocabulary, marks included
     total: int  # unigrams, begin and end marks included
-    counts: DataFrame  # n, ngram, history, c
-    histories: DataFrame  # n, history, c
+    counts: DataFrame  # n, ngram, c, h: how often it comes, and how often a word follows
+
+    @property
+    def histories(self) -> DataFrame:
+        """(n, history, c): what n-grams are preceded by is the shorter n-grams that a word follows."""
+        return self.counts.filter((F.col("n") < self.order) & (F.col("h") > 0)).select((F.col("n") + 1).alias("n"), F.col("ngram").alias("history"), F.col("h").alias("c"))
+
+    @property
+    def vocab(self) -> DataFrame:
+        return self.unigrams.select("word")
 
 
 def vocabulary(sentences: DataFrame, min_count: int = 1, words: str = "words") -> DataFrame:
@@ -34,16 +43,17 @@ def vocabulary(sentences: DataFrame, min_count: int = 1, words: str = "words") -
 
 
 def ngrams(sentences: DataFrame, order: int, words: str = "words") -> DataFrame:
-    """(n, ngram, history, c) for n = 1 to order, over padded sentences of lower-cased words."""
+    """(n, ngram, c, h) for n = 1 to order, over padded sentences of lower-cased words; h counts those that a word follows."""
     row = padded(F.transform(words, lambda w: F.lower(w)), order)
 
     def of(n: int):
         at = F.sequence(F.lit(1), F.size("p") - (n - 1))
-        return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("p", i, n), " ").alias("ngram"), (F.array_join(F.slice("p", i, n - 1), " ") if n > 1 else F.lit("")).alias("history")))
+        gram = lambda i: F.get("p", i - 1) if n == 1 else F.array_join(F.slice("p", i, n), " ")
+        return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), gram(i).alias("ngram"), (i + n <= F.size("p")).alias("on")))
 
     # a padded sentence has `order` words at least, so every sequence ascends
     every = sentences.select(row.alias("p")).select(F.explode(F.concat(*(of(n) for n in range(1, order + 1)))).alias("g"))
-    return every.groupBy("g.n", "g.ngram", "g.history").agg(F.count(F.lit(1)).alias("c"))
+    return every.groupBy("g.ngram", "g.n").agg(F.count(F.lit(1)).alias("c"), F.count_if("g.on").alias("h")).select("n", "ngram", "c", "h")
 
 
 def known_words(sentences: DataFrame, vocab: DataFrame, key: str, words: str = "words") -> DataFrame:
@@ -54,55 +64,81 @@ def known_words(sentences: DataFrame, vocab: DataFrame, key: str, words: str = "
 
 
 def fit(sentences: DataFrame, order: int = 5, alpha: float = 0.1, min_count: int = 1, key: str = "sentence_id", words: str = "words") -> Model:
-    """Count once; the histories are sums over the counts and not a second look at the text."""
-    vocab = vocabulary(sentences, min_count, words).select("word")
+    """Count once; the vocabulary is the single words of the counts."""
     if min_count > 1:
-        sentences = known_words(sentences, vocab, key, words)
-    counts = ngrams(sentences, order, words).persist()
-    total = counts.filter("n = 1").agg(F.sum("c")).first()[0] or 0
-    size = vocab.filter(~F.col("word").isin(BOS, EOS, UNK)).count() + 3
-    histories = counts.filter("n > 1").groupBy("n", "history").agg(F.sum("c").alias("c"))
-    return Model(order, alpha, vocab.unionByName(vocab.sparkSession.createDataFrame([(BOS,), (EOS,), (UNK,)], "word string")).distinct(), size, total, counts, histories)
+        sentences = known_words(sentences, vocabulary(sentences, min_count, words), key, words)
+    counts = interim.written(ngrams(sentences, order, words), "ngrams")
+    marks = sentences.sparkSession.createDataFrame([(m, 0, 0) for m in (BOS, EOS, UNK)], "word string, c long, h long")
+    unigrams = counts.filter("n = 1").select(F.col("ngram").alias("word"), "c", "h")
+    unigrams = unigrams.unionAll(marks).groupBy("word").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
+    size, total = unigrams.agg(F.count(F.lit(1)), F.sum("c")).first()
+    return Model(order, alpha, unigrams, size, total, counts)
+
+
+FEW = 500_000  # words of a vocabulary that is broadcast, some 100 bytes each
+
+
+def _aside(wanted: Column, key: Column) -> Column:
+    """A join's key; rows that want no partner get one that nothing has, of many kinds, so that they don't meet in one task."""
+    return F.when(wanted, key).otherwise(F.concat(F.lit(" "), F.pmod(F.monotonically_increasing_id(), F.lit(9973)).cast("string")))
 
 
 def _contexts(model: Model, words: DataFrame, key: str, position: str, word: str) -> DataFrame:
-    """Words with `_w`, in the vocabulary, and `_c`, the words before, order - 1 at most."""
-    known = model.vocab.select(F.col("word").alias("_w"))
-    rows = words.withColumn("_low", F.lower(word)).join(known, F.col("_low") == F.col("_w"), "left").withColumn("_w", F.coalesce("_w", F.lit(UNK))).drop("_low")
-    return preceding(rows, key, [position], "_w", model.order - 1, "_c")
+    """Words with `_w`, in the vocabulary, its counts `_uc` and `_uh`, `_c`, the words before, order - 1 at most, and `_ph`, the
+    count `_uh` of the last of them."""
+    table = model.unigrams.select(F.col("word").alias("_k"), F.col("c").alias("_uc"), F.col("h").alias("_uh"))
+    unknown = table.filter(F.col("_k") == UNK).first()
+    table = F.broadcast(table) if model.size <= FEW else table
+    rows = words.withColumn("_low", F.lower(word))
+    rows = rows.join(table, F.col("_low") == F.col("_k"), "left")
+    known = {"_w": F.coalesce("_k", F.lit(UNK)), "_uc": F.coalesce("_uc", F.lit(unknown["_uc"])), "_uh": F.coalesce("_uh", F.lit(unknown["_uh"]))}
+    rows = rows.withColumns(known).drop("_k", "_low")
+    if model.order == 1:
+        return rows
+    rows = preceding(rows, key, [position], "_w", model.order - 1, "_c")
+    return rows.withColumn("_ph", F.lag("_uh", 1).over(within([key], position)))
+
+
+def _count(rows: DataFrame, model: Model, what: str, n: Column, key: Column, wanted: Column, name: str) -> DataFrame:
+    """`rows` with a count of the n-grams that `key` names, where it is `wanted`."""
+    table = model.counts.filter("n > 1").select(F.col("ngram").alias("_g"), F.col("n").alias("_gn"), F.col(what).alias(name))
+    rows = rows.withColumns({"_key": _aside(wanted, key), "_kn": n})
+    return rows.join(table, (F.col("_key") == F.col("_g")) & (F.col("_kn") == F.col("_gn")), "left").drop("_g", "_gn", "_key", "_kn")
 
 
 def score(model: Model, words: DataFrame, key: str = "sentence_id", position: str = "position_in_sentence", word: str = "word_clean", name: str | None = None) -> DataFrame:
     """`words` with the surprisal of each in bits.
 
-    With alpha above 0 the longest history always answers: one lookup of the n-gram and one of the
-    history.  With alpha 0 the longest history that was seen does, else all words alone."""
+    With alpha above 0 the longest history always answers; with alpha 0 the longest history that was seen does, else
+    all words alone.  Counts of single words, alone or as a history, come with the vocabulary, so a word
+    without a history, and a history of one word, need no join of their own."""
     name = name or f"ngram{model.order}_surprisal"
     rows = _contexts(model, words, key, position, word)
-    grams = model.counts.select(F.col("n").alias("_gn"), F.col("ngram").alias("_g"), F.col("c").alias("_gc"))
-    past = model.histories.select(F.col("n").alias("_hn"), F.col("history").alias("_h"), F.col("c").alias("_hc"))
-    if model.alpha > 0 or model.order == 1:
-        rows = rows.withColumns({"_n": F.size("_c") + 1, "_hist": F.array_join("_c", " ")})
-        rows = rows.join(past, (F.col("_n") == F.col("_hn")) & (F.col("_hist") == F.col("_h")), "left").drop("_hn", "_h")
-    else:
-        rows = rows.withColumns({"_n": F.lit(1), "_hist": F.lit(""), "_hc": F.lit(None).cast("long")})
+    alpha, size = F.lit(float(model.alpha)), F.lit(float(model.size))
+    alone = (F.col("_uc") + alpha) / (F.lit(float(model.total)) + alpha * size)
+    p = alone if model.total + model.alpha * model.size > 0 else 1 / size
+    if model.order > 1 and model.alpha > 0:
+        n, past = F.size("_c") + 1, F.array_join("_c", " ")
+        rows = rows.withColumns({"_n": n, "_hist": past}).drop("_c")
+        rows = _count(rows, model, "c", F.col("_n"), F.concat_ws(" ", "_hist", "_w"), F.col("_n") > 1, "_gc")
+        if model.order > 2:
+            rows = _count(rows, model, "h", F.col("_n") - 1, F.col("_hist"), F.col("_n") > 2, "_hc")
+        among = F.when(F.col("_n") == 2, F.col("_ph")).otherwise(F.coalesce("_hc", F.lit(0))) if model.order > 2 else F.col("_ph")
+        p = F.when(F.col("_n") == 1, p).otherwise((F.coalesce("_gc", F.lit(0)) + alpha) / (among + alpha * size))
+    elif model.order > 1:
         for n in range(2, model.order + 1):
-            tail = F.when(F.size("_c") >= n - 1, F.array_join(F.slice("_c", -(n - 1), n - 1), " "))
-            own = past.filter(F.col("_hn") == n).select(F.col("_h").alias("_t"), F.col("_hc").alias("_tc"))
-            rows = rows.withColumn("_tail", tail).join(own, F.col("_tail") == F.col("_t"), "left")
-            seen = F.col("_tc").isNotNull()
-            rows = rows.withColumns({"_n": F.when(seen, F.lit(n)).otherwise(F.col("_n")), "_hist": F.when(seen, F.col("_tail")).otherwise(F.col("_hist")), "_hc": F.when(seen, F.col("_tc")).otherwise(F.col("_hc"))}).drop("_t", "_tc", "_tail")
-    gram = F.when(F.col("_hist") == "", F.col("_w")).otherwise(F.concat_ws(" ", "_hist", "_w"))
-    rows = rows.withColumn("_key", gram).join(grams, (F.col("_n") == F.col("_gn")) & (F.col("_key") == F.col("_g")), "left")
-    below = F.when(F.col("_n") == 1, F.lit(float(model.total))).otherwise(F.coalesce(F.col("_hc"), F.lit(0)).cast("double")) + F.lit(float(model.alpha)) * model.size
-    p = F.when(below > 0, (F.coalesce(F.col("_gc"), F.lit(0)).cast("double") + F.lit(float(model.alpha))) / below).otherwise(F.lit(1.0 / model.size))
+            past, long = F.array_join(F.slice("_c", -(n - 1), n - 1), " "), F.size("_c") >= n - 1
+            rows = rows.withColumn(f"_h{n}", F.when(long, F.col("_ph"))) if n == 2 else _count(rows, model, "h", F.lit(n - 1), past, long, f"_h{n}")
+            seen = F.coalesce(f"_h{n}", F.lit(0)) > 0
+            rows = _count(rows, model, "c", F.lit(n), F.concat_ws(" ", past, "_w"), seen, f"_g{n}")
+            p = F.when(seen, F.coalesce(f"_g{n}", F.lit(0)) / F.col(f"_h{n}")).otherwise(p)
     return rows.select(*words.columns, surprisal_bits(p).alias(name))
 
 
 def kneser_ney(sentences: DataFrame, order: int = 2, discount: float = 0.1, words: str = "words") -> DataFrame:
     """(ngram, history, word, p): interpolated Kneser-Ney probabilities of the n-grams seen, of the given
     order; the lowest order is the share of distinct words each word follows."""
-    counts = ngrams(sentences, order, words)
+    counts = ngrams(sentences, order, words).withColumn("history", F.expr("substring_index(ngram, ' ', n - 1)"))
     word = lambda c: F.element_at(F.split(c, " "), -1)
     less = lambda c: F.array_join(F.slice(F.split(c, " "), 2, order), " ")
     top = counts.filter(F.col("n") == order).select("ngram", "history", F.col("c").cast("double").alias("c"))

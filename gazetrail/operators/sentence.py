@@ -18,7 +18,8 @@ def _last(*columns) -> list[Column]:
     return [F.col(c).asc_nulls_last() if isinstance(c, str) else c.asc_nulls_last() for c in columns]
 
 
-def _within(keys: list[str], *order) -> WindowSpec:
+def within(keys: list[str], *order) -> WindowSpec:
+    """Rows of equal keys in an order that puts nulls last."""
     return Window.partitionBy(*keys).orderBy(*_last(*order))
 
 
@@ -32,7 +33,7 @@ def _known(keys: list[str], value: Column) -> Column:
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row in input order of each combination of keys; nulls are alike."""
-    w = _within(keys, *order)
+    w = within(keys, *order)
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -43,7 +44,7 @@ def sort_position(word_id: Column, ordinal: Column) -> Column:
 
 def positions(df: DataFrame, key: str = "sentence_id", order: list | None = None, name: str = "position_in_sentence") -> DataFrame:
     """1-based position of each row in its sentence."""
-    return df.withColumn(name, _known([key], F.row_number().over(_within([key], *order))))
+    return df.withColumn(name, _known([key], F.row_number().over(within([key], *order))))
 
 
 def lengths(df: DataFrame, key: str = "sentence_id", name: str = "sentence_length") -> DataFrame:
@@ -54,7 +55,7 @@ def lengths(df: DataFrame, key: str = "sentence_id", name: str = "sentence_lengt
 def numbered(df: DataFrame, keys: list[str], order: list, position: str, length: str) -> DataFrame:
     """1-based position of each row within `keys`, and how many rows there are; one shuffle for both."""
     known = lambda c: _known(keys, c)
-    return df.withColumns({position: known(F.row_number().over(_within(keys, *order))), length: known(F.count(F.lit(1)).over(Window.partitionBy(*keys)))})
+    return df.withColumns({position: known(F.row_number().over(within(keys, *order))), length: known(F.count(F.lit(1)).over(Window.partitionBy(*keys)))})
 
 
 def joined(df: DataFrame, key: str, order: list[str], word: str = "word") -> DataFrame:
@@ -85,15 +86,22 @@ def edge_flags(df: DataFrame, position: str = "position_in_sentence", length: st
 
 def previous(df: DataFrame, columns: dict[str, str], keys: list[str], order: list[str]) -> DataFrame:
     """Values of the word before, within reader and sentence: {new name: column}."""
-    w = _within(keys, *order)
+    w = within(keys, *order)
     return df.withColumns({new: _known(keys, F.lag(c, 1).over(w)) for new, c in columns.items()})
 
 
 def preceding(df: DataFrame, key: str, order: list[str], word: str, size: int | None, name: str = "context") -> DataFrame:
-    """The `size` words before each word in its sentence, or all of them."""
-    w = _within([key], *order).rowsBetween(Window.unboundedPreceding if size is None else -size, -1)
-    values = F.collect_list(word).over(w) if size != 0 else F.expr("cast(array() as array<string>)")
-    return df.withColumn(name, values)
+    """The `size` words before each word in its sentence, or all of them; nulls are left out."""
+    w = within([key], *order)
+    if size is None:
+        return df.withColumn(name, F.collect_list(word).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    if size > LAGS:
+        return df.withColumn(name, F.collect_list(word).over(w.rowsBetween(-size, -1)))
+    before = [F.lag(word, k).over(w) for k in range(size, 0, -1)]
+    return df.withColumn(name, F.array_compact(F.array(*before)) if before else F.expr("cast(array() as array<string>)"))
+
+
+LAGS = 8  # so many words before are columns, which cost less than a list for each row
 
 
 def first_sentences(df: DataFrame, n: int, key: str = "sentence_id", order: str = "_row_ord") -> DataFrame:

@@ -333,8 +333,10 @@ def standard_table(spark, sf_dir):
 
 
 def _sentences(spark, sf_dir) -> DataFrame:
-    rows = words(spark, sf_dir).groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("word_pos", "word"))).alias("r"))
-    return rows.select(F.col("sent_id").alias("sentence_id"), F.transform("r", lambda x: x.word).alias("words"))
+    """(sentence_id, words): each line's words, as they come, without a shuffle."""
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = docs.select(F.concat_ws("-", "doc_id", F.col("line_no") + 1).alias("sentence_id"), F.filter(F.split("line", "[ \\r\\t]+"), lambda x: x != "").alias("words"))
+    return rows.filter(F.size("words") > 0)
 
 
 def _grams(order: int) -> str:
