@@ -3,7 +3,7 @@
 Each round lets every node point its larger neighbours, then its smaller ones, at the
 smallest node it sees.  A node's neighbourhood is never gathered: its minimum is
 a map-side combined aggregate that is joined back to the edges, a join whose hot side
-adaptive execution may split.  Each round is written to the shared folder.
+adaptive execution may split.  Each round is written to the shared folder, and the one before it deleted.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     sign = _sign(edges)
     while sign[0]:
         # files in proportion to the edges, which only become fewer, whatever the number of shuffle partitions
-        edges = storage.written(_stars(_stars(edges, True), False).coalesce(1 + sign[0] // FILE_EDGES), "edges")
+        last, edges = edges, storage.written(_stars(_stars(edges, True), False).coalesce(1 + sign[0] // FILE_EDGES), "edges")
+        storage.discard(edges.sparkSession, last)
         if (now := _sign(edges)) == sign:
             break
         sign = now

@@ -11,48 +11,20 @@ from __future__ import annotations
 
 import mmap
 import os
-import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gazetrail.sources.interim import delete, new_folder, purge, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="gazetrail-"))
-    return where.rstrip("/")
+__all__ = ["Input", "Output", "delete", "discard", "local", "new_folder", "purge", "shared_dir", "written"]
 
 
-_own: dict[str, str] = {}
-_made: list[str] = []
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; `purge` deletes what was made so."""
-    _made.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, read back: nothing above is run again."""
-    df.write.parquet(path := new_folder(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def purge(spark: SparkSession) -> None:
-    """Delete every work folder of this process; results that read them must be written before."""
-    while _made:
-        discard(spark, _made.pop())
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that `written` made and that no later plan reads."""
+    for table in tables:
+        delete(spark, table._written_to)
 
 
 def local(uri: str) -> str | None:

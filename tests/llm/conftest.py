@@ -47,7 +47,7 @@ def _clean(spark):
     yield
     from gazetrail.llm import storage
 
-    storage.purge(spark)
+    storage.purge()
 
 
 def held_out(doc_id):
