@@ -8,7 +8,8 @@ stand there word for word, and the share of the template's words in place is its
 else a file holds.
 
 Besides, the base phrases are looked for at every word.  Words are runs of 0-9, a-z (A-Z are lower-cased) and
-non-ASCII characters.  Null and empty texts have no words, no places and score 0.
+non-ASCII characters.  Null and empty texts have no words, no places and score 0.  Repeated rows have each their
+result, an empty table gives none; a long text is read in parts that end with words and verified as a whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazetrail.llm.textblocks import _LOWER, blocks, hashes, lean, words
+from gazetrail.llm.textblocks import _LOWER, LONG, blocks, cut_words, hashes, lean, words
 from gazetrail.llm.toxicity import Lookup
 
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -79,8 +80,17 @@ class Index:
             self.postings.append(sorted(range(len(text)), key=lambda p: (-self.idf[text[p]], text[p], p))[: wrong + 1])
 
     def known(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(words in each row, licence word at each word or -1, first word of each row) of a block."""
+        """(words in each row, licence word at each word or -1, first word of each row) of a block; a long text
+        is read in parts."""
         low = _LOWER[data]
+        if len(low) > LONG:
+            n, ids = [], []
+            for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+                own = [self.known(part, np.array([0, len(part)]))[1][:-1] for part in ([low[a:b]] if b - a <= LONG else cut_words(low[a:b]))]
+                n.append(sum(map(len, own)))
+                ids += own
+            n = np.array(n)
+            return n, np.concatenate([*ids, np.full(1, -1, np.int32)]), np.cumsum(n) - n
         start, end, row = words(low, off)
         n = np.bincount(row, minlength=len(off) - 1)
         ids = np.full(len(start) + 1, -1, np.int32)

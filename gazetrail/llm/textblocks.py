@@ -77,6 +77,22 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
+LONG = 1 << 20  # bytes of a text that is worked on as a whole
+
+
+def cut_words(data: np.ndarray, most: int = LONG) -> Iterator[np.ndarray]:
+    """A text of lower-cased bytes in parts of about `most` bytes, cut where no word is."""
+    a, n = 0, len(data)
+    while a < n:
+        b = a + most
+        while b < n and _WORD[data[b]]:  # a word goes on: look further, block by block
+            gap = np.flatnonzero(~_WORD[data[b : b + most]])
+            b += int(gap[0]) if len(gap) else most
+        b = min(b, n)
+        yield data[a:b]
+        a = b
+
+
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -90,15 +106,31 @@ def _powers(base: int, n: int) -> np.ndarray:
 _TABLES: dict[int, np.ndarray] = {}
 
 
+def _sums(data: np.ndarray, at: np.ndarray, base: int) -> np.ndarray:
+    """The sum of (byte + 1) * P ** place over the bytes before each place of `at`, `base` bytes further on."""
+    out, total, n = np.zeros(len(at), np.uint64), np.uint64(0), len(data)
+    for a in range(0, n, base):
+        b = min(a + base, n)
+        step = np.uint64(pow(_P, a, 1 << 64))
+        run = np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * _TABLES[_P][: b - a]) * step + total
+        here = np.flatnonzero((at > a) & (at <= b)) if n > base else slice(None)
+        out[here] = np.concatenate([[total], run])[at[here] - a]
+        total = run[-1]
+    return out
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each range of bytes, its length mixed in."""
-    n = 1 << max(1, len(data)).bit_length()
-    for base in (_P, _PINV):
-        if base not in _TABLES or len(_TABLES[base]) <= n:
-            _TABLES[base] = _powers(base, n)
+    """A 64-bit polynomial hash of each range of bytes, its length mixed in; long data are summed by parts."""
+    base = min(LONG, 1 << max(1, len(data)).bit_length())
+    for p in (_P, _PINV):
+        if p not in _TABLES or len(_TABLES[p]) <= base:
+            _TABLES[p] = _powers(p, base)
     with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _TABLES[_P][: len(data)])])
-        h = (total[end] - total[start]) * _TABLES[_PINV][start] + (end - start).astype(np.uint64) * _MIX
+        back = _TABLES[_PINV][start % base]
+        if len(data) > base:
+            far = start // base
+            back = back * _powers(pow(_PINV, base, 1 << 64), int(far.max(initial=0)))[far]
+        h = (_sums(data, end, base) - _sums(data, start, base)) * back + (end - start).astype(np.uint64) * _MIX
         h ^= h >> np.uint64(29)
         h *= _MIX
         return h ^ (h >> np.uint64(32))

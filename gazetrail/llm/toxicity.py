@@ -10,8 +10,8 @@ whose second part would be negative only by overfitting; where it is, the step g
 The class prior is the share of toxic rows among the labels that may be learned from.
 
 The fit uses a bounded sample of rows (`most_positive`, `most_unlabelled`: expected numbers, chosen
-by a hash of doc_id); scores cover every whole text.  Features are chosen by how far their share of positives exceeds that
-of the other documents.  A null or empty text has no features and the score of the intercept.
+by a hash of doc_id); scores cover every whole text.  Features are all whose share of positives exceeds that
+of the other documents by four standard deviations; they come from the sample, whose size bounds them.  A null or empty text has no features and the score of the intercept.
 Labels that are null, of unknown documents, or held out are not used; without any positive every score
 is 0.  A row whose doc_id is null is scored and not learned from.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazetrail.llm.textblocks import blocks, hashes, lean, lower, words
+from gazetrail.llm.textblocks import LONG, blocks, cut_words, hashes, lean, lower, words
 
 PREFIXES = (4, 5, 6)
 SLOTS = 1 << 22
@@ -57,15 +57,41 @@ def _once(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], row[new]
 
 
+def text_features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, hash, row from the first) of a column's features, a block of texts at a time; repeats
+    may be left.  A long text is read in parts, each a block of the same row."""
+    for x, y, data, off in blocks(texts):
+        if len(data) <= LONG:
+            yield x, y, *features(data, off)
+        else:  # one text that is long, maybe with empty ones behind it
+            for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+                for part in cut_words(lower(data[a:b])):
+                    yield x + k, x + k + 1, *features(part, np.array([0, len(part)]))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of the sample that hold each feature: (h, p, u), summed over each batch."""
+    """Documents of the sample that hold each feature: (h, p, u), summed over each block."""
     for b in batches:
         kind = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("p", "u")])
-        for x, y, data, off in blocks(b.column("text")):
-            h, row = _once(*features(data, off))
+
+        def sums(x: int, y: int, h: np.ndarray, row: np.ndarray, kind=kind) -> pa.RecordBatch:
+            h, row = _once(h, row)
             key, at = np.unique(h, return_inverse=True)
-            sums = [np.bincount(at, k[x:y][row], len(key)).astype(np.int64) for k in kind]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, sums)], ["h", "p", "u"])
+            found = [np.bincount(at, k[x:y][row], len(key)).astype(np.int64) for k in kind]
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, found)], ["h", "p", "u"])
+
+        last, parts = None, []
+        for x, y, h, row in text_features(b.column("text")):
+            if last and last != (x, y):
+                yield sums(*last, np.concatenate(parts), np.zeros(sum(map(len, parts)), np.int64))
+                last, parts = None, []
+            if y - x == 1:  # maybe a part of a long text: each feature counts once for all of them
+                last = x, y
+                parts.append(np.unique(h))
+            else:
+                yield sums(x, y, h, row)
+        if last:
+            yield sums(*last, np.concatenate(parts), np.zeros(sum(map(len, parts)), np.int64))
 
 
 class Lookup:
@@ -86,6 +112,16 @@ class Lookup:
         return near[same], at[same]
 
 
+def known_features(texts: pa.Array, table: Lookup) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position in the table) of the known features of a column, each once a row, by row."""
+    rows, size = [np.zeros(0, np.int64)], len(table.known) + 1
+    for x, _, h, row in text_features(texts):
+        which, at = table.find(h)
+        rows.append(np.unique((row[which] + x) * size + at))
+    both = np.unique(np.concatenate(rows))
+    return both // size, both % size
+
+
 def _pick(known: np.ndarray):
     """The chosen features of each document of the sample."""
 
@@ -93,11 +129,8 @@ def _pick(known: np.ndarray):
         table = Lookup(known)
         for b in batches:
             out: list[list[int]] = [[] for _ in range(b.num_rows)]
-            for x, _, data, off in blocks(b.column("text")):
-                h, row = features(data, off)
-                which, at = table.find(h)
-                for r, k in set(zip(row[which].tolist(), at.tolist())):
-                    out[x + r].append(k)
+            for r, k in zip(*(v.tolist() for v in known_features(b.column("text"), table))):
+                out[r].append(k)
             yield pa.RecordBatch.from_arrays([b.column("p"), b.column("u"), pa.array(out, pa.list_(pa.int64()))], ["p", "u", "at"])
 
     return run
@@ -126,7 +159,7 @@ def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, unlabelle
     return w[:n], float(w[n])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, most_features: int = 4096) -> tuple[np.ndarray, np.ndarray, float] | None:
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000) -> tuple[np.ndarray, np.ndarray, float] | None:
     """(feature hashes, weights, intercept), or None without a positive to learn from."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -146,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
     a, b = F.col("p") / n_p, (F.col("u") + 0.5) / (n_u + 1)
     rest = F.greatest((b - prior * a) / (1 - prior), F.lit(0.5) / (n_u + 1))
     lift = (a - rest) / F.sqrt(rest / n_p)
-    best = counts.filter((F.col("p") >= 3) & (a >= 3 * rest)).select("h", lift.alias("z")).filter("z > 4").orderBy(F.desc("z"), "h").limit(most_features)
+    best = counts.filter((F.col("p") >= 3) & (a >= 3 * rest)).select("h", lift.alias("z")).filter("z > 4")
     hashes_ = np.sort(np.array([r.h for r in best.collect()], np.int64).view(np.uint64))
     seen = sample.mapInArrow(lean(_pick(hashes_)), "p boolean, u boolean, at array<long>").collect()
     at = [np.array(r["at"], np.int64) for r in seen]
@@ -169,12 +202,8 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None)
         known, w, intercept = sent.value
         table = Lookup(known)
         for b in batches:
-            f = np.full(b.num_rows, intercept)
-            for x, y, data, off in blocks(b.column("text")):
-                h, row = features(data, off)
-                which, at = table.find(h)
-                both = np.unique(row[which] * (len(known) + 1) + at)
-                f[x:y] += np.bincount(both // (len(known) + 1), w[both % (len(known) + 1)], y - x) if len(both) else 0
+            row, at = known_features(b.column("text"), table)
+            f = intercept + np.bincount(row, w[at], b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(f, -50, 50))))], [*b.schema.names, "score"])
 
     out = docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
