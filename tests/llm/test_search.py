@@ -196,18 +196,30 @@ def test_no_occurrence_within_the_budget_is_missed():
         assert got == {i: d for i, d in want.items() if d <= int(len(dict(items)[i]) * 0.08)}
 
 
+def test_places_in_the_text():
+    rng = random.Random(4)
+    for _ in range(300):
+        raw = "".join(rng.choices("aB é\t\nİß", k=rng.randint(0, 30)))
+        text = decontaminate.normal(raw)
+        at = decontaminate.places(raw, list(range(len(text) + 1)))
+        assert len(at) == len(text) + 1 and at == sorted(at)
+        for i, p in enumerate(at[:-1]):
+            assert raw[p].isspace() if text[i] == " " else text[i] in raw[p].lower()
+
+
 def test_matches(spark, docs):
     item = "A passage of the benchmark that is  long enough to be cut into pieces and found again."
-    rows = [(1, f"Before. {item.upper()} After."), (2, "nothing here"), (3, f"é\n{item}"), (4, None), (None, item), (5, "short")]
+    rows = [(1, f"Before. {item.upper()} After."), (2, "nothing here"), (3, f"é\n{item}"), (4, None), (None, item), (5, "short"), (6, "a (Short) one"), (7, "shorter, unshort")]
     df = docs([(i, t, None, None) for i, t in rows], extra=True)
     items = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "short"), (None, item), (11, item)], "item_id long, text string")
     for block in (2_000_000, 10):
         got = {(r.doc_id, r.item_id): (r.edits, r.start, r.stop) for r in decontaminate.matches(df, items, block_chars=block).collect()}
-        assert set(got) == {(1, 7), (1, 11), (3, 7), (3, 11), (None, 7), (None, 11), (5, 10)}
+        assert set(got) == {(1, 7), (1, 11), (3, 7), (3, 11), (None, 7), (None, 11), (5, 10), (6, 10)}
+        assert got[6, 10] == (0, 3, 8)
         text = dict(rows)[1]
         assert text[got[1, 7][1] : got[1, 7][2]] == item.upper()
-    assert sorted(r.doc_id for r in decontaminate.clean(df, items).collect()) == [2, 4]
-    assert decontaminate.matches(df, items.limit(0)).count() == 0 and decontaminate.clean(df, items.limit(0)).count() == 6
+    assert sorted(r.doc_id for r in decontaminate.clean(df, items).collect()) == [2, 4, 7]
+    assert decontaminate.matches(df, items.limit(0)).count() == 0 and decontaminate.clean(df, items.limit(0)).count() == 8
     assert decontaminate.matches(docs([]), items).count() == 0
 
 
