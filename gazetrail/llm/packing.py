@@ -5,10 +5,11 @@ piece is shorter; full pieces are sequences of their own and every other piece i
 Items are dealt by a hash into parts of about `part_items`, each packed by best-fit decreasing in one
 task (a part is a few numbers for each item).  Lower bounds from dual feasible functions tell for each part
 whether its count is the least possible; parts with a gap exchange their items, dealt
-anew among them, and are packed again while that saves sequences.
+anew among half as many, and are packed again while that saves sequences.  A lone part with a gap exchanges with one
+that has none; where there is one part in all, nothing can be exchanged and best-fit decreasing is the result.
 
 A null or empty text has the end id alone.  Repeated rows are packed each on their own.  A row whose doc_id is
-null is packed as any other.
+null is packed as any other.  An empty table gives no rows.  A long text is encoded as a whole, unit by unit.
 """
 
 from __future__ import annotations
@@ -131,6 +132,28 @@ def _state(packed: DataFrame) -> DataFrame:
     return packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
 
 
+def _dealt(rows: DataFrame, salt: int, low: int, many: int) -> DataFrame:
+    """`rows` with a part from `low` on, by a hash; rows of one text go to different parts."""
+    return rows.withColumn("part", low + F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(salt), F.monotonically_increasing_id()), F.lit(many)))
+
+
+def _exchanged(packed: DataFrame, room: int, salt: int, low: int) -> tuple[DataFrame, DataFrame, int] | None:
+    """(parts packed again, the parts as they were that stay, next number of a part), or None where nothing is saved."""
+    state = storage.written(_state(packed), "part-bounds")
+    pool = state.filter("bins > bound")
+    if pool.limit(2).count() == 1:  # it exchanges with one that needs no saving
+        pool = pool.unionAll(state.filter("bins <= bound").orderBy(F.xxhash64("part", F.lit(salt))).limit(1))
+    pool = storage.written(pool, "open-parts")
+    many, bins = pool.agg(F.count("*"), F.sum("bins")).first()
+    if many < 2:
+        return None
+    open_ = packed.join(pool.select("part"), "part", "left_semi").select("doc_id", "piece", "start", "length", "ids_crc32")
+    again = _packed(_dealt(open_, salt, low, many // 2), room)
+    if _state(again).agg(F.sum("bins")).first()[0] >= bins:
+        return None
+    return again, packed.join(pool.select("part"), "part", "left_anti"), low + many // 2
+
+
 def plan(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, part_items: int = 50_000, rounds: int = 3) -> DataFrame:
     """Every piece of every document with its sequence_id and its offset there."""
     every = storage.written(pieces(docs, tokenizer, room, end_id), "pieces")
@@ -140,24 +163,13 @@ def plan(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, par
     if not n:
         return full
     parts = -(-n // part_items)
-    deal = lambda rows, salt, low, many: rows.withColumn("part", low + F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(salt), F.monotonically_increasing_id()), F.lit(many)))
-    packed, done, low = _packed(deal(items, 0, 0, parts), room), [], parts
+    packed, done, low = _packed(_dealt(items, 0, 0, parts), room), [], parts
     for salt in range(1, rounds + 1):
-        state = _state(packed)
-        gaps = state.filter("bins > bound")
-        many, bins, bound = gaps.agg(F.count("*"), F.sum("bins"), F.sum("bound")).first()
-        if not many or many == 1 and salt > 1:
-            break
-        # a saving of one part needs others to exchange with
-        if many == 1:
-            break
-        open_ = packed.join(gaps.select("part"), "part", "left_semi")
-        again = _packed(deal(open_.select("doc_id", "piece", "start", "length", "ids_crc32"), salt, low, max(1, many // 2)), room)
-        low += max(1, many // 2)
-        if _state(again).agg(F.sum("bins")).first()[0] >= bins:
+        got = _exchanged(packed, room, salt, low)
+        if got is None:
             break
-        done.append(packed.join(gaps.select("part"), "part", "left_anti"))
-        packed = again
+        packed, rest, low = got
+        done.append(rest)
     for rows in done:
         packed = packed.unionByName(rows)
     out = packed.withColumn("sequence_id", 2 * (F.shiftleft(F.col("part"), 32) + F.col("bin")))

@@ -125,6 +125,24 @@ def test_plan(spark, docs, tokenizer):
     assert packing.plan(docs([]), tokenizer).count() == 0
 
 
+def test_a_lone_gap_exchanges(spark):
+    """One part with a gap beside one without: they are packed as one, and the saving is kept."""
+    rng, room = np.random.default_rng(0), 40
+    gap = lambda x: packing.best_fit(x, room)[2] - packing.lower_bound(x, room)
+    for _ in range(10_000):
+        a, b = rng.integers(5, 20, 17), rng.integers(5, 20, 17)
+        both = np.concatenate([a, b])
+        if gap(a) == 1 and gap(b) == 0 and packing.best_fit(both, room)[2] < packing.best_fit(a, room)[2] + packing.best_fit(b, room)[2]:
+            break
+    rows = [(i, 0, 0, int(n), i, int(i >= len(a))) for i, n in enumerate(both)]
+    packed = packing._packed(spark.createDataFrame(rows, packing.PIECES + ", part long"), room)
+    again, rest, low = packing._exchanged(packed, room, 1, 2)
+    assert rest.count() == 0 and low == 3 and sorted(r.doc_id for r in again.collect()) == list(range(34))
+    assert again.first().bins == packing.best_fit(both, room)[2]
+    alone = packing._packed(spark.createDataFrame(rows[: len(a)], packing.PIECES + ", part long"), room)
+    assert packing._exchanged(alone, room, 1, 2) is None
+
+
 def test_sequences(spark, docs, tokenizer):
     df = docs([(i, f"text number {i} " * i, "en", "a") for i in range(1, 30)])
     placed = packing.plan(df, tokenizer, room=64)
