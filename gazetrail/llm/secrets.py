@@ -10,7 +10,8 @@ gives the probability that it is a secret.  Private-key blocks need no forest.
 
 Labelled findings are a table (value, before2, before, after, path, label); `sample_findings` makes one
 from hashes of numbers where there is none.  Null and empty texts have no candidates; a null path is
-empty; repeated rows have each their own findings; start is the finding's own place in its text.
+empty; repeated rows have each their own findings; start is the finding's own place in its text.  An empty table gives
+no findings.  A long text is cut into its words and never grows beyond its findings.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazetrail.llm import sieve, storage
+
 NAMES = "passw(?:or)?d|passwd|pwd|secret|token|api_?key|access_?key|auth_?key|private_?key|credential"
 RULES = [
     ("aws_key", r"(AKIA[0-9A-Z]{16})(?![0-9A-Za-z])"),
@@ -39,17 +42,26 @@ SPACE = r"[\x20\x09-\x0D]+"
 PLACES = "array<struct<off: int, value: string, rule: string, within: boolean>>"
 #: A text without any of these has no candidate.
 HINT = rf"AKIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|(?i:{NAMES})|[A-Za-z0-9+/_-]{{20}}"
-KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
+KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 DICTIONARY = "example|sample|changeme|change|placeholder|your|dummy|fake|test|demo|default|password|passwd|secret|token|user|admin|root|access|public|private|key|name|value|string|null|none|true|false|here|insert|replace|todo|xxxx|abcd|1234|qwerty|config|server|client|service|local|host|file|path|data|base|version|release|build|commit|session|index|table|column|module|class|function|return|import|the|and|ing|tion|ment|able"
 SHAM = r"(?i)example|sample|dummy|fake|placeholder|test|redacted|fixture|mock"
 OTHER = r"(?i)^[\"'(]*(?:commit|sha1|sha256|md5|checksum|digest|revision|version|uuid|guid|id|hash|etag|branch|file|url)[=:]*$"
 FEATURES = ["length", "digits", "uppers", "lowers", "signs", "changes", "vowels", "distinct", "words", "hex", "sham_path", "named", "sham_near", "other_near", "provider"]
 
 
+def _path(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+
+
+def _key(docs: DataFrame) -> Column:
+    """128 bits of a row's text and path: rows that share them, and the doc_id, have the same findings."""
+    text = F.col("text").cast("string")
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("path"), _path(docs), text).alias("b"))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, rule, value, start, word, before2, before, after) for each candidate in `docs` (doc_id, text[, source])."""
-    path = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
+    """(doc_id, path, key, rule, value, start, word, before2, before, after) for each candidate in `docs` (doc_id, text[, source])."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _path(docs).alias("path"), _key(docs).alias("key"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("text").rlike(HINT)).withColumn("w", F.split("text", SPACE))
     named = rf"(?i)(?:{NAMES})[A-Za-z0-9_.-]*[\"']?$"
 
@@ -61,9 +73,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     marked = "|".join(f"(?:{p})" for _, p in RULES)
     hits = F.filter(every, lambda x: (F.length(x.w) >= 6) & (x.w.rlike(marked) | x.w.rlike(GENERIC) | follows(x.w, x.i)))
     # arrays of one row are exploded: the optimizer would else repeat their expressions for each word
-    rows = rows.select("doc_id", "path", F.explode(F.array(F.struct("text", "w", hits.alias("hits")))).alias("c")).filter(F.size("c.hits") > 0)
+    rows = rows.select("doc_id", "path", "key", F.explode(F.array(F.struct("text", "w", hits.alias("hits")))).alias("c")).filter(F.size("c.hits") > 0)
     sizes = F.zip_with("c.w", F.regexp_extract_all("c.text", F.lit(SPACE), F.lit(0)), lambda x, y: F.length(x) + F.coalesce(F.length(y), F.lit(0)))
-    rows = rows.select("doc_id", "path", F.explode(F.array(F.struct("c.w", "c.hits", sizes.alias("sizes")))).alias("c")).select("doc_id", "path", "c.*")
+    rows = rows.select("doc_id", "path", "key", F.explode(F.array(F.struct("c.w", "c.hits", sizes.alias("sizes")))).alias("c")).select("doc_id", "path", "key", "c.*")
     # the first character of each hit, carried from hit to hit
     none = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
 
@@ -72,7 +84,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.struct(x.i.alias("i"), at.alias("at"), F.array_append(state.all, at).alias("all"))
 
     found = F.zip_with("hits", F.aggregate("hits", none, step)["all"], lambda x, at: F.struct(x.i.alias("word"), x.w.alias("w"), at.alias("at"), F.coalesce(F.get(F.col("w"), x.i - 2), F.lit("")).alias("before2"), F.coalesce(F.get(F.col("w"), x.i - 1), F.lit("")).alias("before"), F.coalesce(F.get(F.col("w"), x.i + 1), F.lit("")).alias("after"), follows(x.w, x.i).alias("follows")))
-    out = rows.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "path", "c.*")
+    out = rows.select("doc_id", "path", "key", F.explode(found).alias("c")).select("doc_id", "path", "key", "c.*")
     every = F.concat(*(_places("w", n, p) for n, p in [*RULES, ("assigned", PARAMETER)]), _whole("w", "assigned", AFTER_NAME, F.col("follows")), _whole("w", "generic", GENERIC, F.lit(True)))
     out = out.select("*", F.explode(F.array(F.struct(every.alias("every")))).alias("e")).select("*", "e.every")
     once = F.filter("every", lambda x, k: ~F.exists(F.slice("every", F.lit(1), k), lambda y: (y.off == x.off) & (y.value == x.value)))
@@ -80,7 +92,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     # a name within the candidate's own word is its neighbour
     own = F.regexp_extract(F.expr("substring(w, 1, off)"), r"([^,;&?<>{}()]*[=:])[^=:]*$", 1)
     out = out.withColumn("before", F.when((F.col("rule") == "assigned") & F.col("within"), own).otherwise(F.col("before")))
-    return out.select("doc_id", "path", "rule", "value", (F.col("at") + F.col("off")).cast("long").alias("start"), F.col("word").cast("long").alias("word"), "before2", "before", "after")
+    return out.select("doc_id", "path", "key", "rule", "value", (F.col("at") + F.col("off")).cast("long").alias("start"), F.col("word").cast("long").alias("word"), "before2", "before", "after")
 
 
 def _places(w: str, rule: str, pattern: str) -> Column:
@@ -105,10 +117,13 @@ def _whole(w: str, rule: str, pattern: str, where: Column) -> Column:
 
 
 def key_blocks(docs: DataFrame) -> DataFrame:
-    """The private-key blocks of `docs`, in the form of findings."""
-    rows = docs.filter(F.col("text").contains("PRIVATE KEY-----"))
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.explode(F.regexp_extract_all("text", F.lit(KEY_BLOCK), F.lit(0))).alias("value"))
-    return rows.select("doc_id", F.lit("private_key").alias("rule"), "value", F.expr("cast(instr(text, value) - 1 as bigint)").alias("start"), F.lit(1.0).alias("probability"))
+    """The private-key blocks of `docs`, in the form of findings, each at its own place."""
+    rows = docs.filter(F.col("text").rlike("PRIVATE KEY(?: BLOCK)?-----"))
+    blocks = F.regexp_extract_all("text", F.lit(KEY_BLOCK), F.lit(0))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), _key(docs).alias("key"), blocks.alias("blocks"), F.split("text", KEY_BLOCK, -1).alias("rest"))
+    before = lambda i: F.aggregate(F.zip_with(F.slice("rest", 1, i + 1), F.slice("blocks", 1, i), lambda r, b: F.length(r) + F.coalesce(F.length(b), F.lit(0))), F.lit(0), lambda n, k: n + k)
+    found = rows.select("doc_id", "key", F.explode(F.transform("blocks", lambda v, i: F.struct(v.alias("value"), before(i).cast("long").alias("start")))).alias("f"))
+    return found.select("doc_id", "key", F.lit("private_key").alias("rule"), "f.value", "f.start", F.lit(1.0).alias("probability"))
 
 
 def numbers(rows: DataFrame) -> DataFrame:
@@ -184,24 +199,40 @@ def judged(found: DataFrame, model: RandomForestClassificationModel) -> DataFram
     return rows.withColumn("probability", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "prediction", *FEATURES)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
-    """(doc_id, rule, value, start, probability, is_secret) for each candidate in `docs` (doc_id, text[, source])."""
-    cols = ["doc_id", "rule", "value", "start", "probability"]
+def _judged_in(docs: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+    cols = ["doc_id", "key", "rule", "value", "start", "probability"]
     out = judged(candidates(docs), model).select(cols).unionByName(key_blocks(docs).select(cols))
     return out.withColumn("is_secret", F.col("probability") >= 0.5)
 
 
+def scan(docs: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+    """(doc_id, rule, value, start, probability, is_secret) for each candidate in `docs` (doc_id, text[, source])."""
+    return _judged_in(docs, model).drop("key")
+
+
 def redact(docs: DataFrame, model: RandomForestClassificationModel, mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every secret of a text replaced by `mark`; n_chars, if there, follows.  Texts without one stay as they are."""
-    found = scan(docs, model).filter("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("values"))
-    longest = F.array_sort(F.transform("values", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
-    found = found.select("doc_id", longest.alias("values"))
+    """`docs` with every secret replaced by `mark` where it was found, in its own row; secrets that overlap become one
+    mark.  n_chars, if there, follows.  Texts without a secret stay as they are and are not shuffled: a
+    bounded table of bits (`sieve`) tells which rows may have one."""
+    found = _judged_in(docs, model).filter("is_secret").select("doc_id", "key", F.struct("start", (F.col("start") + F.length("value")).alias("stop")).alias("span"))
+    found = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("span")).alias("spans"))  # of one text
+    found = storage.written(found.withColumn("slot", F.xxhash64("key")), "secrets")
     # whole rows as one column: no name of theirs can clash
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    rows = rows.join(found, rows["id"].eqNullSafe(found["doc_id"]), "left").select("row", "values")
-    text = F.aggregate("values", F.col("row.text"), lambda t, x: F.replace(t, x.v, F.lit(mark)))
-    rows = rows.withColumn("new", F.when(F.col("values").isNotNull(), text).otherwise(F.col("row.text")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), _key(docs).alias("of"))
+    maybe = sieve.split(rows.withColumn("slot", F.xxhash64("of")), found.select("slot"), "slot")
+    marked = maybe.filter("maybe").drop("slot").join(found.drop("slot"), (F.col("of") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id")), "left").select("row", "spans")
+    rows = marked.unionByName(maybe.filter("not maybe").select("row", F.lit(None).cast(marked.schema["spans"].dataType).alias("spans")))
+
+    def step(state: Column, x: Column) -> Column:
+        text = F.col("row.text")
+        new = F.when(x.start < state.at, state.new).otherwise(F.concat(state.new, F.substr(text, state.at + 1, x.start - state.at), F.lit(mark)))
+        return F.struct(F.greatest(state.at, x.stop).cast("int").alias("at"), new.alias("new"))
+
+    spans = F.transform("spans", lambda x: F.struct(x.start.cast("int").alias("start"), x.stop.cast("int").alias("stop")))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("new"))
+    text = F.aggregate(spans, start, step, lambda s: F.concat(s.new, F.substr(F.col("row.text"), s.at + 1)))
+    rows = rows.withColumn("new", F.when(F.col("spans").isNotNull(), text).otherwise(F.col("row.text")))
     own = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(F.col("values").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+        own["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
     return rows.select(*(own.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

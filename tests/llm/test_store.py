@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gazetrail.llm import media, packing, secrets, sharding
+from gazetrail.llm import media, packing, secrets, sharding, sieve
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
@@ -32,13 +32,33 @@ def test_media(spark, docs, tmp_path):
     for r in out:
         raw = (texts[r.doc_id] or "").encode()
         p = media.padded(raw)
+        assert r.digest == r.payload_sha256 and r.length == r.media_bytes
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-    assert len({tuple(r)[2:] for r in out if r.doc_id in (1, 5)}) == 1 and len({tuple(r)[1:] for r in out if r.doc_id in (2, 3)}) == 1
+    own = lambda r: (r.n_bytes, r.digest, *(r[c] for c in media.READ))
+    assert len({own(r) for r in out if r.doc_id in (1, 5)}) == 1 and len({own(r) for r in out if r.doc_id in (2, 3)}) == 1
     members = [(m.name, f.extractfile(m).read()) for s in tmp_path.glob("*.tar") for f in [tarfile.open(fileobj=io.BytesIO(s.read_bytes()))] for m in f.getmembers()]
     assert all(name == hashlib.sha256(media.decode_png(data)).hexdigest() + ".png" for name, data in members)
     heads = media.metadata(index).collect()
     assert all(r.width == 64 and r.bits == 8 and r.stored_name == f"{r.digest}.png" and r.height * 64 >= r.n_bytes for r in heads)
     assert media.read_back(media.write_shards(docs([]), f"file://{tmp_path}/none")).count() == 0
+    both = media.read_back(media.metadata(index)).collect()
+    assert sorted(map(own, both)) == sorted(map(own, out)) and all(r.height * r.width == r.payload_bytes for r in both)
+
+
+def test_metadata_reads_headers_only(spark, docs, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    index = media.write_shards(docs(), f"file://{tmp_path}").toArrow()
+    reads = []
+
+    class Counted(media.storage.Input):
+        def read(self, offset, length):
+            reads.append(length)
+            return super().read(offset, length)
+
+    monkeypatch.setattr(media.storage, "Input", Counted)
+    out = pa.Table.from_batches(media._headers(iter(index.to_batches())))
+    assert reads == [media.HEAD] * 9 and max(index.column("length").to_pylist()) > media.HEAD and out.num_rows == 9
 
 
 def test_table_is_filled_in_turns():
@@ -53,6 +73,7 @@ def test_table_is_filled_in_turns():
         slow[next(s for s in prefs[k % 7] if slow[s] is None)] = k % 7
         k += 1
     assert table == slow
+    assert sharding.table_size(16) == 2039 and len(sharding.fill(["a", "b"])) == 257
     less = sharding.fill(names[:-1], 101)
     moved = sum(names[a] != names[b] for a, b in zip(table, less) if a != 6)
     assert moved < 30
@@ -133,6 +154,53 @@ def test_scan_and_redact(docs, forest):
     assert secrets.scan(docs([]), forest).count() == 0 and secrets.redact(docs([]), forest).count() == 0
 
 
+def test_redaction_by_place_and_row(docs, forest):
+    word = "b7db7aa4a5fcc78305"
+    rows = [
+        (1, f"password={word[:14]} then {word[:14]}yz stays"),  # the value within a longer word
+        (1, f"plain {word} of the same id"),
+        (None, f"plain {word} of no id"),
+        (None, f"password={word} of no id"),
+        (2, f"password={word}"),
+        (2, f"password={word}"),
+        (3, f"é {word}, PWD={word};SECRET={word}; and token={word}&password=ce0cc631f6559e745b"),
+    ]
+    blocks = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1-2\nab-c\n-----END PGP PRIVATE KEY BLOCK-----"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,AB\n\nMIIE\n-----END RSA PRIVATE KEY-----"
+    rows.append((4, f"é{blocks} x {pem} y {pem}{blocks} z"))
+    df = docs([(i, t, "en", "src1") for i, t in rows], extra=True)
+    found = [r for r in secrets._judged_in(df, forest).collect()]
+    out = {(r.doc_id, r.text) for r in secrets.redact(df, forest).collect()}
+    texts = [t for _, t in rows]
+
+    def by_hand(doc_id, text):
+        spans = sorted({(r.start, r.start + len(r.value)) for r in found if r.is_secret and r.doc_id == doc_id and text[r.start : r.start + len(r.value)] == r.value and r.key == keys[doc_id, text]})
+        new, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                new += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        return new + text[at:]
+
+    keys = {(r.doc_id, r.text): r.key for r in df.select("doc_id", "text", secrets._key(df).alias("key")).collect()}
+    assert out == {(i, by_hand(i, t)) for i, t in rows}
+    assert {(1, f"password=[SECRET] then {word[:14]}yz stays"), (1, texts[1]), (None, texts[2]), (None, "password=[SECRET] of no id"), (2, "password=[SECRET]"), (4, "é[SECRET] x [SECRET] y [SECRET][SECRET] z")} <= out
+    assert secrets.redact(df, forest).count() == len(rows)
+    starts = sorted(r.start for r in found if r.doc_id == 4 and r.rule == "private_key")
+    assert starts == [texts[-1].index(blocks), texts[-1].index(pem), texts[-1].rindex(pem), texts[-1].rindex(blocks)]
+
+
+def test_sieve(spark):
+    keys = spark.range(0, 1000).select(F.xxhash64("id").alias("k"))
+    rows = spark.range(0, 20_000).select("id", F.xxhash64("id").alias("k"))
+    for most in (26, 13):
+        got = sieve.split(rows, keys, "k", most)
+        assert got.count() == 20_000 and got.filter("id < 1000 and not maybe").count() == 0
+        assert most < 26 or got.filter("id >= 1000 and maybe").count() < 1500
+    assert sieve.split(rows, keys.limit(0), "k").filter("maybe").count() == 0
+    assert sieve.split(rows.withColumn("k", F.lit(None).cast("long")), keys, "k").filter("maybe").count() == 0
+
+
 def test_native_plan(docs, forest):
     plan = secrets.scan(docs(), forest)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
