@@ -7,7 +7,8 @@ each, so no payload is shuffled and a group of copies costs one member for each
 The index (doc_id, digest, shard, offset, length) is a Parquet table; `offset` is where the image begins.
 
 Metadata columns come from range reads of the headers alone (`metadata`); `read_back` reads whole
-members and computes what depends on the samples.  Null and empty texts are 64 zero bytes.
+members and computes what depends on the samples.  Null and empty texts are 64 zero bytes.  Repeated rows have each
+their row and share a member; an empty table gives no shard and no row; a long text is a tall image.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from gazetrail.llm.textblocks import blocks, lean
 WIDTH = 64
 SIGN = b"\x89PNG\r\n\x1a\n"
 INDEX = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+META = INDEX + ", width long, height long, bits long, stored_name string"
 
 
 def padded(data: bytes) -> bytes:
@@ -120,17 +122,20 @@ def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield b, rows
 
 
-def metadata(index: DataFrame) -> DataFrame:
-    """The index with width, height, bits and stored_name, from range reads of 512 + 26 bytes a row."""
+HEAD = 512 + 26  # bytes of a member's tar header and the image's own
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, rows in _inputs(batches):
-            heads = [f.read(offset - 512, 538) for f, offset, _ in rows]
-            w, h, bits = zip(*(png_header(x[512:]) for x in heads)) if heads else ([],) * 3
-            names = [x[:100].rstrip(b"\0").decode() for x in heads]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in (w, h, bits)), pa.array(names, pa.string())], [*b.schema.names, "width", "height", "bits", "stored_name"])
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b, rows in _inputs(batches):
+        heads = [f.read(offset - 512, HEAD) for f, offset, _ in rows]
+        w, h, bits = zip(*(png_header(x[512:]) for x in heads)) if heads else ([],) * 3
+        names = [x[:100].rstrip(b"\0").decode() for x in heads]
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in (w, h, bits)), pa.array(names, pa.string())], [*b.schema.names, "width", "height", "bits", "stored_name"])
 
-    return _by_shard(index).mapInArrow(lean(run), INDEX + ", width long, height long, bits long, stored_name string")
+
+def metadata(index: DataFrame) -> DataFrame:
+    """The index with width, height, bits and stored_name, from range reads of HEAD bytes a row; rows come by shard."""
+    return _by_shard(index).mapInArrow(lean(_headers), META)
 
 
 def feature(payload: bytes) -> str:
@@ -143,24 +148,28 @@ def feature(payload: bytes) -> str:
     return f"grey8 {WIDTH}x{len(image)} mean={image.mean():.3f} sd={image.std():.3f} hash={hash_:016x}"
 
 
+READ = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, got = None, ()
+    for b, rows in _inputs(batches):
+        out = []
+        for key in rows:
+            if key != last:
+                file, offset, length = last = key
+                image = file.read(offset, length)
+                payload = decode_png(image)
+                got = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload))
+            out.append(got)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        values = zip(*out) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, k) for v, k in zip(values, kinds))], [*b.schema.names, *READ])
+
+
 def read_back(index: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all but
-    the first two from the stored bytes."""
-    cols = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, got = None, ()
-        for b, rows in _inputs(batches):
-            out = []
-            for key in rows:
-                if key != last:
-                    file, offset, length = last = key
-                    image = file.read(offset, length)
-                    payload = decode_png(image)
-                    got = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload))
-                out.append(got)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            values = zip(*out) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(v, k) for v, k in zip(values, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return _by_shard(index).mapInArrow(lean(run), cols)
+    """The index (of `write_shards`, or with the columns of `metadata`, whose order is kept) with payload_bytes,
+    payload_sha256, tail_crc32, media_bytes, media_sha256 and feature from the stored bytes."""
+    known = "stored_name" in index.columns
+    rows = index if known else _by_shard(index)
+    return rows.mapInArrow(lean(_members), (META if known else INDEX) + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
