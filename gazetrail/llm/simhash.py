@@ -13,9 +13,9 @@ That is exact, and practical for the few bits of a fingerprint identity.  For si
 (`similar_groups`: Jaccard similarity of the sets of shingles) a budget of many bits has no selective block.  There, buckets are
 16 pairs of 16 minima of the shingles' hashes under fixed permutations: texts of similarity 0.8 share one with
 probability 0.99998.  The trie join with a budget of bits (and 7 equal minima) makes rough groups of
-the buckets; then each rough group gets the sets of its texts, each once, and the trie join is run again, nearest
+the buckets.  Only texts of a rough group are read once more for their sets of shingles, and the trie join is run again, nearest
 fingerprints first, with the similarity itself computed for every pair that it finds and that is not yet linked.
-A rough group of more than `room` bytes of sets is dealt to its buckets instead.
+Large rough groups are dealt to many tasks (`_exact_links`).
 
 Texts: A-Z are lower-cased, words are runs without ASCII white space, shingles of n words are joined by a
 space (repeats count; fewer words: the whole sequence).  A bit is 1 if it is set in over half of the
@@ -35,10 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from gazetrail.llm import storage
+from gazetrail.llm import sieve, storage
 from gazetrail.llm.components import components
 from gazetrail.llm.textblocks import blocks, lean
-from gazetrail.llm.trie import link
+from gazetrail.llm.trie import Links, link
 
 PIECE = 1 << 15  # shingles of a text that are counted together
 
@@ -124,8 +124,9 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return _rows(docs).withColumn("raw", _raw("text")).mapInArrow(lean(run), "doc_id long, raw long, node long, fp long, sketch binary, cells array<long>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, bag): the distinct shingles of each distinct text, as sorted unsigned 32-bit hashes."""
+def shingle_sets(docs: DataFrame, shingle: int, firsts: DataFrame) -> DataFrame:
+    """(node, bag): the distinct shingles of texts, as sorted unsigned 32-bit hashes.  `firsts` has the slots
+    (`_slot`) of one row of each text that is wanted; other rows are left out by a bounded table of bits, but for a few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,7 +134,13 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             bags = [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for _, h in got]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([x for x, _ in got], np.uint64).view(np.int64)), pa.array(bags, pa.binary())], ["node", "bag"])
 
-    return _rows(docs).mapInArrow(lean(run), "node long, bag binary").groupBy("node").agg(F.first("bag").alias("bag"))
+    rows = _rows(docs).withColumn("slot", _slot(F.col("doc_id"), _raw("text")))
+    rows = sieve.split(rows, firsts, "slot").filter("maybe").select("text")
+    return rows.mapInArrow(lean(run), "node long, bag binary").groupBy("node").agg(F.first("bag").alias("bag"))
+
+
+def _slot(doc_id: Column, raw: Column) -> Column:
+    return F.xxhash64(doc_id, raw)
 
 
 def _link_cells(budget: int, block: int):
@@ -198,62 +205,215 @@ def _masks(df: DataFrame, budget: int, levels: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "levels int, mask long")
 
 
-def _link_similar(budget: int, similarity: float | None = None):
-    """Links within the cells of a task: rows (cell, node, fp, sketch) and, with `similarity`, bag."""
+def _alike(sketch: np.ndarray):
+    return lambda i, j: (sketch[i] == sketch[j]).sum(axis=1) >= EQUAL
+
+
+class _Bags:
+    """Sets of one task: sorted hashes, one set after the other."""
+
+    def __init__(self, bags: pa.Array):
+        raw = bags.to_pylist()
+        self.size = np.array([len(x) // 4 for x in raw], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.all = np.frombuffer(b"".join(raw), "<u4")
+
+    def of(self, k: int) -> np.ndarray:
+        return self.all[self.first[k] : self.first[k] + self.size[k]]
+
+    def similar(self, x: int, y: int, least: float) -> bool:
+        """Whether the Jaccard similarity of two sets is `least` or more; two empty ones are alike."""
+        n, m = int(self.size[x]), int(self.size[y])
+        if n > m:
+            x, y, n, m = y, x, m, n
+        if n < least * m:
+            return False
+        if not m:
+            return True
+        a, b = self.of(x), self.of(y)
+        at = np.minimum(np.searchsorted(b, a), m - 1)
+        both = int((b[at] == a).sum())
+        return both >= least * (n + m - both)
+
+
+def _sorted_cells(batches: Iterator[pa.RecordBatch], *columns: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(rows by cell and `columns`, order, first and last row of each cell)."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return None
+    got = pa.Table.from_batches(parts)
+    order = np.lexsort([*(got.column(c).to_numpy().view(np.uint64) for c in reversed(columns)), got.column("cell").to_numpy()])
+    cell = got.column("cell").to_numpy()[order]
+    start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    return got, order, start, np.append(start[1:], len(cell))
+
+
+def _link_rough(budget: int):
+    """Links within the cells of a task by bits and minima: rows (cell, node, fp, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
+        cells = _sorted_cells(batches, "fp")
+        if cells is None:
             return
-        got = pa.Table.from_batches(parts)
-        cell, node, fp = (got.column(c).to_numpy() for c in ("cell", "node", "fp"))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, cell))
-        cell, node, fp = cell[order], node[order], fp[order]
+        got, order, start, end = cells
+        node, fp = got.column("node").to_numpy()[order], got.column("fp").to_numpy().view(np.uint64)[order]
         sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), "<u2").reshape(-1, KEYS)[order]
-        start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        end = np.append(start[1:], len(cell))
-        alike = lambda i, j: (sketch[i] == sketch[j]).sum(axis=1) >= EQUAL
-        check, steps = alike, [budget]
-        if similarity is not None:
-            bags = got.column("bag").combine_chunks().take(pa.array(order))
-            size = np.array([len(x) // 4 for x in bags.to_pylist()], np.int64)
-            first = np.cumsum(size) - size
-            # ascending as a whole: by position, then by hash
-            all_ = np.frombuffer(b"".join(bags.to_pylist()), "<u4").astype(np.uint64) | np.repeat(np.arange(len(size), dtype=np.uint64) << np.uint64(32), size)
-
-            def check(i, j):
-                small, large = np.where(size[i] < size[j], i, j), np.where(size[i] < size[j], j, i)
-                ok = (size[small] >= similarity * size[large]) & alike(i, j)
-                for k in np.flatnonzero(ok):
-                    x, y = small[k], large[k]
-                    want = (all_[first[x] : first[x] + size[x]] & np.uint64(0xFFFFFFFF)) | np.uint64(int(y) << 32)
-                    at = first[y] + np.searchsorted(all_[first[y] : first[y] + size[y]], want)
-                    both = int((all_[np.minimum(at, len(all_) - 1)] == want).sum()) if len(all_) else 0
-                    ok[k] = both >= similarity * (int(size[x] + size[y]) - both)
-                return ok
-
-            steps = [b for b in (4, 10) if b < budget] + [budget]
-        links, over = None, -1
-        for b in steps:
-            links = link(fp, start, end, start, end, 63, b, check, over, links)
-            over = b
-        far = np.flatnonzero(links.label != np.arange(len(cell)))
+        label = link(fp, start, end, start, end, 63, budget, _alike(sketch)).label
+        far = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], ["u", "v"])
+
+    return run
+
+
+def _link_similar(budget: int, similarity: float):
+    """Links within the cells of a task by the similarity itself: rows (cell, node, fp, sketch, bag, open).  Rows of a cell that
+    are not open are linked with each other already; every pair with an open one is looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = _sorted_cells(batches, "fp")
+        if cells is None:
+            return
+        got, order, start, end = cells
+        node, fp, open_ = got.column("node").to_numpy()[order], got.column("fp").to_numpy().view(np.uint64)[order], got.column("open").to_numpy(zero_copy_only=False)[order]
+        sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), "<u2").reshape(-1, KEYS)[order]
+        bags, alike = _Bags(got.column("bag").combine_chunks().take(pa.array(order))), _alike(sketch)
+        links = Links(len(node))
+        for a, b in zip(start.tolist(), end.tolist()):
+            shut = a + np.flatnonzero(~open_[a:b])
+            if len(shut):
+                links.label[shut] = shut[0]
+        links.refresh()
+        before = links.label.copy()
+
+        def check(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = alike(i, j)
+            for k in np.flatnonzero(ok):
+                ok[k] = bags.similar(i[k], j[k], similarity)
+            return ok
+
+        over = -1
+        for b in [*(b for b in (4, 10) if b < budget), budget]:
+            links, over = link(fp, start, end, start, end, 63, b, check, over, links), b
+        far = np.flatnonzero((links.label != before) & (before == np.arange(len(node))))
         yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[links.label[far]])], ["u", "v"])
 
     return run
 
 
-def _refined(rows: DataFrame, most: int) -> DataFrame:
-    """`rows` (cell, sketch, ...) in the cells that have others; a cell of more than `most` rows is refined by
-    each of the minima."""
-    sizes = storage.written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-minima")
-    large = sizes.filter(F.col("n") > most).select("cell")
-    out = rows.join(sizes.filter(F.col("n") <= most).select("cell"), "cell", "left_semi")
-    if large.first() is not None:
-        hot = rows.join(large, "cell", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(KEYS - 1))))
-        hot = hot.withColumn("cell", F.xxhash64("cell", "k", F.expr("substring(sketch, 2 * k + 1, 2)"))).drop("k")
-        out = out.unionByName(hot)
+def _link_pivot(similarity: float):
+    """(u, v) for each row of a cell (cell, node, bag, pivot) that is similar to the cell's pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = _sorted_cells(batches)
+        if cells is None:
+            return
+        got, order, start, end = cells
+        node, pivot = got.column("node").to_numpy()[order], got.column("pivot").to_numpy(zero_copy_only=False)[order]
+        bags = _Bags(got.column("bag").combine_chunks().take(pa.array(order)))
+        u, v = [], []
+        for a, b in zip(start.tolist(), end.tolist()):
+            k = a + int(np.flatnonzero(pivot[a:b])[0])
+            near = [i for i in range(a, b) if not pivot[i] and bags.similar(i, k, similarity)]
+            u += node[near].tolist()
+            v += [int(node[k])] * len(near)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _finer(rows: DataFrame) -> DataFrame:
+    """Rows of buckets (cell, sketch, used, ...) in finer ones, each by one more of the minima; `used` has those a bucket is made of.
+
+    Candidates have EQUAL of KEYS minima alike, hence some besides those used, as long as these are fewer: of any
+    KEYS - EQUAL + 1 of the others they share one.  No pair is lost."""
+    others = F.slice(F.filter(F.sequence(F.lit(0), F.lit(KEYS - 1)), lambda j: ~F.array_contains("used", j)), 1, KEYS - EQUAL + 1)
+    rows = rows.withColumn("j", F.explode(others))
+    value = F.call_function("substring", F.col("sketch"), 2 * F.col("j") + 1, F.lit(2))
+    return rows.withColumns({"cell": F.xxhash64("cell", "j", value), "used": F.array_append("used", F.col("j"))}).drop("j")
+
+
+def _buckets(nodes: DataFrame, *columns) -> DataFrame:
+    """(cell, used, ...): a text's buckets, each of two neighbouring minima."""
+    rows = nodes.select(*columns, F.posexplode("cells").alias("k", "cell"))
+    return rows.withColumn("used", F.array("k", (F.col("k") + 1) % KEYS)).drop("k")
+
+
+def _rough_links(nodes: DataFrame, budget: int, most: int) -> DataFrame:
+    """Links (u, v) such that similar texts are in one component: within each bucket that has two texts at least, by bits
+    and minima.  A bucket of more than `most` texts is refined once, and what is larger still is linked as a whole."""
+    cells = _buckets(nodes, "node")
+    sizes = storage.written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-cells")
+    shared = cells.join(sizes.filter(F.col("n") <= most).select("cell"), "cell").select("cell", "node")
+    hot = sizes.filter(F.col("n") > most)
+    whole = None
+    if hot.first() is not None:
+        rows = cells.join(hot.select("cell"), "cell").join(nodes.select("node", "sketch"), "node")
+        rows = storage.written(_finer(rows).select("cell", "node"), "finer-cells")
+        again = storage.written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("n > 1"), "shared-finer")
+        shared = shared.unionByName(rows.join(again.filter(F.col("n") <= most).select("cell"), "cell"))
+        whole = rows.join(again.filter(F.col("n") > most).select("cell", "low"), "cell").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    rows = shared.join(nodes.select("node", "fp", "sketch"), "node")
+    out = rows.select("cell", "node", "fp", "sketch").repartition("cell").mapInArrow(lean(_link_rough(budget)), "u long, v long")
+    return out if whole is None else out.unionAll(whole)
+
+
+def _exact_links(rows: DataFrame, budget: int, similarity: float, most: int, room: int) -> DataFrame:
+    """Links (u, v) that connect what chains of similar texts do, within rough groups: rows (root, node, fp, sketch, cells, bag).
+
+    A group of up to `most` texts and `room` bytes is one cell of a task.  In a larger one every text is first compared with one of
+    them, the pivot, in as many tasks as it takes: copies of each other are mostly settled by that.  Those that are
+    not like the pivot stay open, and are compared with all others of their buckets (`_opened`)."""
+    sizes = storage.written(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bag") + 64).alias("bytes"), F.min("node").alias("pivot")), "group-sizes")
+    tasks = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("bytes") / room)).cast("int")
+    sizes = sizes.select("root", "pivot", tasks.alias("tasks"))
+    linker = lambda df: df.select("cell", "node", "fp", "sketch", "bag", "open").repartition("cell").mapInArrow(lean(_link_similar(budget, similarity)), "u long, v long")
+    small = rows.join(sizes.filter("tasks = 1").select("root"), "root", "left_semi").withColumns({"cell": F.col("root"), "open": F.lit(True)})
+    found = linker(small)
+    large = sizes.filter("tasks > 1")
+    if large.first() is None:
+        return found
+    big = storage.written(rows.join(large, "root"), "large-groups")
+    cell = lambda salt: F.xxhash64("root", salt).alias("cell")
+    pivots = big.filter("node = pivot").select("root", "node", "bag", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"))
+    members = big.filter("node <> pivot").select("root", "node", "bag", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int").alias("salt"))
+    both = members.select(cell(F.col("salt")), "node", "bag", F.lit(False).alias("pivot")).unionAll(pivots.select(cell(F.col("salt")), "node", "bag", F.lit(True)))
+    star = storage.written(both.repartition("cell").mapInArrow(lean(_link_pivot(similarity)), "u long, v long"), "pivot-links")
+    closed = star.select(F.col("u").alias("node"), F.lit(False).alias("open"))
+    big = big.join(closed, "node", "left").withColumn("open", F.coalesce("open", F.col("node") != F.col("pivot")))
+    groups = big.filter("open").select("root").distinct()
+    if groups.first() is None:
+        return found.unionAll(star)
+    big = storage.written(big.join(groups, "root", "left_semi").drop("pivot", "tasks"), "open-groups")
+    return found.unionAll(star).unionAll(linker(_opened(big, most, room)))
+
+
+def _opened(rows: DataFrame, most: int, room: int, levels: int = 2) -> DataFrame:
+    """Rows (cell, node, fp, sketch, bag, open) such that each open row meets all candidates of its group in a cell.
+
+    Rows go to the group's buckets.  A bucket that is small, or has few open rows, is dealt to blocks: every open row goes to each, each
+    other row to one.  A bucket with many open rows is refined by further minima, `levels` times; what is large
+    even so is dealt to all pairs of its blocks, which is exact and costs their square."""
+    few, cols = max(1, most // 4), ["node", "fp", "sketch", "bag", "open"]
+    here = _buckets(rows, "root", *cols).withColumn("cell", F.xxhash64("root", "cell")).drop("root")
+    out = None
+    for level in range(levels + 1):
+        sizes = here.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("opens"), F.sum(F.length("bag") + 64).alias("bytes"))
+        tasks = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("bytes") / room)).cast("int")
+        sizes = storage.written(sizes.filter("n > 1 and opens > 0").select("cell", "opens", tasks.alias("tasks")), "open-cells")
+        hot = (F.col("tasks") > 1) & (F.col("opens") > few)
+        one, all_ = F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int"), F.sequence(F.lit(0), F.col("tasks") - 1)
+        done = here.join(sizes.filter(~hot), "cell").withColumn("b", F.explode(F.when(F.col("open"), all_).otherwise(F.array(one))))
+        done = done.select(F.xxhash64("cell", "b").alias("cell"), *cols)
+        out = done if out is None else out.unionByName(done)
+        if sizes.filter(hot).first() is None:
+            break
+        large = here.join(sizes.filter(hot).select("cell", "tasks"), "cell")
+        if level < levels:
+            here = _finer(large.drop("tasks"))
+            continue
+        pairs = F.transform(all_, lambda y: F.struct(F.least("x", y).alias("p"), F.greatest("x", y).alias("q")))
+        last = large.withColumn("x", one).withColumn("pq", F.explode(pairs)).select(F.xxhash64("cell", "pq.p", "pq.q").alias("cell"), *cols)
+        out = out.unionByName(last)
     return out
 
 
@@ -265,16 +425,19 @@ def groups(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
     return _named(own, distinct, links(distinct.select("fp"), budget))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int | None = None, most: int = 20_000, room: int = 64 << 20) -> DataFrame:
+MOST, ROOM, ROUGH = 512, 16 << 20, 20_000  # texts and bytes of sets of a task's cell; texts of a bucket
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int | None = None, most: int = MOST, room: int = ROOM, rough: int = ROUGH) -> DataFrame:
     """(doc_id, component_id) for each row of `docs`: chains of texts of Jaccard similarity `similarity` or more
     between their sets of shingles (texts without words are alike).
 
     Two such sets have a cosine of 2s / (1 + s), so each bit differs with p = acos(...) / pi at most; the budget
     is the mean of 64 such bits and four standard deviations (21 at 0.8), unless it is given."""
-    return _similar(docs, shingle, similarity, budget, most, room).select("doc_id", F.col("first.doc_id").alias("component_id"))
+    return _similar(docs, shingle, similarity, budget, most, room, rough).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
-def _similar(docs: DataFrame, shingle: int, similarity: float, budget: int | None = None, most: int = 20_000, room: int = 64 << 20) -> DataFrame:
+def _similar(docs: DataFrame, shingle: int, similarity: float, budget: int | None = None, most: int = MOST, room: int = ROOM, rough: int = ROUGH) -> DataFrame:
     """(doc_id, raw, first) for each row of `docs`: first is the key of its group's first row, by doc_id with nulls last,
     then by the hash of the text."""
     if budget is None:
@@ -282,17 +445,11 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, budget: int | Non
         budget = int(64 * p + 4 * np.sqrt(64 * p * (1 - p)))
     own = storage.written(signatures(docs, shingle), "signatures")
     nodes = storage.written(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("first"), *(F.first(c).alias(c) for c in ("fp", "sketch", "cells"))), "distinct-texts")
-    cells = _refined(nodes.select("node", "fp", "sketch", F.explode(F.array_distinct("cells")).alias("cell")), most)
-    rough = storage.written(components(cells.repartition("cell").mapInArrow(lean(_link_similar(budget)), "u long, v long")), "rough-groups")
-    rows = rough.join(nodes, "node").join(shingle_sets(docs, shingle), "node").select("root", "node", "fp", "sketch", "cells", "bag")
-    rows = storage.written(rows, "rough-sets")
-    large = storage.written(rows.groupBy("root").agg(F.sum(F.length("bag") + 64).alias("n")).filter(F.col("n") > room).select("root"), "large-groups")
-    cells = rows.withColumn("cell", F.col("root"))
-    if large.first() is not None:
-        hot = rows.join(large, "root", "left_semi").withColumn("cell", F.explode(F.array_distinct("cells"))).withColumn("cell", F.xxhash64("root", "cell"))
-        cells = cells.join(large, "root", "left_anti").unionByName(_refined(hot, most))
-    found = cells.select("cell", "node", "fp", "sketch", "bag").repartition("cell").mapInArrow(lean(_link_similar(budget, similarity)), "u long, v long")
-    root = components(found)
+    groups_ = components(_rough_links(nodes, budget, rough)).select("node", "root")
+    firsts = storage.written(groups_.join(nodes, "node").withColumn("slot", _slot(F.col("first.doc_id"), F.col("first.raw"))), "rough-groups")
+    sets = shingle_sets(docs, shingle, firsts.select("slot"))
+    rows = storage.written(firsts.select("root", "node", "fp", "sketch", "cells").join(sets, "node"), "rough-sets")
+    root = components(_exact_links(rows, budget, similarity, most, room))
     named = nodes.select("node", "first").join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("first"))
     return own.select("doc_id", "raw", "node").join(named.select("node", "root").join(ids, "root").select("node", "first"), "node").select("doc_id", "raw", "first")
@@ -312,15 +469,14 @@ def _named(own: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of `similar_groups`, the one with the smallest doc_id (nulls last), unchanged.  Repeated rows
     of an id and text leave one."""
-    found = _similar(docs, shingle, similarity)
+    found = storage.written(_similar(docs, shingle, similarity), "near-duplicates")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("raw") == F.col("first.raw"))
-    gone = found.filter(~stays).select("doc_id", "raw").distinct()
+    gone = found.filter(~stays).select("doc_id", "raw", F.lit(False).alias("once")).distinct()
+    many = found.filter(stays).groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "raw", F.lit(True).alias("once"))
+    marked = storage.written(gone.unionByName(many).withColumn("slot", _slot(F.col("doc_id"), F.col("raw"))), "marked-rows")
     # whole rows as one column: no name of theirs can clash
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), _raw("text").alias("key"))
-    same = lambda df: rows["id"].eqNullSafe(df["doc_id"]) & (rows["key"] == df["raw"])
-    rest = rows.join(gone, same(gone), "left_anti")
-    many = found.filter(stays).groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "raw")
-    if many.first() is not None:
-        once = rest.join(many, same(many), "left_semi").dropDuplicates(["id", "key"])
-        rest = rest.join(many, same(many), "left_anti").unionByName(once)
-    return rest.select("row.*")
+    rows = sieve.split(rows.withColumn("slot", _slot(F.col("id"), F.col("key"))), marked.select("slot"), "slot")
+    some = rows.filter("maybe").drop("slot").join(marked.drop("slot"), rows["id"].eqNullSafe(marked["doc_id"]) & (rows["key"] == marked["raw"]), "left")
+    once = some.filter("once").groupBy("id", "key").agg(F.first("row").alias("row")).select("row")
+    return rows.filter("not maybe").select("row").unionByName(some.filter("once is null").select("row")).unionByName(once).select("row.*")

@@ -134,7 +134,7 @@ def similar(texts, n=5, at_least=0.8):
     return groups_of(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(bags[i], bags[j])])
 
 
-@pytest.mark.parametrize("limits", [{}, {"room": 1}, {"room": 1, "most": 2}])
+@pytest.mark.parametrize("limits", [{}, {"most": 2}, {"most": 3, "room": 5000}, {"rough": 3}, {"rough": 1, "most": 4}])
 def test_similar_groups_against_all_pairs(docs, limits):
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(300)]
