@@ -83,14 +83,17 @@ class Index:
         """(words in each row, licence word at each word or -1, first word of each row) of a block; a long text
         is read in parts."""
         low = _LOWER[data]
-        if len(low) > LONG:
-            n, ids = [], []
-            for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                own = [self.known(part, np.array([0, len(part)]))[1][:-1] for part in ([low[a:b]] if b - a <= LONG else cut_words(low[a:b]))]
-                n.append(sum(map(len, own)))
-                ids += own
-            n = np.array(n)
-            return n, np.concatenate([*ids, np.full(1, -1, np.int32)]), np.cumsum(n) - n
+        if len(low) <= LONG:
+            return self._known(low, off)
+        n, ids = [], []
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+            own = [self._known(part, np.array([0, len(part)]))[1][:-1] for part in cut_words(low[a:b])]
+            n.append(sum(map(len, own)))
+            ids += own
+        n = np.array(n)
+        return n, np.concatenate([*ids, np.full(1, -1, np.int32)]), np.cumsum(n) - n
+
+    def _known(self, low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, end, row = words(low, off)
         n = np.bincount(row, minlength=len(off) - 1)
         ids = np.full(len(start) + 1, -1, np.int32)

@@ -13,7 +13,8 @@ The fit uses a bounded sample of rows (`most_positive`, `most_unlabelled`: expec
 by a hash of doc_id); scores cover every whole text.  Features are all whose share of positives exceeds that
 of the other documents by four standard deviations; they come from the sample, whose size bounds them.  A null or empty text has no features and the score of the intercept.
 Labels that are null, of unknown documents, or held out are not used; without any positive every score
-is 0.  A row whose doc_id is null is scored and not learned from.
+is 0.  A row whose doc_id is null is scored and not learned from.  Repeated rows have each their score, an empty table
+gives none; a long text is read in parts that end with words.
 """
 
 from __future__ import annotations
@@ -136,6 +137,23 @@ def _pick(known: np.ndarray):
     return run
 
 
+def risk(w: np.ndarray, rows: np.ndarray, cols: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, ridge: float = 0.0) -> tuple[float, float, np.ndarray]:
+    """(prior * R(positives as 1), R(unlabelled as 0) - prior * R(positives as 0), the gradient to follow) of a linear model
+    with weights and intercept `w` on presence features; p and u are the shares of its rows in both sets.
+
+    Where the second part is negative, the gradient is that of its opposite alone.  `ridge` shrinks the weights."""
+    n, docs = len(w) - 1, len(p)
+    f = np.bincount(rows, w[cols], docs) + w[n]
+    s = 1 / (1 + np.exp(-np.clip(f, -50, 50)))
+    slope = s * (1 - s)
+    above, rest = prior * (p @ (1 - s)), float((u - prior * p) @ s)
+    g_rest = (u - prior * p) * slope
+    g = g_rest - prior * p * slope if rest >= 0 else -g_rest
+    grad = np.append(np.bincount(cols, g[rows], n), g.sum())
+    grad[:n] += ridge * w[:n]
+    return float(above), rest, grad
+
+
 def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, n: int, prior: float, steps: int = 600, rate: float = 0.05, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """(weights, intercept) of a linear model on presence features: (rows, cols) are the ones of the matrix,
     `positive` and `unlabelled` flag its rows.  Sigmoid loss, which is bounded, so that no positive that is
@@ -144,16 +162,8 @@ def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, unlabelle
     m1, m2 = np.zeros(n + 1), np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
     p, u = positive / max(1, positive.sum()), unlabelled / max(1, unlabelled.sum())
-    docs = len(positive)
     for t in range(1, steps + 1):
-        f = np.bincount(rows, w[cols], docs) + w[n]
-        s = 1 / (1 + np.exp(-np.clip(f, -50, 50)))
-        rest = (u - prior * p) @ s
-        slope = s * (1 - s)
-        g_plus, g_rest = -prior * p * slope, (u - prior * p) * slope
-        g = g_plus + g_rest if rest >= 0 else -g_rest
-        grad = np.append(np.bincount(cols, g[rows], n), g.sum())
-        grad[:n] += ridge * w[:n]
+        grad = risk(w, rows, cols, p, u, prior, ridge)[2]
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         w -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     return w[:n], float(w[n])
