@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
 
 from pyspark.sql import functions as F
 
@@ -37,6 +38,24 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _report(spark, path: str, columns: list[str] | None = None) -> None:
+    """How many rows were written, counted from the written files."""
+    print(f"{path}: {tables.read(spark, path).count():,} rows" + (f", {len(columns)} columns" if columns else ""))
+
+
+def _scorer(name: str, masked: bool, device: str | None, max_length: int, scorers: dict):
+    """A factory of scorers: one that is given, the stand-in under its own name only, or a pretrained model."""
+    if name in scorers:
+        return scorers[name]
+    if name == "stand-in":
+        model = lambda: scoring.StandIn(masked)
+    elif all(map(importlib.util.find_spec, ("torch", "transformers"))):
+        model = lambda: scoring.Pretrained(name, masked, device)
+    else:
+        raise SystemExit(f"no scorer for the model {name}: torch and transformers are not installed; pass one to main(scorers=...), or --model stand-in for made-up scores")
+    return lambda: scoring.Masked(model(), max_length) if masked else scoring.Causal(model())
+
+
 def main(argv: list[str] | None = None, scorers: dict | None = None) -> None:
     """`scorers` maps a model's name to a factory of a scorer; the deterministic stand-in scores only under its own name."""
     a = parser().parse_args(argv)
@@ -56,21 +75,23 @@ def main(argv: list[str] | None = None, scorers: dict | None = None) -> None:
     elif a.step == "prepare-corpus":
         out = corpus.standard(ordered(read(a.input)), corpus.load_config(a.config), zipf, a.grain)
         tables.write(corpus.sorted_standard(out), a.output)
+        _report(spark, a.output)
     elif a.step == "prepare-trials":
         corpus.write_trials(corpus.trials(ordered(read(a.input)), zipf), a.out_dir)
+        for name in ("clean_wordlevel", "items", "sentences"):
+            _report(spark, f"{a.out_dir}/{name}.parquet")
     elif a.step == "ngram":
         train = tables.text_lines(spark, a.train_text) if a.train_text else None
         tables.write(corpus.ngram_table(ordered(read(a.input)), train, a.order, a.alpha, a.min_count), a.output)
     elif a.step in ("surprisal-ar", "surprisal-mlm"):
-        mode = {"mode": "causal"} if a.step == "surprisal-ar" else {"mode": "masked", "max_length": a.max_length}
-        known = {"stand-in": lambda: scoring.HashScorer(**mode)} | (scorers or {})
-        if a.model not in known:
-            raise SystemExit(f"no scorer for the model {a.model}; pass one to main(scorers=...), or --model stand-in for made-up scores")
-        factory = known[a.model]
-        suffix = "surprisal" if a.step == "surprisal-ar" else "pseudo_surprisal"
+        masked = a.step == "surprisal-mlm"
+        suffix = "pseudo_surprisal" if masked else "surprisal"
+        factory = _scorer(a.model, masked, a.device, a.max_length if masked else 0, scorers or {})
         tables.write(scoring.model_surprisal(ordered(read(a.input)), factory, a.model, suffix, a.max_sentences), a.output)
     elif a.step == "merge":
-        tables.write(joins.merge_features(read(a.base), *map(read, a.feature)), a.output)
+        out = joins.merge_features(read(a.base), *map(read, a.feature))
+        tables.write(out, a.output)
+        _report(spark, a.output, out.columns)
     elif a.step == "analyse":
         _, skipped = analysis.analyse(read(a.input), a.targets, a.output_dir)
         for t in skipped:

@@ -47,6 +47,11 @@ def padded(words: Column, order: int) -> Column:
     return F.concat(F.array_repeat(F.lit(BOS), order - 1), words, F.array(F.lit(EOS)))
 
 
+def sentence_key(c: Column) -> Column:
+    """A sentence's id as text, by which groups are told apart."""
+    return c.cast("string")
+
+
 def composite_key(*parts: Column) -> Column:
     """Parts joined by a hyphen; null if one is."""
     out: list[Column] = []

@@ -36,6 +36,11 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns).dropna("any")
 
 
+def known(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows that have all of `columns`."""
+    return df.dropna("any", subset=list(columns))
+
+
 def with_alnum(df: DataFrame, column: str = "word") -> DataFrame:
     return df.filter(text.has_alnum(F.col(column)))
 

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazetrail.functions.text import sentence_key
 from gazetrail.sources import interim
 
 FOLDS = 5
@@ -216,7 +217,7 @@ class Fits:
         self.columns = list(dict.fromkeys([*(c for v in specs.values() for c in v), target]))
         at = {c: i for i, c in enumerate(self.columns)}
         self.where = {name: [at[c] for c in [*v, target]] for name, v in specs.items()}
-        self.rows = df.select(F.col(group).cast("string").alias("g"), *(F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"x{i}") for i, c in enumerate(self.columns)))
+        self.rows = df.select(sentence_key(F.col(group)).alias("g"), *(F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"x{i}") for i, c in enumerate(self.columns)))
         every = list(range(len(self.columns)))
         kinds = list({tuple(v): None for v in self.where.values()})
         got = self.rows.agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in every), *(F.count(F.when(self._whole(v), 1)).alias(f"n{k}") for k, v in enumerate([every, *kinds]))).first()

@@ -15,7 +15,7 @@ from gazetrail.functions import numeric, text
 from gazetrail.operators import filters, joins, ngram, projections, regression, scoring, sentence
 from gazetrail.plans import analysis, corpus
 from gazetrail.schema import TIMES
-from gazetrail.sources import tables
+from gazetrail.sources import interim, tables
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -339,25 +339,25 @@ def _sentences(spark, sf_dir) -> DataFrame:
     return rows.filter(F.size("words") > 0)
 
 
-def _grams(order: int) -> str:
+def _grams(order: int, source: str = "words") -> str:
     parts = " UNION ALL ".join(f"SELECT {n} AS n, array_to_string(t[i:i+{n - 1}], ' ') AS ngram, {'array_to_string(t[i:i+%d], chr(32))' % (n - 2) if n > 1 else chr(39) * 2} AS history FROM (SELECT t, unnest(range(1, len(t) - {n} + 2)) AS i FROM padded)" for n in range(1, order + 1))
     begin = ", ".join(["'<s>'"] * (order - 1))
-    return W + f""",
-padded AS (SELECT list_concat(list_concat([{begin}]::VARCHAR[], list(lower(word) ORDER BY word_pos)), ['</s>']) AS t FROM words GROUP BY sent_id),
+    return C + f""",
+padded AS (SELECT list_concat(list_concat([{begin}]::VARCHAR[], list(lower(word) ORDER BY word_pos)), ['</s>']) AS t FROM {source} GROUP BY sent_id),
 counts AS (SELECT n, ngram, history, count(*) AS c FROM ({parts}) GROUP BY ALL),
 histories AS (SELECT n, history, CAST(sum(c) AS BIGINT) AS c FROM counts WHERE n > 1 GROUP BY ALL)"""
 
 
-def _scored(order: int, alpha: float) -> str:
+def _scored(order: int, alpha: float, source: str = "words") -> str:
     if alpha > 0:
         pick = "SELECT *, len(c) + 1 AS n, array_to_string(c, ' ') AS history FROM contexts"
     else:
         seen = " ".join(f"WHEN len(x.c) >= {n - 1} AND EXISTS (SELECT 1 FROM histories h WHERE h.n = {n} AND h.history = array_to_string(x.c[-{n - 1}:], ' ')) THEN {n}" for n in range(order, 1, -1))
         pick = f"SELECT *, CASE WHEN n > 1 THEN array_to_string(c[-(n - 1):], ' ') ELSE '' END AS history FROM (SELECT *, CASE {seen} ELSE 1 END AS n FROM contexts x)"
-    return _grams(order) + f""",
-vocab AS (SELECT DISTINCT lower(word) AS v FROM words),
+    return _grams(order, source) + f""",
+vocab AS (SELECT DISTINCT lower(word) AS v FROM {source}),
 consts AS (SELECT (SELECT count(*) FROM vocab) + 3 AS size, (SELECT sum(c) FROM counts WHERE n = 1)::DOUBLE AS total),
-scored_words AS (SELECT lang, sent_id, word_pos, coalesce(v, '<unk>') AS w FROM (SELECT *, {CLEAN} AS word_clean FROM words) LEFT JOIN vocab ON lower(word_clean) = v WHERE length(word_clean) > 0),
+scored_words AS (SELECT lang, sent_id, word_pos, coalesce(v, '<unk>') AS w FROM cleaned LEFT JOIN vocab ON lower(word_clean) = v WHERE length(word_clean) > 0),
 contexts AS (SELECT *, coalesce(list(w) OVER (PARTITION BY sent_id ORDER BY word_pos ROWS BETWEEN {max(order - 1, 1)} PRECEDING AND 1 PRECEDING), []) {'[1:0]' if order == 1 else ''} AS c FROM scored_words),
 picked AS ({pick}),
 looked AS (SELECT p.lang, p.sent_id, p.word_pos, (coalesce(g.c, 0) + {alpha}::DOUBLE) / nullif((CASE WHEN p.n = 1 THEN (SELECT total FROM consts) ELSE coalesce(h.c, 0) END) + {alpha}::DOUBLE * (SELECT size FROM consts), 0) AS p
@@ -502,21 +502,148 @@ def fold_mean_std(spark, sf_dir):
     return regression.mean_std(regression.fold_metrics(rows)).select(*(F.round(c, 5).alias(c) for c in ("rmse_mean", "rmse_std", "mae_mean", "mae_std")))
 
 
-@query()
+# Ridge on standardised predictors x1, x2, ... solves (C + alpha / n * diag C) v = c for the raw weights v, with C the
+# covariances of the predictors and c those with the target; alpha 0 is least squares.
+
+
+def _det(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    minors = [[row[:j] + row[j + 1 :] for row in m[1:]] for j in range(len(m))]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * {_det(minor)}" for j, minor in enumerate(minors)) + ")"
+
+
+def _weights(k: int, alpha: float) -> list[str]:
+    """The weights v1, ..., vk by determinants."""
+    c = [[f"c{min(i, j)}{max(i, j)}" + (f" * (1 + {alpha} / n)" if i == j else "") for j in range(1, k + 1)] for i in range(1, k + 1)]
+    return [f"{_det([[f'c{i + 1}y' if j == col else c[i][j] for j in range(k)] for i in range(k)])} / ({_det(c)})" for col in range(k)]
+
+
+def _covariances(k: int) -> str:
+    means = [f"avg(x{i}) AS m{i}" for i in range(1, k + 1)]
+    pairs = [f"covar_pop(x{i}, x{j}) AS c{i}{j}" for i in range(1, k + 1) for j in range(i, k + 1)]
+    return ", ".join(["count(*)::DOUBLE AS n", "avg(y) AS my", "var_pop(y) AS cyy", *means, *pairs, *(f"covar_pop(x{i}, y) AS c{i}y" for i in range(1, k + 1))])
+
+
+def _model(name: str, y: str, columns: list[str]) -> str:
+    """CTEs {name}_fit, one row of least squares, and {name}_out (fold, y, prediction) of cross-validated ridge, over lineitem."""
+    k = len(columns)
+    x = ", ".join(f"{c} AS x{i + 1}" for i, c in enumerate(columns))
+    v, w = _weights(k, 1.0), _weights(k, 0.0)
+    named = ", ".join(f"{e} AS v{i + 1}" for i, e in enumerate(v))
+    r2 = "(" + " + ".join(f"({e}) * c{i + 1}y" for i, e in enumerate(w)) + ") / cyy"
+    predicted = " + ".join(["my", *(f"v{i} * (x{i} - m{i})" for i in range(1, k + 1))])
+    return f"""{name}_rows AS (SELECT fold, {y} AS y, {x} FROM lineitem JOIN folds ON g = CAST(l_orderkey AS VARCHAR)),
+{name}_r2 AS (SELECT n, cyy, {r2} AS r2 FROM (SELECT {_covariances(k)} FROM {name}_rows)),
+{name}_llf AS (SELECT *, -n / 2 * (ln(2 * pi()) + ln(cyy * (1 - r2)) + 1) AS llf FROM {name}_r2),
+{name}_fit AS (SELECT CAST(n AS BIGINT) AS n, r2, 1 - (1 - r2) * (n - 1) / (n - {k + 1}) AS adj_r2, -2 * llf + {2 * (k + 1)} AS aic, -2 * llf + {k + 1} * ln(n) AS bic FROM {name}_llf),
+{name}_train AS (SELECT *, {named} FROM (SELECT t.fold AS part, {_covariances(k)} FROM range(5) t(fold) JOIN {name}_rows r ON r.fold <> t.fold GROUP BY 1)),
+{name}_out AS (SELECT fold, y, {predicted} AS prediction FROM {name}_rows JOIN {name}_train ON fold = part),
+{name}_folds AS (SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n, sqrt(avg((y - prediction) ** 2)) AS rmse, avg(abs(y - prediction)) AS mae, 1 - sum((y - prediction) ** 2) / (var_pop(y) * count(*)) AS r2 FROM {name}_out GROUP BY 1),
+{name}_cv AS (SELECT sqrt(avg((y - prediction) ** 2)) AS cv_rmse, avg(abs(y - prediction)) AS cv_mae FROM {name}_out)"""
+
+
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+PRICE = "ln(l_extendedprice)"
+X3 = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(f"WITH RECURSIVE {FOLD_SQL}, {_model('a', PRICE, X3)} SELECT fold, n, round(rmse, 8) AS rmse, round(mae, 8) AS mae, round(r2, 8) AS r2 FROM a_folds")
 def cv_rmse_mae(spark, sf_dir):
-    """Pooled and by fold; held against numpy in the tests."""
-    cv = regression.cross_validate(_rows(spark, sf_dir), "y", ["l_quantity", "l_discount", "l_tax"], "l_orderkey")
-    return cv.folds
+    """By fold."""
+    cv = regression.cross_validate(_rows(spark, sf_dir), "y", X3, "l_orderkey")
+    return _rounded(cv.folds.withColumn("fold", F.col("fold").cast("long")), 8, "rmse", "mae", "r2")
+
+
+@query(f"WITH RECURSIVE {FOLD_SQL}, {_model('a', PRICE, X3)} SELECT round(cv_rmse, 8) AS cv_rmse, round(cv_mae, 8) AS cv_mae FROM a_cv")
+def cv_pooled(spark, sf_dir):
+    cv = regression.cross_validate(_rows(spark, sf_dir), "y", X3, "l_orderkey").pooled
+    return spark.createDataFrame([(round(cv["cv_rmse"], 8), round(cv["cv_mae"], 8))], "cv_rmse double, cv_mae double")
+
+
+@query(f"WITH m AS (SELECT {_covariances(3)} FROM (SELECT {PRICE} AS y, l_quantity AS x1, l_discount AS x2, l_tax AS x3 FROM lineitem)), w AS (SELECT *, {', '.join(f'{e} AS v{i + 1}' for i, e in enumerate(_weights(3, 5000.0)))} FROM m) SELECT round(my - v1 * m1 - v2 * m2 - v3 * m3, 8) AS intercept, round(v1, 8) AS quantity, round(v2, 8) AS discount, round(v3, 8) AS tax FROM w")
+def ridge_fit(spark, sf_dir):
+    """Standardised ridge with a penalty that shows."""
+    w = regression.ridge(regression.moments(_rows(spark, sf_dir), [*X3, "y"]), 5000.0)
+    return spark.createDataFrame([tuple(round(float(x), 8) for x in w)], "intercept double, quantity double, discount double, tax double")
+
+
+@query("SELECT CAST(3 AS BIGINT) AS n_groups, true AS rmse_is_nan, true AS mae_is_nan")
+def few_groups(spark, sf_dir):
+    """Fewer groups than folds: no error, not a number."""
+    df = _table(spark, sf_dir, "lineitem").select("l_returnflag", F.ln("l_extendedprice").alias("y"), "l_quantity")
+    cv = regression.cross_validate(df, "y", ["l_quantity"], "l_returnflag").pooled
+    n = df.agg(F.countDistinct("l_returnflag").alias("n_groups"))
+    return n.select("n_groups", F.isnan(F.lit(cv["cv_rmse"])).alias("rmse_is_nan"), F.isnan(F.lit(cv["cv_mae"])).alias("mae_is_nan"))
+
 
+SPECS = {"lexical": X3[:1], "lexical_plus_ngram": X3[:2], "full_ngram_ar_mlm": X3}
 
-def _specs() -> dict[str, list[str]]:
-    return {"lexical": ["l_quantity"], "lexical_plus_ngram": ["l_quantity", "l_discount"], "full_ngram_ar_mlm": ["l_quantity", "l_discount", "l_tax"]}
 
+def _compared(target: str, y: str, tag: str) -> tuple[str, str]:
+    """(CTEs, SELECT) of the comparison of SPECS."""
+    ctes = ", ".join(_model(f"{tag}{i}", y, v) for i, v in enumerate(SPECS.values()))
+    rows = [
+        f"SELECT '{target}' AS target, '{name}' AS model, {len(v)} AS n_predictors, f.n, round(f.r2, 9) AS r2, round(f.adj_r2, 9) AS adj_r2, round(f.r2 - (SELECT r2 FROM {tag}0_fit), 9) AS delta_r2_vs_lexical, round(f.aic, 4) AS aic, round(f.bic, 4) AS bic, round(cv_rmse, 8) AS cv_rmse, round(cv_mae, 8) AS cv_mae, '{','.join(v)}' AS predictors FROM {tag}{i}_fit f, {tag}{i}_cv"
+        for i, (name, v) in enumerate(SPECS.items())
+    ]
+    return ctes, " UNION ALL ".join(rows)
 
-@query()
+
+def _comparison(df: DataFrame) -> DataFrame:
+    out = _rounded(df, 9, "r2", "adj_r2", "delta_r2_vs_lexical")
+    return _rounded(_rounded(out, 8, "cv_rmse", "cv_mae"), 4, "aic", "bic")
+
+
+_ONE = _compared("y", PRICE, "a")
+
+
+@query(f"WITH RECURSIVE {FOLD_SQL}, {_ONE[0]} {_ONE[1]}")
 def model_comparison(spark, sf_dir):
-    """Three nested models of a price; held against numpy in the tests."""
-    return analysis.compare(_rows(spark, sf_dir), "y", _specs(), "l_orderkey")[0]
+    """Three nested models of a price."""
+    return _comparison(analysis.compare(_rows(spark, sf_dir), "y", SPECS, "l_orderkey")[0])
+
+
+@query(f"WITH RECURSIVE {FOLD_SQL}, {_ONE[0]}, c AS ({_ONE[1]}) SELECT target, model, cv_rmse AS value FROM c")
+def chart_cv_rmse(spark, sf_dir):
+    return analysis.chart(_comparison(analysis.compare(_rows(spark, sf_dir), "y", SPECS, "l_orderkey")[0]), "cv_rmse")
+
+
+_OTHER = _compared("z", "l_extendedprice / 1000", "b")
+
+
+@query(f"WITH RECURSIVE {FOLD_SQL}, {_ONE[0]}, {_OTHER[0]} {_ONE[1]} UNION ALL {_OTHER[1]}")
+def analyse_all(spark, sf_dir):
+    """Two targets; a third is not in the table."""
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", *X3, F.ln("l_extendedprice").alias("y"), (F.col("l_extendedprice") / 1000).alias("z"))
+    tables_, skipped = analysis.analyse(df, ["y", "z", "absent"], group="l_orderkey", specs=SPECS)
+    if skipped != ["absent"]:
+        raise ValueError(f"skipped {skipped}")
+    return _comparison(tables_["y"].unionByName(tables_["z"]))
+
+
+@query(f"WITH RECURSIVE {FOLD_SQL}, {_model('a', PRICE, X3)} SELECT 'log_gd' AS target, any_value(f.n) AS n, round(any_value(f.r2), 9) AS r2, round(any_value(f.aic), 4) AS aic, round(any_value(f.bic), 4) AS bic, {', '.join(f'round(avg(a.{c}), 8) AS {c}_mean, round(stddev_pop(a.{c}), 8) AS {c}_std' for c in ('r2', 'rmse', 'mae'))} FROM a_folds a, a_fit f")
+def run_stats(spark, sf_dir):
+    """All controls and scores at once."""
+    df = _rows(spark, sf_dir).withColumnsRenamed({"y": "log_gd", "l_tax": "ngram5_surprisal"})
+    out = analysis.run_stats(df, controls=X3[:2], group="l_orderkey")
+    return _rounded(_rounded(_rounded(out, 9, "r2"), 4, "aic", "bic"), 8, *(f"{c}_{k}" for c in ("r2", "rmse", "mae") for k in ("mean", "std")))
+
+
+_COLUMNS = ["word_length", "is_sentence_final", "ngram3_surprisal", "gpt2_surprisal", "ngram5_surprisal", "bert_pseudo_surprisal", "other"]
+
+
+@query("""SELECT * FROM (VALUES ('lexical', 'word_length,is_sentence_final'), ('lexical_plus_ngram', 'word_length,is_sentence_final,ngram3_surprisal'),
+('lexical_plus_ar', 'word_length,is_sentence_final,gpt2_surprisal'), ('lexical_plus_mlm', 'word_length,is_sentence_final,bert_pseudo_surprisal'),
+('lexical_plus_ngram_ar', 'word_length,is_sentence_final,ngram3_surprisal,gpt2_surprisal'),
+('full_ngram_ar_mlm', 'word_length,is_sentence_final,ngram3_surprisal,gpt2_surprisal,bert_pseudo_surprisal')) t(model, predictors)""")
+def model_specs(spark, sf_dir):
+    """Six nested lists, with the first column of each family."""
+    specs = projections.model_specs(_COLUMNS)
+    return spark.createDataFrame([(k, ",".join(v)) for k, v in specs.items()], "model string, predictors string")
 
 
 RESULTS = "SELECT l_returnflag AS target, l_linestatus AS model, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2 FROM lineitem GROUP BY 1, 2"
@@ -579,28 +706,199 @@ def oov_map(spark, sf_dir):
     return known.select(F.col("sentence_id").alias("sent_id"), F.size("words").cast("long").alias("n_words"), F.size(unknown).cast("long").alias("n_unknown"))
 
 
-@query(f"WITH {R} SELECT reader AS participant_id, count(*) AS n, CAST(sum(CASE WHEN word_pos <= 5 THEN length(word) END) AS BIGINT) AS score FROM readings GROUP BY reader")
+@query(f"WITH {R}, v AS (SELECT lower(word) AS v FROM words GROUP BY 1 HAVING count(*) >= 3) SELECT reader AS participant_id, count(*) AS n, count(v) AS n_scored, CAST(sum(CASE WHEN v IS NOT NULL THEN length(word) END) AS BIGINT) AS score FROM readings LEFT JOIN v ON lower(word) = v GROUP BY reader")
 def expand_item_feature(spark, sf_dir):
+    """Item scores on every reader's row; words that come less than three times have none."""
     rows = readings(spark, sf_dir).select(F.col("reader").alias("participant_id"), F.col("sent_id").alias("sentence_id"), F.col("word_pos").alias("word_id"))
-    scores = words(spark, sf_dir).filter("word_pos <= 5").select(F.col("sent_id").alias("sentence_id"), F.col("word_pos").alias("word_id"), F.length("word").alias("score"))
-    return joins.expand_items(rows, scores).groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
+    known = ngram.vocabulary(_sentences(spark, sf_dir), 3).select(F.col("word").alias("v"))
+    items = words(spark, sf_dir).join(known, F.lower("word") == F.col("v"), "left_semi")
+    scores = items.select(F.col("sent_id").alias("sentence_id"), F.col("word_pos").alias("word_id"), F.length("word").alias("score"))
+    return joins.expand_items(rows, scores).groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored"), F.sum("score").alias("score"))
+
 
+def _turns(spark, sf_dir) -> DataFrame:
+    """Clean words of all conversations, a turn as a sentence, in the standard layout."""
+    rows = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("sentence_id"), F.posexplode(text.tokens(F.col("text"))).alias("i", "word"))
+    rows = filters.real_words(rows.withColumn("word_clean", text.clean_word(F.col("word"))))
+    return rows.select(F.lit("pp0").alias("participant_id"), "sentence_id", F.col("i").alias("word_id"), (F.col("i") + 1).alias("position_in_sentence"), "word_clean", F.col("i").alias("_row_ord"))
 
-def _stand_in(spark, sf_dir, **options) -> DataFrame:
-    """Words of all conversations under the stand-in scorer: it shows what tokens, words and sums do, not a model."""
-    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("sentence_id"), F.posexplode(text.tokens(F.col("text"))).alias("i", "word"))
-    rows = turns.select(F.lit("pp0").alias("participant_id"), "sentence_id", F.col("i").alias("word_id"), (F.col("i") + 1).alias("position_in_sentence"), "word", F.col("i").alias("_row_ord"))
-    return scoring.model_surprisal(rows, lambda: scoring.HashScorer(**options), "stand-in")
 
+def _pieces(right: str) -> str:
+    """Words of conversations in pieces of four characters with the stand-in's ids and what stands beside them."""
+    return f"""t_words AS (SELECT conv_id || '-' || turn AS sentence_id, unnest(ts) AS word, generate_subscripts(ts, 1) - 1 AS word_id FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ts FROM conversations)),
+t_kept AS (SELECT sentence_id, word_id, w FROM (SELECT *, {CLEAN} AS w FROM t_words) WHERE length(w) > 0),
+t_cut AS (SELECT sentence_id, word_id, k, substr(w, k * 4 + 1, 4) AS piece FROM (SELECT *, unnest(range(0, (length(w) + 3) // 4)) AS k FROM t_kept)),
+t_ids AS (SELECT sentence_id, word_id, k, 4 + (unicode(piece) * 3 + length(piece)) % 60 AS x, row_number() OVER (PARTITION BY sentence_id ORDER BY word_id, k) AS i FROM t_cut),
+t_near AS (SELECT *, {right} AS near FROM t_ids WINDOW o AS (PARTITION BY sentence_id ORDER BY i)),
+t_norm AS (SELECT n, ln(sum(exp((7 * v + n) % 16 / 4.0))) AS norm FROM range(16) a(n), range(64) b(v) GROUP BY n),
+t_sums AS (SELECT sentence_id, word_id, sum(norm - (7 * x + near) % 16 / 4.0) / ln(2) AS bits FROM t_near JOIN t_norm ON n = near % 16 GROUP BY ALL)"""
 
-@query()
+
+@query(f"WITH {_pieces('13 * coalesce(lag(x) OVER o, 0)')} SELECT 'pp0' AS participant_id, sentence_id, word_id, round(bits, 9) AS stand_in_surprisal FROM t_sums")
 def ar_surprisal(spark, sf_dir):
-    return _stand_in(spark, sf_dir, mode="causal")
+    """Of the stand-in model: what is computed around a model, not what one knows of language."""
+    out = scoring.model_surprisal(_turns(spark, sf_dir), lambda: scoring.Causal(scoring.StandIn()), "stand-in")
+    return out.select("participant_id", "sentence_id", F.col("word_id").cast("long").alias("word_id"), F.round("stand_in_surprisal", 9).alias("stand_in_surprisal"))
+
 
+LENGTH = 20  # ids of a masked sentence, its frame included: longer ones are cut
+_MASKED = _pieces("13 * coalesce(lag(x) OVER o, 1) + 5 * coalesce(lead(x) OVER o, 2)").replace("FROM t_ids WINDOW", f"FROM (SELECT * FROM t_ids WHERE i <= {LENGTH - 2}) WINDOW")
 
-@query()
+
+@query(f"WITH {_MASKED} SELECT 'pp0' AS participant_id, sentence_id, word_id, round(bits, 9) AS stand_in_pseudo_surprisal FROM t_kept LEFT JOIN t_sums USING (sentence_id, word_id)")
 def mlm_surprisal(spark, sf_dir):
-    return _stand_in(spark, sf_dir, mode="masked")
+    """Of the stand-in model, sentences cut to its length; words beyond it are null."""
+    out = scoring.model_surprisal(_turns(spark, sf_dir), lambda: scoring.Masked(scoring.StandIn(True), LENGTH), "stand-in", "pseudo_surprisal")
+    return out.select("participant_id", "sentence_id", F.col("word_id").cast("long").alias("word_id"), F.round("stand_in_pseudo_surprisal", 9).alias("stand_in_pseudo_surprisal"))
+
+
+# --- files, keys and columns
+
+
+def _through_file(df: DataFrame, kind: str, **options) -> DataFrame:
+    """A table written under a suffix and read back."""
+    path = f"{interim.new_folder(df.sparkSession, 'file')}.{kind}"
+    tables.write(df, path)
+    return tables.read(df.sparkSession, path, **options)
+
+
+_CUSTOMER = "SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, c_custkey % 2 = 0 AS even, CASE WHEN c_custkey % 7 > 0 THEN c_nationkey END AS nation FROM customer"
+
+
+def _customers(spark, sf_dir) -> DataFrame:
+    key = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select(key.alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), (key % 2 == 0).alias("even"), F.when(key % 7 > 0, F.col("c_nationkey")).alias("nation"))
+
+
+@query(_CUSTOMER)
+def scan_csv(spark, sf_dir):
+    """Types inferred from the cells."""
+    return _through_file(_customers(spark, sf_dir), "csv").withColumns({c: F.col(c).cast("long") for c in ("key", "nation")})
+
+
+@query(_CUSTOMER)
+def scan_tsv(spark, sf_dir):
+    return _through_file(_customers(spark, sf_dir), "tsv").withColumns({c: F.col(c).cast("long") for c in ("key", "nation")})
+
+
+@query("SELECT c_custkey::VARCHAR AS key, c_acctbal::VARCHAR AS balance FROM (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_acctbal FROM customer)")
+def scan_all_strings(spark, sf_dir):
+    df = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("balance"))
+    return _through_file(df, "csv", infer=False)
+
+
+@query(r"SELECT array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), ' ') AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM conversations) WHERE regexp_matches(text, '\S') GROUP BY 1")
+def scan_text_lines(spark, sf_dir):
+    path = interim.new_folder(spark, "lines")
+    _table(spark, sf_dir, "conversations").select("text").dropna().write.text(path)
+    return tables.text_lines(spark, path).groupBy(F.array_join("words", " ").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS sentence, count(*) AS n FROM events GROUP BY 1")
+def sentence_key(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy(text.sentence_key(F.col("user_id")).alias("sentence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, value FROM events WHERE value IS NOT NULL")
+def filter_not_null(spark, sf_dir):
+    return filters.known(_table(spark, sf_dir, "events"), "value").select("event_id", "value")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def drop_columns(spark, sf_dir):
+    return projections.drop(_table(spark, sf_dir, "nation"), ["n_regionkey", "n_comment", "absent"])
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event, CASE WHEN user_id % 3 = 0 THEN 'None' ELSE event_type END AS word FROM events")
+def cast_str(spark, sf_dir):
+    """A missing word as the text None."""
+    df = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event"), F.when(F.col("user_id") % 3 != 0, F.col("event_type")).alias("word"))
+    return corpus.lexical(df, literal_nulls=True).select("event", "word")
+
+
+@query(f"WITH {C}, {SPANS} SELECT sent_id, CAST(to_json(list(struct_pack(word_pos := word_pos, word := word, start := s, \"end\" := s + length(word)) ORDER BY word_pos)) AS VARCHAR) AS spans FROM spans GROUP BY sent_id")
+def spans_json(spark, sf_dir):
+    return sentence.sentences(cleaned(spark, sf_dir)).select("sent_id", sentence.spans_json(F.col("word_spans")).alias("spans"))
+
+
+@query("WITH t AS (SELECT conv_id || '-' || turn AS sentence_id, unnest(ts) AS word, generate_subscripts(ts, 1) AS i FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ts FROM conversations)) SELECT sentence_id, i, coalesce(string_agg(word, ' ') OVER (PARTITION BY sentence_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prefix FROM t")
+def prefix_window(spark, sf_dir):
+    """All words before each."""
+    rows = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("sentence_id"), F.posexplode(text.tokens(F.col("text"))).alias("i", "word"))
+    rows = sentence.preceding(rows, "sentence_id", ["i"], "word", None, "prefix")
+    return rows.select("sentence_id", (F.col("i") + 1).cast("long").alias("i"), F.array_join("prefix", " ").alias("prefix"))
+
+
+@query(f"WITH {S}, f AS (SELECT sentence_id, position, min_by(word, participant_id) AS word FROM s_std GROUP BY ALL), x AS (SELECT sentence_id, string_agg(word, ' ' ORDER BY position) AS sentence_text FROM f GROUP BY sentence_id) SELECT sentence_id, sentence_text, count(*) AS rows FROM s_std JOIN x USING (sentence_id) GROUP BY ALL")
+def sentence_text_join(spark, sf_dir):
+    """The text that each row of the standard table carries."""
+    return _standard(spark, sf_dir).groupBy("sentence_id", "sentence_text").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"WITH {S}, p AS (SELECT sentence_id, row_number() OVER (PARTITION BY sentence_id ORDER BY word_pos, participant_id) AS i, count(*) OVER (PARTITION BY sentence_id) AS n FROM s_kept) SELECT sentence_id, CAST(max(i) AS BIGINT) AS last_position, max(n) AS sentence_length, CAST(sum(i) AS BIGINT) AS positions FROM p GROUP BY sentence_id")
+def row_grain(spark, sf_dir):
+    """Every reader's row numbered in its sentence, as a table of one reader would be."""
+    std = _standard(spark, sf_dir, grain="row")
+    return std.groupBy("sentence_id").agg(F.max("position_in_sentence").cast("long").alias("last_position"), F.max("sentence_length").alias("sentence_length"), F.sum("position_in_sentence").cast("long").alias("positions"))
+
+
+@query(f"WITH {S} SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS out_of_order FROM s_std")
+def output_sort(spark, sf_dir):
+    """The standard table as it is written: by sentence, position and reader."""
+    keys = ["sentence_id", "position_in_sentence", "participant_id"]
+    rows = corpus.sorted_standard(_standard(spark, sf_dir)).select(F.monotonically_increasing_id().alias("i"), F.struct(*keys).alias("k"))
+    path = interim.written(rows, "sorted")
+    part = F.shiftrightunsigned("i", 33)
+    inside = path.withColumn("bad", (F.lag("k").over(sentence.within([part], "i")) > F.col("k")).cast("long")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    ends = path.groupBy(part.alias("p")).agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("p").collect()  # a row for each file
+    across = sum(x.b > y.a for x, y in zip(ends, ends[1:]))
+    return spark.createDataFrame([(inside["n"], inside["bad"] + across)], "n long, out_of_order long")
+
+
+_VARIANT = R + """,
+v_rows AS (SELECT 'pp' || reader AS participant_id, sent_id AS sentence_id, doc_id, line_no, word_pos, word, regexp_replace(lower(word), '[^a-z0-9'']', '', 'g') AS word_clean, try_cast(rt AS DOUBLE) AS t FROM readings WHERE lang = 'en'),
+v_kept AS (SELECT *, row_number() OVER o AS i, count(*) OVER (PARTITION BY participant_id, sentence_id) AS n, lag(length(word_clean)) OVER o AS p FROM v_rows WHERE t > 0 WINDOW o AS (PARTITION BY participant_id, sentence_id ORDER BY word_pos))"""
+
+
+@query(f"WITH {_VARIANT} SELECT participant_id, count(*) AS n, CAST(sum(length(word_clean)) AS BIGINT) AS lengths, CAST(sum(i) AS BIGINT) AS positions, CAST(sum(n) AS BIGINT) AS sentences, CAST(sum(p) AS BIGINT) AS before, CAST(sum(CAST(i = n AS INT)) AS BIGINT) AS n_final, round(sum(ln(4 * t)), 3) AS log_trt FROM v_kept GROUP BY participant_id")
+def variant_table(spark, sf_dir):
+    """The delimited variant of the readings with its features."""
+    r = readings(spark, sf_dir)
+    known = F.when(F.col("rt") != ".", F.col("rt").cast("int"))
+    group = F.when(F.col("lang") == "en", F.when(F.col("reader") == 0, "MonoLingual").otherwise("native English")).otherwise("other")
+    times = {"FFD": 1, "GD": 2, "GPT": 3, "TRT": 4}
+    raw = r.select(F.col("word").alias("WORD"), F.col("sent_id").alias("SENTENCE_ID"), F.concat(F.lit("pp"), "reader").alias("PARTICIPANT"), *((known * k).cast("string").alias(c) for c, k in times.items()), group.alias("LANGUAGE_GROUP"), F.col("word_pos").alias("_row_ord"))
+    out = corpus.variant_table(raw)
+    sums = {"lengths": "word_len", "positions": "word_pos", "sentences": "sent_len", "before": "prev_word_len", "n_final": "is_sent_final"}
+    return out.groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).cast("long").alias(k) for k, c in sums.items()), F.round(F.sum("log_trt"), 3).alias("log_trt"))
+
+
+@query(f"WITH {_scored(3, 0.1, 'kept')} {_BY}")
+def ngram_table(spark, sf_dir):
+    """The scoring step: a model of the table's own sentences, every reader's row with its word's score."""
+    rows = cleaned(spark, sf_dir).select(F.lit("pp0").alias("participant_id"), F.col("sent_id").alias("sentence_id"), F.col("word_pos").alias("word_id"), F.col("word_pos").alias("position_in_sentence"), "word", "word_clean", F.col("word_pos").alias("_row_ord"))
+    rows = rows.join(sentence.joined(rows, "sentence_id", ["word_id"]), "sentence_id")
+    out = corpus.ngram_table(rows, order=3).withColumnRenamed("ngram3_surprisal", "s")
+    return _by_sentence(out)
+
+
+def _kneser_ney(order: int, discount: float = 0.1) -> str:
+    """Kneser-Ney by recursion on the order: how many words an n-gram follows below the top, counts there."""
+    last = lambda n: f"substr(ngram, {'strpos(ngram, chr(32)) + 1' if n > 1 else '1'})"
+    ctes = [f"k{order} AS (SELECT ngram, history, c::DOUBLE AS c FROM counts WHERE n = {order})"]
+    for n in range(order - 1, 0, -1):
+        past = f"array_to_string(string_split(ngram, ' ')[1:{n - 1}], ' ')" if n > 1 else "''"
+        ctes.append(f"k{n} AS (SELECT ngram, {past} AS history, c FROM (SELECT {last(n + 1)} AS ngram, count(*)::DOUBLE AS c FROM counts WHERE n = {n + 1} GROUP BY 1))")
+    ctes.append("p1 AS (SELECT ngram, c / (SELECT sum(c) FROM k1) AS p FROM k1)")
+    for n in range(2, order + 1):
+        ctes.append(f"h{n} AS (SELECT history, sum(c) AS s, count(*) AS kinds FROM k{n} GROUP BY 1)")
+        ctes.append(f"p{n} AS (SELECT k.ngram, greatest(c - {discount}, 0) / s + {discount} * kinds / s * coalesce(p, 0) AS p FROM (SELECT *, {last(2)} AS low FROM k{n}) k JOIN h{n} USING (history) LEFT JOIN p{n - 1} q ON q.ngram = k.low)")
+    return f"{_grams(order)}, {', '.join(ctes)} SELECT ngram, round(p, 9) AS p FROM p{order}"
+
+
+@query(f"WITH {_kneser_ney(5)}")
+def kneser_ney_o5(spark, sf_dir):
+    return ngram.kneser_ney(_sentences(spark, sf_dir), 5).select("ngram", F.round("p", 9).alias("p"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

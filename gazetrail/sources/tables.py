@@ -18,13 +18,18 @@ def suffix(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower()
 
 
-def read(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sheet: str = "0") -> DataFrame:
-    """A Parquet, CSV, TSV or Excel table.  Delimited and Excel cells are strings unless there is a schema."""
+def read(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sheet: str = "0", infer: bool = True) -> DataFrame:
+    """A Parquet, CSV, TSV or Excel table.  Without a schema, delimited cells are numbers and truth values where all of a
+    column are (one more reading of the file), or strings if not `infer`; Excel cells are strings."""
     kind = suffix(path)
     if kind == ".parquet":
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     if kind in DELIMITERS:
         reader = spark.read.option("header", True).option("sep", DELIMITERS[kind])
+        if infer and not schema:  # dates stay as they are written
+            found = reader.option("inferSchema", True).csv(path).schema
+            plain = (T.NumericType, T.BooleanType)
+            schema = T.StructType([f if isinstance(f.dataType, plain) else T.StructField(f.name, T.StringType()) for f in found])
         return (reader.schema(schema) if schema else reader).csv(path)
     if kind in (".xlsx", ".xlsm"):
         xlsx.register(spark)

@@ -78,27 +78,67 @@ def test_merge_nulls_duplicates_and_errors(spark):
 
 def test_token_sums(spark):
     words = spark.createDataFrame([("s", 0, 0, 3), ("s", 1, 4, 7), ("s", 2, 8, 9)], "sentence_id string, word_index int, start int, end int")
-    tokens = spark.createDataFrame([("s", 0, 0, 0, -9.0), ("s", 1, 0, 2, -1.0), ("s", 2, 2, 5, -2.0), ("s", 3, 5, 7, None)], scoring.TOKENS)
+    tokens = spark.createDataFrame([("s", 0, None, 0, 0, -9.0), ("s", 1, None, 0, 2, -1.0), ("s", 2, None, 2, 5, -2.0), ("s", 3, None, 5, 7, None), ("s", 4, 0, None, None, -4.0)], scoring.TOKENS)
     got = {r.word_index: r.score for r in scoring.word_sums(tokens, words, "nats").collect()}
-    assert got == {0: 3.0, 1: 2.0, 2: None}
+    assert got == {0: 7.0, 1: 2.0, 2: None}
     bits = {r.word_index: r.score for r in scoring.word_sums(tokens, words).collect()}
-    assert bits[0] == pytest.approx(3 / math.log(2))
+    assert bits[0] == pytest.approx(7 / math.log(2))
 
 
-@pytest.mark.parametrize("mode", ["causal", "masked"])
-def test_model_surprisal(spark, mode):
-    rows = [("p1", "a", "1", "hello", 1), ("p1", "a", "2", "world", 2), ("p2", "a", "1", "hello", 1), ("p2", "b", "1", "x", 1)]
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "participant_id string, sentence_id string, word_id string, word string, position_in_sentence int, _row_ord long")
-    out = scoring.model_surprisal(df, lambda: scoring.HashScorer(mode), "test/m-1", max_sentences=1)
-    got = {(r.participant_id, r.sentence_id, r.word_id): r.test_m_1_surprisal for r in out.collect()}
-    assert len(got) == 4 and got["p1", "a", "1"] == got["p2", "a", "1"] and got["p2", "b", "1"] is None
-    tokens = scoring.HashScorer(mode).tokens("hello world")
-    assert got["p1", "a", "1"] == pytest.approx(sum(-p for a, b, p in tokens if p is not None and max(a, 0) < min(b, 5)) / math.log(2))
+class Fake:
+    """Ids of letters, a space with the letter behind it; what follows is likelier the nearer it is in the alphabet."""
+
+    def __init__(self, begin=0, mask=90):
+        self.begin, self.mask, self.calls = begin, mask, []
+
+    def encode(self, text):
+        return [ord(c) - 96 + 30 * (i > 0 and text[i - 1] == " ") for i, c in enumerate(text) if c != " "]
+
+    def encode_with_spans(self, text, max_length):
+        at = [i for i, c in enumerate(text) if c != " "][: max_length - 2]
+        return [98, *(ord(text[i]) - 96 for i in at), 99], [(0, 0), *((i, i + 1) for i in at), (0, 0)]
+
+    def scores(self, ids, places):
+        self.calls.append((list(ids), list(places)))
+        return np.array([[-abs(v - ids[k]) / 10 for v in range(100)] for k in places])
+
 
+def log_p(v, last):
+    s = np.array([-abs(x - last) / 10 for x in range(100)])
+    return s[v] - math.log(np.exp(s).sum())
 
-def test_masked_truncation_and_first_token(spark):
-    assert len(scoring.HashScorer("masked", max_length=4).tokens("a b c d")) == 4
-    assert scoring.HashScorer("causal", begin=False).tokens("abc")[0][2] is None
+
+def test_causal_scores_by_hand():
+    model = Fake()
+    got = scoring.Causal(model).tokens(["ab", "c", "", "d"])
+    # a word is encoded with the space before it, apart from its prefix; an empty one has no ids here
+    assert [t[0] for t in got] == [0, 0, 1, 3]
+    assert [t[3] for t in got] == pytest.approx([log_p(1, 0), log_p(2, 1), log_p(33, 2), log_p(34, 33)])
+    assert model.calls[1] == ([0, 1, 2, 33], [2]) and model.calls[2] == ([0, 1, 2, 33, 34], [3])
+    # without an id to begin with, the first word has no context
+    assert [t[0] for t in scoring.Causal(Fake(begin=None)).tokens(["ab", "c"])] == [1]
+
+
+def test_masked_scores_by_hand():
+    model = Fake()
+    got = scoring.Masked(model, 4).tokens(["ab", "c"])
+    assert [t[:3] for t in got] == [(None, 0, 0), (None, 0, 1), (None, 1, 2), (None, 0, 0)] and got[0][3] is got[3][3] is None
+    assert [t[3] for t in got[1:3]] == pytest.approx([log_p(1, 90), log_p(2, 90)])
+    assert model.calls == [([98, 90, 2, 99], [1]), ([98, 1, 90, 99], [2])]
+    with pytest.raises(ValueError, match="mask"):
+        scoring.Masked(Fake(mask=None))
+
+
+@pytest.mark.parametrize("kind", [lambda: scoring.Causal(scoring.StandIn()), lambda: scoring.Masked(scoring.StandIn(True))])
+def test_model_surprisal(spark, kind):
+    rows = [("p1", "a", "1", "hello!", "hello", 1), ("p1", "a", "2", "world", "world", 2), ("p2", "a", "1", "hello", "hello", 1), ("p2", "b", "1", "x", "x", 1)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "participant_id string, sentence_id string, word_id string, word string, word_clean string, position_in_sentence int, _row_ord long")
+    out = scoring.model_surprisal(df, kind, "test/m-1", max_sentences=1)
+    got = {(r.participant_id, r.sentence_id, r.word_id): r.test_m_1_surprisal for r in out.collect()}
+    assert len(got) == 4 and got["p1", "a", "1"] == got["p2", "a", "1"] and got["p2", "b", "1"] is None
+    tokens = kind().tokens(["hello", "world"])
+    mine = [p for i, a, b, p in tokens if p is not None and (i == 0 if i is not None else a < 5)]
+    assert len(mine) == 2 and got["p1", "a", "1"] == pytest.approx(-sum(mine) / math.log(2))
 
 
 @pytest.fixture(scope="module")

@@ -16,7 +16,7 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "events", "documents", "labels", "embeddings", "conversations"):
+    for t in ("nation", "customer", "orders", "lineitem", "events", "documents", "labels", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
