@@ -13,9 +13,8 @@ That is exact, and practical for the few bits of a fingerprint identity.  For si
 (`similar_groups`: Jaccard similarity of the sets of shingles) a budget of many bits has no selective block.  There, buckets are
 16 pairs of 16 minima of the shingles' hashes under fixed permutations: texts of similarity 0.8 share one with
 probability 0.99998.  The trie join with a budget of bits (and 7 equal minima) makes rough groups of
-the buckets.  Only texts of a rough group are read once more for their sets of shingles, and the trie join is run again, nearest
-fingerprints first, with the similarity itself computed for every pair that it finds and that is not yet linked.
-Large rough groups are dealt to many tasks (`_exact_links`).
+the buckets.  Only texts of a rough group are read once more for their sets of shingles, and within each the similarity itself
+is computed, exactly and for every pair that may matter; large rough groups are dealt to many tasks (`_exact_links`).
 
 Texts: A-Z are lower-cased, words are runs without ASCII white space, shingles of n words are joined by a
 space (repeats count; fewer words: the whole sequence).  A bit is 1 if it is set in over half of the
@@ -235,6 +234,36 @@ class _Bags:
         both = int((b[at] == a).sum())
         return both >= least * (n + m - both)
 
+    def pairs(self, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of `left` and `right` of that similarity, from products of 0-1 matrices over the hashes that several sets have."""
+        if len(left) * len(right) <= FEW_PAIRS:
+            found = [(x, y) for x in left.tolist() for y in right.tolist() if x != y and self.similar(x, y, least)]
+            return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+        rows = np.union1d(left, right)
+        flat = np.concatenate([self.of(k) for k in rows.tolist()])
+        at = np.repeat(np.arange(len(rows)), self.size[rows])
+        order = np.argsort(flat, kind="stable")
+        flat, at = flat[order], at[order]
+        new = np.append(True, flat[1:] != flat[:-1]) if len(flat) else np.zeros(0, bool)
+        many = np.diff(np.append(np.flatnonzero(new), len(flat)))
+        shared = np.repeat(many > 1, many)
+        column, at = (np.cumsum(new & shared) - 1)[shared], at[shared]
+        li, ri = np.searchsorted(rows, left), np.searchsorted(rows, right)
+        total = np.zeros((len(li), len(ri)), np.int32)
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            part = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+            ones = np.zeros((len(rows), min(COLUMNS, int(column[-1]) + 1 - c)), np.float32)
+            ones[at[part], column[part] - c] = 1
+            turned = ones[ri].T
+            for x in range(0, len(li), SIDE):
+                total[x : x + SIDE] += (ones[li[x : x + SIDE]] @ turned).astype(np.int32)  # counts of a part are exact
+        n, m = self.size[left][:, None], self.size[right][None]
+        a, b = np.nonzero((total >= least * (n + m - total)) & (left[:, None] != right[None]))
+        return left[a], right[b]
+
+
+FEW_PAIRS, SIDE, COLUMNS = 64, 512, 2048
+
 
 def _sorted_cells(batches: Iterator[pa.RecordBatch], *columns: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray] | None:
     """(rows by cell and `columns`, order, first and last row of each cell)."""
@@ -265,35 +294,29 @@ def _link_rough(budget: int):
     return run
 
 
-def _link_similar(budget: int, similarity: float):
-    """Links within the cells of a task by the similarity itself: rows (cell, node, fp, sketch, bag, open).  Rows of a cell that
-    are not open are linked with each other already; every pair with an open one is looked at."""
+def _link_similar(similarity: float):
+    """Links within the cells of a task by the similarity itself: rows (cell, node, bag, side, open).
+
+    Open rows of side 0 are compared with each other; those of side 1 with all of side 2, which may have rows that are
+    not open: these are linked with each other already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = _sorted_cells(batches, "fp")
+        cells = _sorted_cells(batches)
         if cells is None:
             return
         got, order, start, end = cells
-        node, fp, open_ = got.column("node").to_numpy()[order], got.column("fp").to_numpy().view(np.uint64)[order], got.column("open").to_numpy(zero_copy_only=False)[order]
-        sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), "<u2").reshape(-1, KEYS)[order]
-        bags, alike = _Bags(got.column("bag").combine_chunks().take(pa.array(order))), _alike(sketch)
-        links = Links(len(node))
+        node, side, open_ = got.column("node").to_numpy()[order], got.column("side").to_numpy()[order], got.column("open").to_numpy(zero_copy_only=False)[order]
+        bags, links = _Bags(got.column("bag").combine_chunks().take(pa.array(order))), Links(len(node))
         for a, b in zip(start.tolist(), end.tolist()):
             shut = a + np.flatnonzero(~open_[a:b])
             if len(shut):
                 links.label[shut] = shut[0]
-        links.refresh()
         before = links.label.copy()
-
-        def check(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            ok = alike(i, j)
-            for k in np.flatnonzero(ok):
-                ok[k] = bags.similar(i[k], j[k], similarity)
-            return ok
-
-        over = -1
-        for b in [*(b for b in (4, 10) if b < budget), budget]:
-            links, over = link(fp, start, end, start, end, 63, b, check, over, links), b
+        for a, b in zip(start.tolist(), end.tolist()):
+            own = np.arange(a, b)
+            left, right = own[side[a:b] < 2], own[side[a:b] != 1]
+            if len(left) and len(right):
+                links.join(*bags.pairs(left, right, similarity))
         far = np.flatnonzero((links.label != before) & (before == np.arange(len(node))))
         yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[links.label[far]])], ["u", "v"])
 
@@ -357,64 +380,47 @@ def _rough_links(nodes: DataFrame, budget: int, most: int) -> DataFrame:
     return out if whole is None else out.unionAll(whole)
 
 
-def _exact_links(rows: DataFrame, budget: int, similarity: float, most: int, room: int) -> DataFrame:
-    """Links (u, v) that connect what chains of similar texts do, within rough groups: rows (root, node, fp, sketch, cells, bag).
+def _exact_links(rows: DataFrame, similarity: float, most: int, room: int) -> DataFrame:
+    """Links (u, v) that connect what chains of similar texts do, within rough groups: rows (root, node, bag).
 
     A group of up to `most` texts and `room` bytes is one cell of a task.  In a larger one every text is first compared with one of
-    them, the pivot, in as many tasks as it takes: copies of each other are mostly settled by that.  Those that are
-    not like the pivot stay open, and are compared with all others of their buckets (`_opened`)."""
+    them, the pivot, in as many tasks as it takes; copies that are like it are settled by that.  The others stay open.  Open
+    texts are dealt to blocks and so are the rest, and a cell has two blocks: each open text meets every
+    text of its group once.  Where all are like the pivot that is linear; where few are, each text goes to as many
+    cells as there are blocks, whose size grows with the group's up to LARGEST."""
     sizes = storage.written(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bag") + 64).alias("bytes"), F.min("node").alias("pivot")), "group-sizes")
-    tasks = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("bytes") / room)).cast("int")
-    sizes = sizes.select("root", "pivot", tasks.alias("tasks"))
-    linker = lambda df: df.select("cell", "node", "fp", "sketch", "bag", "open").repartition("cell").mapInArrow(lean(_link_similar(budget, similarity)), "u long, v long")
-    small = rows.join(sizes.filter("tasks = 1").select("root"), "root", "left_semi").withColumns({"cell": F.col("root"), "open": F.lit(True)})
+    block = F.least(F.greatest(F.ceil(F.col("n") / 64), F.lit(most)), F.lit(max(most, LARGEST)))
+    blocks = lambda n: F.greatest(F.ceil(n / block), F.ceil(n / F.col("n") * F.col("bytes") / room), F.lit(1)).cast("int")
+    sizes = sizes.select("root", "pivot", "n", "bytes", blocks(F.col("n")).alias("tasks"))
+    linker = lambda df: df.select("cell", "node", "bag", "side", "open").repartition("cell").mapInArrow(lean(_link_similar(similarity)), "u long, v long")
+    small = rows.join(sizes.filter("tasks = 1").select("root"), "root", "left_semi").withColumns({"cell": F.col("root"), "side": F.lit(0), "open": F.lit(True)})
     found = linker(small)
     large = sizes.filter("tasks > 1")
     if large.first() is None:
         return found
     big = storage.written(rows.join(large, "root"), "large-groups")
-    cell = lambda salt: F.xxhash64("root", salt).alias("cell")
-    pivots = big.filter("node = pivot").select("root", "node", "bag", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"))
-    members = big.filter("node <> pivot").select("root", "node", "bag", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int").alias("salt"))
-    both = members.select(cell(F.col("salt")), "node", "bag", F.lit(False).alias("pivot")).unionAll(pivots.select(cell(F.col("salt")), "node", "bag", F.lit(True)))
-    star = storage.written(both.repartition("cell").mapInArrow(lean(_link_pivot(similarity)), "u long, v long"), "pivot-links")
+    salted = lambda df, pivot: df.select(F.xxhash64("root", "salt").alias("cell"), "node", "bag", F.lit(pivot).alias("pivot"))
+    pivots = big.filter("node = pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    members = big.filter("node <> pivot").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int"))
+    star = salted(members, False).unionAll(salted(pivots, True)).repartition("cell").mapInArrow(lean(_link_pivot(similarity)), "u long, v long")
+    star = storage.written(star, "pivot-links")
     closed = star.select(F.col("u").alias("node"), F.lit(False).alias("open"))
-    big = big.join(closed, "node", "left").withColumn("open", F.coalesce("open", F.col("node") != F.col("pivot")))
-    groups = big.filter("open").select("root").distinct()
-    if groups.first() is None:
+    big = big.select("root", "node", "bag", F.col("pivot").alias("of")).join(closed, "node", "left").withColumn("open", F.coalesce("open", F.col("node") != F.col("of"))).drop("of")
+    opens = big.filter("open").groupBy("root").agg(F.count(F.lit(1)).alias("opens"))
+    dealt = opens.join(sizes, "root").select("root", blocks(F.col("opens")).alias("bo"), blocks(F.col("n") - F.col("opens")).alias("bc"))
+    dealt = storage.written(dealt, "open-groups")
+    if dealt.first() is None:
         return found.unionAll(star)
-    big = storage.written(big.join(groups, "root", "left_semi").drop("pivot", "tasks"), "open-groups")
-    return found.unionAll(star).unionAll(linker(_opened(big, most, room)))
-
-
-def _opened(rows: DataFrame, most: int, room: int, levels: int = 2) -> DataFrame:
-    """Rows (cell, node, fp, sketch, bag, open) such that each open row meets all candidates of its group in a cell.
-
-    Rows go to the group's buckets.  A bucket that is small, or has few open rows, is dealt to blocks: every open row goes to each, each
-    other row to one.  A bucket with many open rows is refined by further minima, `levels` times; what is large
-    even so is dealt to all pairs of its blocks, which is exact and costs their square."""
-    few, cols = max(1, most // 4), ["node", "fp", "sketch", "bag", "open"]
-    here = _buckets(rows, "root", *cols).withColumn("cell", F.xxhash64("root", "cell")).drop("root")
-    out = None
-    for level in range(levels + 1):
-        sizes = here.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("opens"), F.sum(F.length("bag") + 64).alias("bytes"))
-        tasks = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("bytes") / room)).cast("int")
-        sizes = storage.written(sizes.filter("n > 1 and opens > 0").select("cell", "opens", tasks.alias("tasks")), "open-cells")
-        hot = (F.col("tasks") > 1) & (F.col("opens") > few)
-        one, all_ = F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int"), F.sequence(F.lit(0), F.col("tasks") - 1)
-        done = here.join(sizes.filter(~hot), "cell").withColumn("b", F.explode(F.when(F.col("open"), all_).otherwise(F.array(one))))
-        done = done.select(F.xxhash64("cell", "b").alias("cell"), *cols)
-        out = done if out is None else out.unionByName(done)
-        if sizes.filter(hot).first() is None:
-            break
-        large = here.join(sizes.filter(hot).select("cell", "tasks"), "cell")
-        if level < levels:
-            here = _finer(large.drop("tasks"))
-            continue
-        pairs = F.transform(all_, lambda y: F.struct(F.least("x", y).alias("p"), F.greatest("x", y).alias("q")))
-        last = large.withColumn("x", one).withColumn("pq", F.explode(pairs)).select(F.xxhash64("cell", "pq.p", "pq.q").alias("cell"), *cols)
-        out = out.unionByName(last)
-    return out
+    rows = big.join(dealt, "root").withColumn("x", F.pmod(F.xxhash64("node"), F.when(F.col("open"), F.col("bo")).otherwise(F.col("bc"))).cast("int"))
+    # open blocks 0 to bo - 1, the others from bo on; cells (p, q) with p < bo and p <= q
+    cell = lambda p, q, side: F.struct(p.alias("p"), q.alias("q"), F.lit(side).alias("side"))
+    x, upto = F.col("x"), lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    first = F.transform(upto(x + 1, F.col("bo") + F.col("bc") - 1), lambda q: cell(x, q, 1))
+    second = F.transform(upto(F.lit(0), x - 1), lambda p: cell(p, x, 2))
+    mine = F.concat(F.array(cell(x, x, 0)), first, second)
+    rest = F.transform(upto(F.lit(0), F.col("bo") - 1), lambda p: cell(p, F.col("bo") + x, 2))
+    rows = rows.withColumn("pq", F.explode(F.when(F.col("open"), mine).otherwise(rest))).select(F.xxhash64("root", "pq.p", "pq.q").alias("cell"), "node", "bag", "pq.side", "open")
+    return found.unionAll(star).unionAll(linker(rows))
 
 
 def groups(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
@@ -425,7 +431,7 @@ def groups(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
     return _named(own, distinct, links(distinct.select("fp"), budget))
 
 
-MOST, ROOM, ROUGH = 512, 16 << 20, 20_000  # texts and bytes of sets of a task's cell; texts of a bucket
+MOST, LARGEST, ROOM, ROUGH = 128, 2048, 16 << 20, 20_000  # texts of a block, at least and at most; bytes of its sets; texts of a bucket
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int | None = None, most: int = MOST, room: int = ROOM, rough: int = ROUGH) -> DataFrame:
@@ -446,10 +452,10 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, budget: int | Non
     own = storage.written(signatures(docs, shingle), "signatures")
     nodes = storage.written(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("first"), *(F.first(c).alias(c) for c in ("fp", "sketch", "cells"))), "distinct-texts")
     groups_ = components(_rough_links(nodes, budget, rough)).select("node", "root")
-    firsts = storage.written(groups_.join(nodes, "node").withColumn("slot", _slot(F.col("first.doc_id"), F.col("first.raw"))), "rough-groups")
+    firsts = storage.written(groups_.join(nodes.select("node", "first"), "node").select("root", "node", _slot(F.col("first.doc_id"), F.col("first.raw")).alias("slot")), "rough-groups")
     sets = shingle_sets(docs, shingle, firsts.select("slot"))
-    rows = storage.written(firsts.select("root", "node", "fp", "sketch", "cells").join(sets, "node"), "rough-sets")
-    root = components(_exact_links(rows, budget, similarity, most, room))
+    rows = storage.written(firsts.select("root", "node").join(sets, "node").select("root", "node", "bag"), "rough-sets")
+    root = components(_exact_links(rows, similarity, most, room))
     named = nodes.select("node", "first").join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("first"))
     return own.select("doc_id", "raw", "node").join(named.select("node", "root").join(ids, "root").select("node", "first"), "node").select("doc_id", "raw", "first")

@@ -134,6 +134,25 @@ def similar(texts, n=5, at_least=0.8):
     return groups_of(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(bags[i], bags[j])])
 
 
+def test_products_find_what_sets_do():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**32, 60, dtype=np.uint32)
+    sets = [np.unique(np.where(rng.random(60) < rng.random() / 3, rng.integers(0, 2**32, 60, dtype=np.uint32), base)) for _ in range(70)]
+    sets += [np.zeros(0, np.uint32), np.zeros(0, np.uint32), base[:3], sets[0]]
+    bags = simhash._Bags(pa.array([x.astype("<u4").tobytes() for x in sets]))
+    jaccard = lambda a, b: 1.0 if not len(a) + len(b) else len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    every = np.arange(len(sets))
+    for left, right in ((every, every), (every[::3], every[5:]), (every[:4], every[60:])):
+        for columns in (2048, 7):
+            simhash.COLUMNS = columns
+            want = {(x, y) for x in left.tolist() for y in right.tolist() if x != y and jaccard(sets[x], sets[y]) >= 0.6}
+            assert set(zip(*(v.tolist() for v in bags.pairs(left, right, 0.6)))) == want and want
+            assert all(bags.similar(x, y, 0.6) == ((x, y) in want) for x in left.tolist() for y in right.tolist() if x != y)
+    simhash.COLUMNS = 2048
+
+
 @pytest.mark.parametrize("limits", [{}, {"most": 2}, {"most": 3, "room": 5000}, {"rough": 3}, {"rough": 1, "most": 4}])
 def test_similar_groups_against_all_pairs(docs, limits):
     rng = random.Random(5)
