@@ -108,7 +108,7 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
 
 def _by_shard(index: DataFrame) -> DataFrame:
     n = max(1, index.select("shard").distinct().count())
-    return index.repartition(n, "shard").sortWithinPartitions("shard", "offset")
+    return index.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:

@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
     chosen = known.filter((F.col("toxic") == 1) & share("p", most_positive, n_pos)).select("doc_id", F.lit(True).alias("p"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     n_docs = rows.select("doc_id").count()
-    # `chosen` has about most_positive rows, so it may be broadcast
+    # `chosen` has about most_positive rows, whatever the table's size, so it may be broadcast
     sample = rows.join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("p", F.lit(False)).alias("p"), share("u", most_unlabelled, n_docs).alias("u")).filter("p or u")
     counts = sample.mapInArrow(lean(_count), "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     got = sample.agg(F.sum(F.col("p").cast("int")), F.sum(F.col("u").cast("int"))).first()
