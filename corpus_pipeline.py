@@ -3,9 +3,10 @@
 Each stage gets what the one before kept, written and read again:
 
 1. toxicity: documents that the positive-unlabelled model calls toxic go
-2. near duplicates: one document of each group by SimHash over 5-word shingles at similarity 0.8 stays
+2. near duplicates: one document of each group stays; a group is what chains of texts link whose sets of 5-word shingles have a
+   Jaccard similarity of 0.8 or more, computed exactly among candidates that buckets and the trie join of SimHash fingerprints find
 3. benchmark: documents that hold a benchmark passage within the edit budget go
-4. secrets: what the forest calls a secret is replaced by [SECRET]; all documents stay
+4. secrets: what the forest calls a secret is replaced by [SECRET] where it stands; all documents stay
 5. packing: the pieces of all documents, packed best-fit into sequences of 1024 tokens
 
 SQL cannot express the trained stages, so there is no ORACLE_SQL.  Empty tables pass through every stage.
