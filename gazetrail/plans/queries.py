@@ -551,11 +551,11 @@ PRICE = "ln(l_extendedprice)"
 X3 = ["l_quantity", "l_discount", "l_tax"]
 
 
-@query(f"WITH RECURSIVE {FOLD_SQL}, {_model('a', PRICE, X3)} SELECT fold, n, round(rmse, 8) AS rmse, round(mae, 8) AS mae, round(r2, 8) AS r2 FROM a_folds")
+@query(f"WITH RECURSIVE {FOLD_SQL}, {_model('a', PRICE, X3)} SELECT fold, n, round(rmse, 8) AS rmse, round(mae, 8) AS mae, round(r2, 7) AS r2 FROM a_folds")
 def cv_rmse_mae(spark, sf_dir):
     """By fold."""
     cv = regression.cross_validate(_rows(spark, sf_dir), "y", X3, "l_orderkey")
-    return _rounded(cv.folds.withColumn("fold", F.col("fold").cast("long")), 8, "rmse", "mae", "r2")
+    return _rounded(_rounded(cv.folds.withColumn("fold", F.col("fold").cast("long")), 8, "rmse", "mae"), 7, "r2")
 
 
 @query(f"WITH RECURSIVE {FOLD_SQL}, {_model('a', PRICE, X3)} SELECT round(cv_rmse, 8) AS cv_rmse, round(cv_mae, 8) AS cv_mae FROM a_cv")
