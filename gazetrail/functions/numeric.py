@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: What counts as a number in a raw cell; Java would also take "1d" and "0x1p3".
 NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+WHOLE = r"^\s*([+-]?\d{1,18})\s*$"
 FLOOR = 1e-12
 
 
@@ -20,8 +21,13 @@ def to_num(c: Column) -> Column:
 
 
 def to_int(c: Column) -> Column:
-    """A raw cell as a long; a fraction is an error, not a rounding."""
+    """A raw cell as a long; a fraction is an error, not a rounding.  Plain digits are settled by one look."""
     n = to_num(c)
+    plain = F.regexp_extract(c.cast("string"), WHOLE, 1).try_cast("long")
+    return F.coalesce(plain, _whole(n, c))
+
+
+def _whole(n: Column, c: Column) -> Column:
     return F.when(n.isNull() | (n == F.floor(n)), n.cast("long")).otherwise(F.raise_error(F.concat(F.lit("not integral: "), c.cast("string"))).cast("long"))
 
 
