@@ -49,6 +49,19 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def mark() -> int:
+    """A point in time, for `free`."""
+    return len(_made)
+
+
+def free(since: int, *keep: DataFrame) -> None:
+    """Delete what was made after a mark, but for the tables of `keep`, which alone later plans read."""
+    stay = {table._written_to for table in keep}
+    for made in [m for m in _made[since:] if m[1] not in stay]:
+        delete(*made)
+        _made.remove(made)
+
+
 def purge() -> None:
     """Delete every folder of this process; results that read them must be written before."""
     while _made:
