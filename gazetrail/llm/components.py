@@ -46,4 +46,6 @@ def components(edges: DataFrame) -> DataFrame:
         if (now := _sign(edges)) == sign:
             break
         sign = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct().toDF("node", "root"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select("v", "v").distinct().toDF("node", "root"))
+    out._written_to = edges._written_to
+    return out

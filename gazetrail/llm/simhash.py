@@ -449,6 +449,7 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, budget: int | Non
     if budget is None:
         p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
         budget = int(64 * p + 4 * np.sqrt(64 * p * (1 - p)))
+    since = storage.mark()
     own = storage.written(signatures(docs, shingle), "signatures")
     nodes = storage.written(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("first"), *(F.first(c).alias(c) for c in ("fp", "sketch", "cells"))), "distinct-texts")
     groups_ = components(_rough_links(nodes, budget, rough)).select("node", "root")
@@ -456,6 +457,7 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, budget: int | Non
     sets = shingle_sets(docs, shingle, firsts.select("slot"))
     rows = storage.written(firsts.select("root", "node").join(sets, "node").select("root", "node", "bag"), "rough-sets")
     root = components(_exact_links(rows, similarity, most, room))
+    storage.free(since, own, nodes, root)
     named = nodes.select("node", "first").join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("first"))
     return own.select("doc_id", "raw", "node").join(named.select("node", "root").join(ids, "root").select("node", "first"), "node").select("doc_id", "raw", "first")
@@ -475,7 +477,9 @@ def _named(own: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of `similar_groups`, the one with the smallest doc_id (nulls last), unchanged.  Repeated rows
     of an id and text leave one."""
+    since = storage.mark()
     found = storage.written(_similar(docs, shingle, similarity), "near-duplicates")
+    storage.free(since, found)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("raw") == F.col("first.raw"))
     gone = found.filter(~stays).select("doc_id", "raw", F.lit(False).alias("once")).distinct()
     many = found.filter(stays).groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "raw", F.lit(True).alias("once"))

@@ -16,9 +16,9 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazetrail.sources.interim import delete, new_folder, purge, shared_dir, written
+from gazetrail.sources.interim import delete, free, mark, new_folder, purge, shared_dir, written
 
-__all__ = ["Input", "Output", "delete", "discard", "local", "new_folder", "purge", "shared_dir", "written"]
+__all__ = ["Input", "Output", "delete", "discard", "free", "local", "mark", "new_folder", "purge", "shared_dir", "written"]
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:

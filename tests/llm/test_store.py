@@ -238,7 +238,11 @@ def test_pipeline(spark, tables, tokenizer):
     assert left[0] == {*range(60), *range(200, 206)}
     assert left[1] == {*range(60), 202, 203, 204} and left[2] == left[1] - {202} and left[3] == left[2]
     assert "[SECRET]" in docs.filter("doc_id = 203").first().text
+    from gazetrail.sources import interim
+
+    since = interim.mark()
     out = corpus_pipeline.run(spark, sf)
+    assert len(interim._made) - since == len(corpus_pipeline.STAGES)  # of which all but the last are deleted
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == left[3]
     plan = packing.plan(docs, tokenizer)
     assert plan.agg(F.sum("length")).first()[0] == out.agg(F.sum("length")).first()[0]
