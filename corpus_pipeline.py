@@ -56,5 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the whole `documents` table of `sf_dir`."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        rows = storage.written(stage(spark, rows, sf_dir), f"pipeline-{name}")
+        since = storage.mark()
+        last, rows = rows, storage.written(stage(spark, rows, sf_dir), f"pipeline-{name}")
+        storage.free(since, rows)
+        if name != STAGES[0][0]:
+            storage.discard(spark, last)
     return rows
