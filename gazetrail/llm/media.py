@@ -107,8 +107,10 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def _by_shard(index: DataFrame) -> DataFrame:
-    n = max(1, index.select("shard").distinct().count())
-    return index.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
+    """A partition for each shard, by the number in its name."""
+    number = F.regexp_extract("shard", r"media-(\d+)\.tar$", 1).cast("int")
+    n = index.agg(F.max(number)).first()[0]
+    return index.repartitionById(1 + (n or 0), number).sortWithinPartitions("shard", "offset")
 
 
 def _inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
