@@ -267,6 +267,19 @@ def test_licences_by_hand(docs):
     assert licenses.scan(docs([]), licenses.idf(docs([]))).count() == 0
 
 
+def test_shared_edges(spark, docs):
+    """Null, empty, blank, repeated and very long texts, a null id, and clashing names."""
+    for extra in (False, True):
+        df = docs(extra=extra)
+        got = licenses.scan(df, licenses.idf(df))
+        assert got.count() == 9 and got.filter("n_base > 0").count() == 0 and got.filter("doc_id = 6").first().n_words == 40_001
+        long = "x" * 40 + " Straße été " + "Straße été " * 5
+        items = spark.createDataFrame([(1, long), (2, "lazy dog again"), (3, None)], "item_id long, text string")
+        found = sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(df, items).collect())
+        assert found == [(1, 2, 0), (1, 2, 0), (5, 2, 0), (6, 1, 0)]
+        assert sorted((r.doc_id or -1) for r in decontaminate.clean(df, items).collect()) == [-1, 2, 3, 4, 7]
+
+
 def test_licence_places_keep_their_distance():
     index = licenses.Index(templates=[("x", "alpha beta gamma delta", ["beta gamma"])], base={})
     ids = lambda t: np.array([index.at.get(w, -1) for w in t.split()])

@@ -190,6 +190,19 @@ def test_redaction_by_place_and_row(docs, forest):
     assert starts == [texts[-1].index(blocks), texts[-1].index(pem), texts[-1].rindex(pem), texts[-1].rindex(blocks)]
 
 
+def test_secrets_of_shared_edges(docs, forest):
+    from .conftest import EDGES
+
+    long = "lorem ipsum " * 60_000 + "password=b7db7aa4a5fcc78305 " + "dolor " * 60_000
+    rows = [*EDGES, (8, long, "en", "a"), (8, long, "en", "a"), (None, long, None, None)]
+    df = docs(rows, extra=True)
+    found = [(r.doc_id, r.start) for r in secrets.scan(df, forest).collect() if r.is_secret]
+    assert sorted(found, key=str) == sorted([(8, long.index("b7db")), (8, long.index("b7db")), (None, long.index("b7db"))], key=str)
+    out = secrets.redact(df, forest)
+    texts = sorted(r.text or "" for r in out.collect())
+    assert texts == sorted((t or "").replace("b7db7aa4a5fcc78305", "[SECRET]") for _, t, *_ in rows) and out.columns == df.columns
+
+
 def test_sieve(spark):
     keys = spark.range(0, 1000).select(F.xxhash64("id").alias("k"))
     rows = spark.range(0, 20_000).select("id", F.xxhash64("id").alias("k"))
