@@ -65,14 +65,15 @@ def joined(df: DataFrame, key: str, order: list[str], word: str = "word") -> Dat
 
 
 def sentences(items: DataFrame, key: str = "sent_id", position: str = "word_pos", word: str = "word") -> DataFrame:
-    """(key, sentence_text, word_spans, sent_len) from one row for each word: 0-based half-open spans in characters."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(position).cast("int").alias("p"), F.col(word).alias("w"))))
-    grouped = items.filter(F.col(key).isNotNull()).groupBy(key).agg(rows.alias("_r"))
-    grouped = grouped.withColumn("_w", F.col("_r.w"))
-    from gazetrail.functions.text import word_spans
-
-    spans = F.zip_with("_r", word_spans(F.col("_w")), lambda r, s: F.struct(r.p.alias("word_pos"), r.w.alias("word"), s.start.alias("start"), s.end.alias("end")))
-    return grouped.select(key, F.array_join("_w", " ").alias("sentence_text"), spans.alias("word_spans"), F.size("_w").alias("sent_len"))
+    """(key, sentence_text, word_spans, sent_len) from one row for each word: 0-based half-open spans in characters.
+
+    Where a word begins is a running sum over the words before it, in the one shuffle that gathers the sentence."""
+    known = items.filter(F.col(key).isNotNull()).select(key, F.col(position).cast("int").alias("p"), F.col(word).alias("w"))
+    before = within([key], "p", "w").rowsBetween(Window.unboundedPreceding, -1)
+    rows = known.withColumn("s", F.coalesce(F.sum(F.length("w") + 1).over(before), F.lit(0)).cast("int"))
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "w", "s"))).alias("_r"))
+    spans = F.transform("_r", lambda r: F.struct(r.p.alias("word_pos"), r.w.alias("word"), r.s.alias("start"), (r.s + F.length(r.w)).alias("end")))
+    return grouped.select(key, F.array_join("_r.w", " ").alias("sentence_text"), spans.alias("word_spans"), F.size("_r").alias("sent_len"))
 
 
 def spans_json(spans: Column) -> Column:

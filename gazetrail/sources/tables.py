@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +56,26 @@ def write(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int
         raise ValueError(f"no writer for {kind or 'a path without a suffix'}: {path}")
 
 
+def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """One small file, in any file system that Spark writes to; an existing one is replaced."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+
+
+def csv_text(df: DataFrame) -> str:
+    """A table of a few rows as delimited text; nulls are empty."""
+    out = io.StringIO()
+    lines = csv.writer(out, lineterminator="\n")
+    lines.writerow(df.columns)
+    lines.writerows(["" if x is None else x for x in r] for r in df.collect())
+    return out.getvalue()
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(words): the words of each line that has any."""
     return spark.read.text(path).select(tokens(F.col("value")).alias("words")).filter(F.size("words") > 0)

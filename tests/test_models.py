@@ -1,3 +1,4 @@
+import json
 import math
 from collections import Counter
 
@@ -275,6 +276,9 @@ def test_analysis_and_reports(spark, data, tmp_path):
     assert rows["lexical_plus_mlm"].r2 == rows["lexical"].r2
     from gazetrail.sources import tables as files
 
+    fits = json.loads((tmp_path / "log_gaze_duration_ols_details.json").read_text())
+    assert set(fits) == set(rows) and fits["lexical"]["r2"] == rows["lexical"].r2 and set(fits["lexical"]["params"]) == {"Intercept", "word_length"}
+    assert (tmp_path / "log_gaze_duration_model_comparison.csv").is_file()
     assert files.result_files(spark, str(tmp_path)).count() == 6
     assert analysis.best_models(tables["log_gaze_duration"]).first().model == "full_ngram_ar_mlm"
     assert set(analysis.pivot(tables["log_gaze_duration"]).columns) == {"target", *rows}
