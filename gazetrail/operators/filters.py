@@ -25,9 +25,10 @@ def rt_bounds(df: DataFrame, filters: dict | None = None, columns: list[str] | N
         raise ValueError("min_rt must be a number: a null would keep only rows without a time")
     for c in TIMES if columns is None else columns:
         df = df.withColumn(c, to_num(F.col(c)))
-        df = df.filter(F.col(c).isNull() | (F.col(c) >= float(low)))
+        inside = F.col(c) >= float(low)
         if (top := filters.get(f"max_{c}")) is not None:
-            df = df.filter(F.col(c).isNull() | (F.col(c) <= float(top)))
+            inside = inside & (F.col(c) <= float(top))
+        df = df.filter(F.coalesce(inside, F.lit(True)))  # the filter moves below the number: each mention is one more reading of the cell
     return df
 
 
