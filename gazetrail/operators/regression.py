@@ -178,7 +178,8 @@ def group_folds(sizes: DataFrame, folds: int = FOLDS) -> DataFrame:
         before += r["m"]
     table = spark.createDataFrame(rows, schema)
     table = F.broadcast(table) if len(rows) <= FEW else table
-    placed = sizes.select("g", F.col("n").cast("long").alias("n")).repartitionByRange(F.desc("n"), F.desc("g")).sortWithinPartitions(F.desc("n"), F.desc("g"))
+    order = F.desc("n"), sentence_key(F.col("g")).desc()
+    placed = sizes.select("g", F.col("n").cast("long").alias("n")).repartitionByRange(*order).sortWithinPartitions(*order)
     placed = interim.written(placed.withColumn("_i", F.monotonically_increasing_id()), "group-ranks")
     part, own = F.shiftrightunsigned("_i", 33), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
     counts = {r["p"]: r["c"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -194,6 +195,14 @@ def group_folds(sizes: DataFrame, folds: int = FOLDS) -> DataFrame:
     return ranked.select("g", "n", fold.alias("fold"))
 
 
+PLAIN = {"string", "tinyint", "smallint", "int", "bigint", "date"}  # types of which different values have different texts
+
+
+def _group(df: DataFrame, name: str) -> Column:
+    """What tells groups apart: the column as it is where its text would tell no more and take more room, else its text."""
+    return F.col(name) if dict(df.dtypes).get(name) in PLAIN else sentence_key(F.col(name))
+
+
 @dataclass
 class CrossValidation:
     predictions: DataFrame | None  # g, fold, y, prediction
@@ -205,8 +214,9 @@ NONE = {"cv_rmse": float("nan"), "cv_mae": float("nan")}
 
 
 class Fits:
-    """Several predictor lists for one target, from three readings of the table whatever their number:
-    means, sums and cross products by group, and the errors of the folds' models.
+    """Several predictor lists for one target, from four readings of the table whatever their number: means, sums and cross
+    products, the groups' sizes, and the rows with their folds.  Those are written once and read for the folds' sums and for
+    the errors of the folds' models; of a group only its size and its folds are shuffled.
 
     A list is fitted on the rows that have all its columns.  Lists that miss no row which others have share the sums of
     all columns; the others get sums of their own in the same pass.  Rows without a group count for
@@ -217,7 +227,7 @@ class Fits:
         self.columns = list(dict.fromkeys([*(c for v in specs.values() for c in v), target]))
         at = {c: i for i, c in enumerate(self.columns)}
         self.where = {name: [at[c] for c in [*v, target]] for name, v in specs.items()}
-        self.rows = df.select(sentence_key(F.col(group)).alias("g"), *(F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"x{i}") for i, c in enumerate(self.columns)))
+        self.rows = df.select(_group(df, group).alias("g"), *(F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"x{i}") for i, c in enumerate(self.columns)))
         every = list(range(len(self.columns)))
         kinds = list({tuple(v): None for v in self.where.values()})
         got = self.rows.agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in every), *(F.count(F.when(self._whole(v), 1)).alias(f"n{k}") for k, v in enumerate([every, *kinds]))).first()
@@ -226,9 +236,7 @@ class Fits:
         self.bases = ([every] if len(alone) < len(kinds) else []) + [list(v) for v in alone]
         self.of = {name: self.bases.index(list(v)) if tuple(v) in set(alone) else 0 for name, v in self.where.items()}
         sums = [x for b, v in enumerate(self.bases) for x in self._sums(b, v)]
-        self.by_group = interim.written(self.rows.groupBy("g").agg(*sums), "group-sums")
-        self.sums = [c for c in self.by_group.columns if c != "g"]
-        self.total = self.by_group.agg(*(F.sum(c).alias(c) for c in self.sums)).first()
+        self.total = self.rows.agg(*sums).first()
 
     def _whole(self, v) -> Column:
         cond = F.lit(True)
@@ -261,27 +269,24 @@ class Fits:
 
     def _fold_models(self) -> dict[str, list[list[float]] | None]:
         """Intercept and weights of each fold's model, for each list; None where there are fewer groups than folds.
-        Folds of each basis are columns f0, f1, ... of `self.fold_of`."""
-        known = self.by_group.filter("g is not null")
-        counts = known.agg(*(F.count(F.when(F.col(f"b{b}_n") > 0, 1)).alias(f"b{b}") for b in range(len(self.bases)))).first()
-        self.fold_of, tables = None, {}
-        for b in range(len(self.bases)):
-            if counts[f"b{b}"] < self.n_folds:
-                continue
-            own = known.filter(F.col(f"b{b}_n") > 0).select("g", F.col(f"b{b}_n").alias("n"))
+        Folds of each basis are columns f0, f1, ... of `self.placed`, the rows with their folds."""
+        self.placed, tables = None, {}
+        sizes = self.rows.filter("g is not null").groupBy("g").agg(*(F.count(F.when(self._whole(v), 1)).alias(f"b{b}_n") for b, v in enumerate(self.bases)))
+        sizes = interim.written(sizes, "group-sizes")
+        counts = sizes.agg(*(F.count(F.when(F.col(f"b{b}_n") > 0, 1)).alias(f"b{b}") for b in range(len(self.bases)))).first()
+        able = [b for b in range(len(self.bases)) if counts[f"b{b}"] >= self.n_folds]
+        fold_of = None
+        for b in able:
+            own = sizes.filter(F.col(f"b{b}_n") > 0).select("g", F.col(f"b{b}_n").alias("n"))
             fold = group_folds(own, self.n_folds).select("g", F.col("fold").alias(f"f{b}"))
-            self.fold_of = fold if self.fold_of is None else self.fold_of.join(fold, "g", "full")
-        if self.fold_of is not None:
-            self.fold_of = interim.written(self.fold_of, "folds")
-            sums = known.join(self.fold_of, "g")
-        for b in range(len(self.bases)):
-            if counts[f"b{b}"] < self.n_folds:
-                continue
-            mine = [c for c in self.sums if c.startswith(f"b{b}_")]
-            parts = {r[f"f{b}"]: self._moments(r, b) for r in sums.filter(F.col(f"f{b}").isNotNull()).groupBy(f"f{b}").agg(*(F.sum(c).alias(c) for c in mine)).collect()}
-            # rows without a group are in no fold
+            fold_of = fold if fold_of is None else fold_of.join(fold, "g", "full")
+        if fold_of is not None:
+            self.placed = interim.written(self.rows.join(fold_of, "g"), "fold-rows")  # rows without a group are in no fold
+        for b in able:
+            got = self.placed.filter(F.col(f"f{b}").isNotNull()).groupBy(f"f{b}").agg(*self._sums(b, self.bases[b])).collect()
+            parts = {r[f"f{b}"]: self._moments(r, b) for r in got}
+            whole = self._moments({c: sum(r[c] or 0 for r in got) for c in got[0].asDict() if c != f"f{b}"}, b)
             k = len(self.bases[b])
-            whole = self._moments(known.agg(*(F.sum(c).alias(c) for c in mine)).first(), b)
             none = Moments(0, np.zeros(k), np.zeros((k, k)))
             for name in (x for x, of in self.of.items() if of == b):
                 tables[name] = [[float(x) for x in ridge(self._own(whole - parts.get(f, none), name), self.alpha)] for f in range(self.n_folds)]
@@ -290,9 +295,8 @@ class Fits:
     def predictions(self) -> tuple[DataFrame | None, dict[str, Column]]:
         """Rows with their folds, and each list's prediction (null for rows that the list is not fitted on)."""
         models = self._fold_models()
-        if self.fold_of is None:
+        if self.placed is None:
             return None, {}
-        rows = self.rows.join(self.fold_of, "g")
         out = {}
         for name, table in models.items():
             if table is None:
@@ -303,7 +307,7 @@ class Fits:
             for i, c in enumerate(self.where[name][:-1]):
                 value = value + at(i + 1) * F.col(f"x{c}")
             out[name] = F.when(self._whole(self.where[name]) & fold.isNotNull(), value)
-        return rows, out
+        return self.placed, out
 
     def cross_validated(self) -> dict[str, dict]:
         """Pooled RMSE and MAE of each list."""
@@ -327,7 +331,7 @@ def cross_validate(df: DataFrame, target: str, names: list[str], group: str = "s
     rows, predicted = fits.predictions()
     if rows is None:
         return CrossValidation(None, None, dict(NONE))
-    out = rows.select("g", F.col("f0").alias("fold"), F.col(f"x{fits.columns.index(target)}").alias("y"), predicted[""].alias("prediction")).dropna("any")
+    out = rows.select(sentence_key(F.col("g")).alias("g"), F.col("f0").alias("fold"), F.col(f"x{fits.columns.index(target)}").alias("y"), predicted[""].alias("prediction")).dropna("any")
     return CrossValidation(out, fold_metrics(out), pooled_metrics(out))
 
 
